@@ -32,7 +32,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def with_row(df: DataFrame, name: str = "_row") -> DataFrame:
+def with_row(df: DataFrame, name: str = "_tmk_row") -> DataFrame:
     """df with an identity for each row, equal in every reading of the same files."""
     return df.withColumn(name, F.monotonically_increasing_id())
 
@@ -48,6 +48,6 @@ def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES)
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def without_rows(df: DataFrame, gone: DataFrame, row: str = "_row") -> DataFrame:
+def without_rows(df: DataFrame, gone: DataFrame, row: str = "_tmk_row") -> DataFrame:
     """The rows of df (made by with_row) whose identity isn't in gone, without that column."""
     return df.join(maybe_broadcast(cut(gone.select(row)), 48), row, "left_anti").drop(row)

@@ -21,28 +21,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamarack.llm import _common as c
+from tamarack.llm._text import pieces, utf8
 from tamarack.llm.components import components
 
 SEED = 42
-_PIECE = 1 << 20
 _LANES = np.uint64(0x0101010101010101)
 
 
-def _pieces(data: bytes):
-    """data in parts of about a megabyte that end where a word does."""
-    at = 0
-    while at < len(data):
-        end = at + _PIECE
-        while end < len(data) and data[end] not in b" \t\n\x0b\x0c\r":
-            end += 1
-        yield data[at:end]
-        at = end
-
-
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     """XXH64 of each run of ``width`` words; of all words, if there are fewer."""
     digest, parts, tail = xxhash.xxh64_digest, [], []
-    for piece in _pieces((text or "").encode("utf-8", "replace").lower()):
+    for piece in pieces(utf8(text).lower()):
         words = tail + piece.split()
         if len(words) >= width:
             joined = b" ".join(words)
@@ -235,6 +224,6 @@ def near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4, id_col: str
 def drop_near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each class: of those with the smallest id, the first row."""
     rows = c.with_row(docs)
-    found = c.cut(near_duplicates(rows, width, bits, id_col, text_col, ["_row"]))
-    first = found.groupBy("class_root").agg(F.min_by("_row", F.struct(F.col(id_col).isNull(), id_col, "_row")).alias("_row"))
-    return c.without_rows(rows, found.select("_row").join(first.select("_row"), "_row", "left_anti"))
+    found = c.cut(near_duplicates(rows, width, bits, id_col, text_col, ["_tmk_row"]))
+    first = found.groupBy("class_root").agg(F.min_by("_tmk_row", F.struct(F.col(id_col).isNull(), id_col, "_tmk_row")).alias("_tmk_row"))
+    return c.without_rows(rows, found.select("_tmk_row").join(first.select("_tmk_row"), "_tmk_row", "left_anti"))
