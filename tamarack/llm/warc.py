@@ -70,48 +70,58 @@ def parsed(data: bytes) -> dict | None:
     return out | {"payload": payload, "payload_bytes": len(payload), "payload_digest": base32_sha1(payload)}
 
 
+class _Candidate:
+    """What might be a member from the fragment number ``start`` on."""
+
+    def __init__(self, start: int):
+        self.start, self.end, self.z, self.data = start, None, zlib.decompressobj(31), []
+
+    def alive(self, raw: bytes) -> bool:
+        try:
+            self.data.append(self.z.decompress(raw))
+        except zlib.error:
+            return False
+        return True
+
+
 def members(fragments: Iterator[tuple[tuple, bytes]]) -> Iterator[tuple[str, tuple, bytes]]:
     """("member", range, its data) of each gzip member in fragments (range, bytes after a magic).
 
-    What can't be told within a range comes out as it went in: ("head", ...) fragments before the
-    first member of a range, ("tail", ...) those of a member that its range leaves unfinished.
+    Every magic starts a candidate, which is fed with what follows until it ends with the right
+    CRC or breaks. One that ends takes those that began inside it with it; an inner one waits for
+    the outer ones. What can't be told within a range comes out as it went in: ("head", ...)
+    fragments before the first member, ("tail", ...) those from a member that isn't at its end.
     """
-    at, started, z, data, held = None, False, None, b"", []
+    at, started, active, held, base = None, False, [], [], 0
+
+    def passed(upto: int):
+        """Lets go of the fragments before number upto, which belong to no candidate."""
+        nonlocal base
+        gone, held[:], base = held[: upto - base], held[upto - base :], upto
+        return [] if started else [("head", at, f) for f in gone]
 
-    def left(kind: str):
-        return [(kind, at, h) for h in held]
+    def tails():
+        return [("tail", at, f) for f in held[active[0].start - base :]] if active else []
 
     for where, fragment in fragments:
         if where != at:
-            if z:
-                yield from left("tail")
-            at, started, z, data, held = where, False, None, b"", []
-        raw, fresh = MAGIC + fragment, False
-        if z:
-            try:
-                data += z.decompress(raw)
-                held.append(fragment)
-            except zlib.error:  # what was held was no member
-                if not started:
-                    yield from left("head")
-                z, fresh = None, True
-        else:
-            fresh = True
-        if fresh:
-            z, held = zlib.decompressobj(31), [fragment]
-            try:
-                data = z.decompress(raw)
-            except zlib.error:
-                if not started:
-                    yield from left("head")
-                z, held = None, []
-                continue
-        if z.eof:
+            yield from tails()
+            at, started, active, held, base = where, False, [], [], 0
+        n, raw = base + len(held), MAGIC + fragment
+        held.append(fragment)
+        active = [x for x in [*active, _Candidate(n)] if x.end is not None or x.alive(raw)]
+        for i, x in enumerate(active):
+            if x.end is None and x.z.eof:
+                x.end, active = n, active[: i + 1]
+                break
+        while active and active[0].end is not None:
+            first = active.pop(0)
+            yield from passed(first.start)
             started = True
-            yield "member", at, data
-            z, data, held = None, b"", []
-    if z:
-        yield from left("tail")
+            yield "member", at, b"".join(first.data)
+            passed(first.end + 1)
+        yield from passed(active[0].start if active else n + 1)
+    yield from tails()
 
 
 _FIELDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -131,10 +141,12 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     rows = text.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("fragment"))
 
     def fragments(batches):
+        last = None
         for b in batches:
-            for f, s, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                if len(v := v.as_py()):
-                    yield (f, s), v
+            for *where, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if where[1] or where == last:  # a file's first fragment is what comes before any magic
+                    yield where, v.as_py()
+                last = where
 
     def kernel(batches):
         out, held, n = [], [], 0
