@@ -25,8 +25,8 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of linked SimHash fingerprints of five-word shingles."""
-    return simhash.drop_near_duplicates(docs, width=5)
+    """One document of each class whose five-word shingles are 0.8 alike or more, candidates by SimHash."""
+    return simhash.drop_similar(docs, width=5, similarity=0.8)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

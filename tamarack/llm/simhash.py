@@ -140,10 +140,10 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def chain_holds(a: Column, b: Column, bits: int) -> Column:
-    """Whether some start on the ring keeps every chain within its share of ``bits``."""
+def chain_holds(a: Column, b: Column, bits: int, ring: int | None = None) -> Column:
+    """Whether some start on the ring, of bits + 1 segments unless given, keeps every chain within its share of ``bits``."""
     x = a.bitwiseXOR(b)
-    parts = [F.bit_count(x.bitwiseAND(F.lit(_signed(_mask(at, n))))) for at, n in segments(bits)]
+    parts = [F.bit_count(x.bitwiseAND(F.lit(_signed(_mask(at, n))))) for at, n in segments((ring or bits + 1) - 1)]
     m, some = len(parts), F.lit(False)
     for i in range(m):
         every, total = F.lit(True), F.lit(0)
@@ -227,3 +227,107 @@ def drop_near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4, id_col:
     found = c.cut(near_duplicates(rows, width, bits, id_col, text_col, ["_tmk_row"]))
     first = found.groupBy("class_root").agg(F.min_by("_tmk_row", F.struct(F.col(id_col).isNull(), id_col, "_tmk_row")).alias("_tmk_row"))
     return c.without_rows(rows, found.select("_tmk_row").join(first.select("_tmk_row"), "_tmk_row", "left_anti"))
+
+
+# Near duplicates by similarity: fingerprints propose, shingles decide.
+
+#: Independent fingerprints of a text's distinct words; of the masks of each, one in common makes a candidate.
+TABLES = 4
+#: Bits of 64 that candidates may differ in, and the bits for which one table's masks miss nothing.
+_REACH, _SURE = 12, 4
+
+
+def _mixed(h: np.ndarray, table: int) -> np.ndarray:
+    """Another hash of the same, for each table."""
+    h = h + np.uint64((table + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def word_fingerprints(text: str | None, tables: int = TABLES) -> tuple[bytes, list[int]]:
+    """A digest of the word sequence, and ``tables`` signed fingerprints of the set of words."""
+    whole, words, between = xxhash.xxh3_128(), set(), b""
+    for piece in pieces(utf8(text).lower()):
+        own = piece.split()
+        if own:
+            whole.update(between + b" ".join(own))
+            words.update(own)
+            between = b" "
+    if not words:
+        return whole.digest(), [0] * tables
+    h = np.frombuffer(b"".join([xxhash.xxh64_digest(w, SEED) for w in words]), ">u8").astype(np.uint64)
+    return whole.digest(), [int(majority(_mixed(h, t), np.array([len(h)])).view(np.int64)[0]) for t in range(tables)]
+
+
+def _word_rows(rows: DataFrame, text_col: str) -> DataFrame:
+    def kernel(batches):
+        for b in batches:
+            made = [word_fingerprints(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.list_(pa.int64()))], names=["_tmk_row", "same", "fps"])
+
+    return rows.select("_tmk_row", text_col).mapInArrow(kernel, "_tmk_row long, same binary, fps array<long>")
+
+
+def _shingle_sets(rows: DataFrame, nodes: DataFrame, text_col: str, width: int) -> DataFrame:
+    """(node, set) of the rows in nodes: sorted hashes of their distinct shingles."""
+
+    def kernel(batches):
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+
+    own = rows.join(c.maybe_broadcast(nodes.withColumnRenamed("node", "_tmk_row"), 48), "_tmk_row", "left_semi")
+    return own.select("_tmk_row", text_col).mapInArrow(kernel, "node long, set array<long>")
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of rows whose shingle sets have that Jaccard similarity or more."""
+    pairs = c.cut(pairs.distinct())
+    sets = c.cut(_shingle_sets(rows, c.cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()), text_col, width))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+    shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("sum"))
+    return c.cut(shared.filter(F.col("n") >= similarity * (F.col("sum") - F.col("n"))).select("a", "b"))
+
+
+def similar_classes(rows: DataFrame, width: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
+    """(_tmk_row, root) of each row of rows that is in a class with an earlier one; root is the class's first row.
+
+    Classes are the components of pairs whose sets of ``width``-word shingles (ASCII lower case;
+    fewer words: the whole sequence) are at least ``similarity`` alike by Jaccard. Candidates come
+    from SimHash fingerprints of the distinct words, as these move less by an edit than shingles do,
+    with TABLES independent ones: pairs within 4 bits in any of them are candidates for certain,
+    others if they agree in a mask (all of a sample of pairs at 0.8 and more did). Rows of the same
+    word sequence, as of none, are alike without comparison. Buckets are compared as in
+    link_classes: with two members, then what is in other parts with all.
+    """
+    made = c.cut(_word_rows(rows, text_col))
+    nodes = c.cut(made.groupBy("same").agg(F.min("_tmk_row").alias("node"), F.min_by("fps", "_tmk_row").alias("fps")))
+    masks = ring_masks(_SURE)
+    near = lambda a, b: chain_holds(F.col(a), F.col(b), _REACH, _SURE + 1) & (hamming(F.col(a), F.col(b)) <= _REACH)
+    each = nodes.filter(F.exists("fps", lambda f: f != 0)).select("node", F.posexplode("fps").alias("t", "fp")).select("node", "t", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("m", "key"))
+    keys = each.select("node", "fp", F.xxhash64("t", "m", "key").alias("bucket")).repartition("bucket")
+    ends = keys.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min_by("fp", "node").alias("low_fp"), F.max_by("fp", "node").alias("high_fp")).filter("low < high")
+    members = c.cut(keys.join(ends.hint("shuffle_hash"), "bucket"))
+    led = [members.filter(F.col("node") != F.col(x)).filter(near("fp", f"{x}_fp")).select(F.least("node", x).alias("a"), F.greatest("node", x).alias("b")) for x in ("low", "high")]
+    edges = _similar(led[0].union(led[1]), rows, text_col, width, similarity)
+    roots = components(edges).withColumnRenamed("id", "node")
+    parted = members.select("bucket", "node", "fp").join(roots, "node", "left").select("bucket", "node", "fp", F.coalesce("root", "node").alias("part"))
+    parts = parted.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
+    main = parts.groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).filter("all > most and all > 2")
+    rest = c.cut(parted.join(main, "bucket"))
+    apart = rest.filter(F.col("part") != F.col("main")).select("bucket", F.col("node").alias("x"), F.col("fp").alias("fx"), F.col("part").alias("px"))
+    more = apart.join(rest.select("bucket", "node", "fp", "part"), "bucket").filter((F.col("px") != F.col("part")) & near("fx", "fp")).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
+    found = components(edges.union(_similar(more, rows, text_col, width, similarity))).withColumnRenamed("id", "node")
+    of = nodes.join(found, "node", "left").select("same", F.coalesce("root", "node").alias("root"))
+    return made.join(of, "same").filter(F.col("_tmk_row") != F.col("root")).select("_tmk_row", "root")
+
+
+def drop_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each class of similar_classes: that with the smallest id (a null id comes last), then the first row."""
+    rows = c.with_row(docs)
+    linked = c.cut(similar_classes(rows, width, similarity, text_col))
+    every = linked.union(linked.select("root", "root").distinct()).toDF("_tmk_row", "root")
+    ids = rows.select("_tmk_row", F.col(id_col).alias("id")).join(every, "_tmk_row")
+    first = ids.groupBy("root").agg(F.min_by("_tmk_row", F.struct(F.col("id").isNull(), "id", "_tmk_row")).alias("_tmk_row"))
+    return c.without_rows(rows, every.join(first.select("_tmk_row"), "_tmk_row", "left_anti"))

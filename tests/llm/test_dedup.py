@@ -36,6 +36,42 @@ def classes(fps, bits=4):
     return [find(i) for i in range(len(fps))]
 
 
+def shingles(text, width=5):
+    w = WORDS.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1)) if w)
+
+
+def alike(texts, similarity=0.8):
+    """The class of each text, by comparing all pairs of shingle sets."""
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(sets))]
+
+
+def test_similar_documents(spark, edge_docs, no_docs, sf_dir):
+    words = [f"w{i * 7919 % 1000}" for i in range(300)]
+    edited = [" ".join(w for j, w in enumerate(words) if (j + k) % 101) + (" Tail" * k) for k in range(12)]
+    extra = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(edited)], "doc_id long, text string")
+    for df in (edge_docs, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").union(extra)):
+        rows = with_row(df)
+        docs = rows.orderBy("_tmk_row").collect()
+        want = Counter(alike([d.text for d in docs])).values()
+        found = Counter(r.root for r in simhash.similar_classes(rows).collect())
+        assert sorted(n + 1 for n in found.values()) == sorted(n for n in want if n > 1)
+        kept = simhash.drop_similar(df)
+        assert kept.columns == df.columns and kept.count() == len(want)
+    assert simhash.drop_similar(no_docs).collect() == []
+
+
 def check_near(df, spark):
     docs = df.select("doc_id", "text").toPandas()
     fps = [fingerprint(t) for t in docs.text.where(docs.text.notna(), None)]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tamarack.llm import quality
-from test_dedup import classes, fingerprint
+from test_dedup import alike
 from test_text_ops import levels
 
 
@@ -19,7 +19,7 @@ def test_pipeline_against_brute_force(spark, sf_dir):
         b = re.sub(r"[\x20\x09-\x0D]", "", texts[i][0])
         best[b] = min(best.get(b, (1, 0)), (-len(texts[i][0]), i))
     kept = sorted(i for _, i in best.values())
-    of = classes([fingerprint(texts[i][0], 5) for i in kept])
+    of = alike([texts[i][0] for i in kept])
     first = {}
     for i, k in zip(kept, of, strict=True):
         first.setdefault(k, i)
