@@ -25,6 +25,8 @@ from tamarack.llm._text import pieces, utf8
 UNITS = frozenset("mm cm m km in inch inches ft feet yd mile miles mg g kg t lb lbs oz ml l litre litres liter liters s sec second seconds min minute minutes h hour hours day days week weeks month months year years percent usd eur dollar dollars euro euros cent cents km/h mph kmh w kw kwh v a hz".split())
 _NUMBER = re.compile(r"[+-]?\d[\d.,]*")
 _WITH_UNIT = re.compile(r"([+-]?\d[\d.,]*)([A-Za-z%]+)")
+_MARKS = ".,;:!?|*#$%&'\"()[]{}-"
+_ENDS = re.compile(r"[.!?:;|]\W*$")
 _EDGES = re.compile(r"^\W+|\W+$")
 WORD, NUMBER, UNIT, NAME = range(4)
 #: Bits of the bitmap that windows are looked up in before the join: 8 MB, whatever the benchmark.
@@ -41,16 +43,16 @@ class Tokens(dict):
 
     def __missing__(self, raw: bytes) -> int:
         text = raw.decode("utf-8", "replace")
-        core = _EDGES.sub("", text)
-        low, kind = core.lower(), WORD
-        if _NUMBER.fullmatch(core) or ((m := _WITH_UNIT.fullmatch(core)) and (m[2].lower() in UNITS or m[2] == "%")):
-            kind = NUMBER
-        elif low in UNITS:
-            kind = UNIT
+        core, number = text.strip(_MARKS), False
+        if not core.isalpha():  # most are letters and marks, and need no pattern
+            core = _EDGES.sub("", text)
+            number = bool(_NUMBER.fullmatch(core) or ((m := _WITH_UNIT.fullmatch(core)) and (m[2].lower() in UNITS or m[2] == "%")))
+        low = core.lower()
+        kind = NUMBER if number else UNIT if low in UNITS else WORD
         self.hash.append(0 if not low else xxhash.xxh64_intdigest(("word " + low) if kind == WORD else f"<{kind}>"))
         self.kind.append(kind if low else -1)
         self.name.append(kind == WORD and len(core) > 1 and core[0].isupper() and core[1:].islower())
-        self.ends.append(text[-1] in ".!?:;|" or bool(_EDGES.search(text) and re.search(r"[.!?]\W*$", text)))
+        self.ends.append(not text[-1].isalnum() and _ENDS.search(text) is not None)
         self.value.append(low)
         self[raw] = row = len(self.hash) - 1
         return row
@@ -106,9 +108,10 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.full(n, width, np.uint64)
+    out, mixed = np.full(n, width, np.uint64), hashes ^ (hashes >> np.uint64(29))
     for i in range(width):
-        out = (out * np.uint64(_PRIME)) + (hashes[i : i + n] ^ (hashes[i : i + n] >> np.uint64(29)))
+        out *= np.uint64(_PRIME)
+        out += mixed[i : i + n]
     out ^= out >> np.uint64(32)
     out *= np.uint64(0xC2B2AE3D27D4EB4F)
     return out ^ (out >> np.uint64(29))
