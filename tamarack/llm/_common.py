@@ -27,9 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the shared folder."""
+    """df with its lineage cut by a reliable checkpoint in the shared folder.
+
+    Shuffle files go when the driver collects its garbage, which may be long after; iterations
+    would fill the disks meanwhile, so it is told to.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def with_row(df: DataFrame, name: str = "_tmk_row") -> DataFrame:

@@ -30,6 +30,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(linked.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
 
 
+#: Edges for each task of a round; fewer edges are gathered in fewer tasks, which write fewer files.
+_EDGES = 250_000
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, root) of each node that has an edge to another; root is the least id of its component.
 
@@ -39,7 +43,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
     seen = mark(now)
     while seen[0]:
-        now = cut(_small_star(_large_star(now)))
+        tasks = -(-seen[0] // _EDGES)
+        now = cut(_small_star(_large_star(now.coalesce(tasks)).coalesce(tasks)).coalesce(tasks))
         if (m := mark(now)) == seen:
             break
         seen = m

@@ -274,7 +274,7 @@ def _shingle_sets(rows: DataFrame, nodes: DataFrame, text_col: str, width: int)
 
     def kernel(batches):
         for b in batches:
-            sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in b.column(1).to_pylist()]
+            sets = [np.unique(shingle_hashes(t, width).view(np.int64)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
     own = rows.join(c.maybe_broadcast(nodes.withColumnRenamed("node", "_tmk_row"), 48), "_tmk_row", "left_semi")
@@ -287,7 +287,70 @@ def _similar(pairs: DataFrame, rows: DataFrame, text_col: str, width: int, simil
     sets = c.cut(_shingle_sets(rows, c.cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()), text_col, width))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
     shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("sum"))
-    return c.cut(shared.filter(F.col("n") >= similarity * (F.col("sum") - F.col("n"))).select("a", "b"))
+    return shared.filter(F.col("n") >= similarity * (F.col("sum") - F.col("n"))).select("a", "b")
+
+
+def joined_forest(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (positions in left + right) that connect what pairs of a left and a right set of that similarity connect.
+
+    Sets become rows of 0 and 1 over a slice of the hashes at a time, so their products count what is shared.
+    """
+    sets, n = [*left, *right], len(left)
+    all_ = np.unique(np.concatenate(sets))
+    shared = np.zeros((n, len(right)), np.float32)
+    for at in range(0, len(all_), 4096):
+        part = all_[at : at + 4096]
+        rows = np.zeros((len(sets), len(part)), np.float32)
+        for r, x in enumerate(sets):
+            rows[r, np.searchsorted(part, x[np.searchsorted(x, part[0]) : np.searchsorted(x, part[-1], "right")])] = 1
+        shared += rows[:n] @ rows[n:].T
+    size = np.array([len(x) for x in sets], np.float32)
+    alike = shared >= similarity * (size[:n, None] + size[None, n:] - shared)
+    root, out = list(range(len(sets))), []
+    for a, b in np.argwhere(alike).tolist():
+        x, y = a, b + n
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((a, b + n))
+    return out
+
+
+#: Members from which a bucket is dense, and of a block of a dense cluster.
+_DENSE, _BLOCK = 32, 256
+
+
+def _similar_in_clusters(clusters: DataFrame, rows: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect all similar rows within each cluster; clusters: (node, cluster).
+
+    A cluster is dealt into blocks by hash; a task compares one block with one, and returns no
+    more links than it has rows.
+    """
+    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).alias("blocks"))
+    sets = _shingle_sets(rows, clusters.select("node"), text_col, width)
+    own = clusters.join(blocks, "cluster").withColumn("at", F.expr("pmod(xxhash64(node), blocks)")).join(sets, "node")
+    each = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("cluster", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "node", "set")
+
+    def compare(table: pa.Table) -> pa.Table:
+        at, node = table["at"].to_numpy(), table["node"].to_numpy()
+        order = np.lexsort((node, at))
+        lists = table["set"].combine_chunks()
+        values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        sets, at, node = [values[ends[k] : ends[k + 1]] for k in order], at[order], node[order]
+        n = int((at == at[0]).sum())
+        same = n == len(sets)
+        if same and table["i"][0].as_py() != table["j"][0].as_py():
+            links = []  # the other block is empty
+        elif same:
+            links = [(a, b - n) for a, b in joined_forest(sets, sets, similarity) if a != b - n]
+        else:
+            links = joined_forest(sets[:n], sets[n:], similarity)
+        return pa.table({"a": pa.array([int(node[a]) for a, _ in links], pa.int64()), "b": pa.array([int(node[b]) for _, b in links], pa.int64())})
+
+    return each.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def similar_classes(rows: DataFrame, width: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
@@ -298,27 +361,28 @@ def similar_classes(rows: DataFrame, width: int = 5, similarity: float = 0.8, te
     from SimHash fingerprints of the distinct words, as these move less by an edit than shingles do,
     with TABLES independent ones: pairs within 4 bits in any of them are candidates for certain,
     others if they agree in a mask (all of a sample of pairs at 0.8 and more did). Rows of the same
-    word sequence, as of none, are alike without comparison. Buckets are compared as in
-    link_classes: with two members, then what is in other parts with all.
+    word sequence, as of none, are alike without comparison.
+
+    Buckets of up to _DENSE members are joined pair by pair. Larger ones link into clusters, as only
+    families of copies make them, and each cluster is compared in blocks, once for all its buckets.
     """
     made = c.cut(_word_rows(rows, text_col))
     nodes = c.cut(made.groupBy("same").agg(F.min("_tmk_row").alias("node"), F.min_by("fps", "_tmk_row").alias("fps")))
     masks = ring_masks(_SURE)
-    near = lambda a, b: chain_holds(F.col(a), F.col(b), _REACH, _SURE + 1) & (hamming(F.col(a), F.col(b)) <= _REACH)
     each = nodes.filter(F.exists("fps", lambda f: f != 0)).select("node", F.posexplode("fps").alias("t", "fp")).select("node", "t", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("m", "key"))
     keys = each.select("node", "fp", F.xxhash64("t", "m", "key").alias("bucket")).repartition("bucket")
-    ends = keys.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min_by("fp", "node").alias("low_fp"), F.max_by("fp", "node").alias("high_fp")).filter("low < high")
-    members = c.cut(keys.join(ends.hint("shuffle_hash"), "bucket"))
-    led = [members.filter(F.col("node") != F.col(x)).filter(near("fp", f"{x}_fp")).select(F.least("node", x).alias("a"), F.greatest("node", x).alias("b")) for x in ("low", "high")]
-    edges = _similar(led[0].union(led[1]), rows, text_col, width, similarity)
-    roots = components(edges).withColumnRenamed("id", "node")
-    parted = members.select("bucket", "node", "fp").join(roots, "node", "left").select("bucket", "node", "fp", F.coalesce("root", "node").alias("part"))
-    parts = parted.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
-    main = parts.groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).filter("all > most and all > 2")
-    rest = c.cut(parted.join(main, "bucket"))
-    apart = rest.filter(F.col("part") != F.col("main")).select("bucket", F.col("node").alias("x"), F.col("fp").alias("fx"), F.col("part").alias("px"))
-    more = apart.join(rest.select("bucket", "node", "fp", "part"), "bucket").filter((F.col("px") != F.col("part")) & near("fx", "fp")).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
-    found = components(edges.union(_similar(more, rows, text_col, width, similarity))).withColumnRenamed("id", "node")
+    full = keys.groupBy("bucket").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = c.cut(keys.join(full.hint("shuffle_hash"), "bucket"))
+    clusters = c.cut(components(members.filter((F.col("n") > _DENSE) & (F.col("node") != F.col("low"))).select(F.col("node").alias("a"), F.col("low").alias("b"))).select(F.col("id").alias("node"), F.col("root").alias("cluster")))
+    few = members.filter(F.col("n") <= _DENSE).join(c.maybe_broadcast(clusters, 64), "node", "left").select("bucket", "node", "fp", F.coalesce("cluster", "node").alias("cluster"))
+    few = few.repartition("bucket")
+    other = few.select("bucket", F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("cluster").alias("cb"))
+    apart = chain_holds(F.col("fp"), F.col("fb"), _REACH, _SURE + 1) & (hamming(F.col("fp"), F.col("fb")) <= _REACH) & (F.col("cluster") != F.col("cb"))
+    pairs = few.join(other, (few.bucket == other.bucket) & (F.col("node") < F.col("b")) & apart).select(F.col("node").alias("a"), "b")
+    edges = _similar(pairs, rows, text_col, width, similarity)
+    if not clusters.isEmpty():
+        edges = edges.union(_similar_in_clusters(clusters, rows, text_col, width, similarity))
+    found = components(edges).withColumnRenamed("id", "node")
     of = nodes.join(found, "node", "left").select("same", F.coalesce("root", "node").alias("root"))
     return made.join(of, "same").filter(F.col("_tmk_row") != F.col("root")).select("_tmk_row", "root")
 
