@@ -126,8 +126,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     own = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), F.col(text_col).alias("_text"), F.struct(*keep).alias("_keep") if keep else F.lit(None).cast("int").alias("_keep"))
     sized = c.cut(sizes(own, "_text", ["_id", "source", "_keep"]))
     by_source = c.cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), weights, share, cap))
-    rates = maybe = by_source.select(F.col("source").alias("_of"), "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_rate"), F.ceil(F.col("n") / LEAF).alias("_blocks"))
-    rates = c.maybe_broadcast(maybe, 128)
+    rates = by_source.select(F.col("source").alias("_of"), "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_rate"), F.ceil(F.col("n") / LEAF).alias("_blocks"))
+    rates = c.maybe_broadcast(rates, 128)
     leaves = sized.join(rates, F.col("source").eqNullSafe(F.col("_of"))).drop("_of").withColumn("_key", F.xxhash64("_id", "size"))
     leaves = leaves.withColumn("copies", F.floor("_rate")).withColumn("_p", F.when(F.col("size") > 0, F.col("_rate") - F.col("copies")).otherwise(0.0))
     leaves = leaves.withColumn("_block", F.expr("pmod(_key, _blocks)")).drop("_rate")
