@@ -229,7 +229,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4, id_col:
     return c.without_rows(rows, found.select("_tmk_row").join(first.select("_tmk_row"), "_tmk_row", "left_anti"))
 
 
-# Near duplicates by similarity: fingerprints propose, shingles decide.
+# Near duplicates by similarity: fingerprints and rare shingles propose, shingles decide.
 
 #: Independent fingerprints of a text's distinct words; of the masks of each, one in common makes a candidate.
 TABLES = 4
@@ -319,6 +319,86 @@ def joined_forest(left: list[np.ndarray], right: list[np.ndarray], similarity: f
     return out
 
 
+#: Of so many rows, one is counted to tell common shingles; most common shingles that are told.
+_COUNTED, _COMMON = 16, 1 << 20
+
+
+def _common_shingles(rows: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that a sample of rows has repeatedly, and how often. They only order prefixes."""
+
+    def kernel(batches):
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, width).view(np.int64)) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], names=["key"])
+
+    some = rows.filter(F.expr(f"pmod(xxhash64(_tmk_row), {_COUNTED}) = 0")).select(text_col).mapInArrow(kernel, "key long")
+    table = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy(F.desc("n"), "key").limit(_COMMON).toArrow()
+    keys, n = table["key"].to_numpy(), table["n"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def prefix(shingles: np.ndarray, common: np.ndarray, often: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of the distinct shingles, from rare to common, of which similar sets have one in common."""
+    if not len(shingles):
+        return shingles
+    weight = np.zeros(len(shingles), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        weight = np.where(common[at] == shingles, often[at], 0)
+    most = len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-9)) + 1
+    return shingles[np.lexsort((shingles, weight))[:most]]
+
+
+def _prefix_rows(rows: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
+    """(key, node, at, size): the prefix of each row's shingle set, with the place in it and the size of the set."""
+    common, often = _common_shingles(rows, text_col, width)
+    told = rows.sparkSession.sparkContext.broadcast((common, often))
+
+    def kernel(batches):
+        common, often = told.value
+        for b in batches:
+            keys, sizes = [], []
+            for t in b.column(1).to_pylist():
+                own = np.unique(shingle_hashes(t, width).view(np.int64))
+                keys.append(prefix(own, common, often, similarity))
+                sizes.append(len(own))
+            n = [len(k) for k in keys]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.concatenate([np.zeros(0, np.int32), *[np.arange(k, dtype=np.int32) for k in n]])), pa.array(np.repeat(np.array(sizes, np.int32), n))], names=["key", "node", "at", "size"])
+
+    return rows.select("_tmk_row", text_col).mapInArrow(kernel, "key long, node long, at int, size int")
+
+
+def _prefix_edges(rows: DataFrame, found: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
+    """Edges (a, b) that, with those of which found has the classes (node, root), connect all similar rows.
+
+    Two sets of that similarity share one of their rarest shingles, so members of a shingle's bucket
+    are compared, but for those already in one class. What isn't in the bucket's largest class is
+    joined with all others whose sizes and places leave room for the similarity; if that is over
+    _PARTED members, the bucket's members become part of a cluster.
+    """
+    keys = _prefix_rows(rows, text_col, width, similarity).repartition("key")
+    full = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = keys.join(full.hint("shuffle_hash"), "key").drop("n")
+    members = c.cut(members.join(c.maybe_broadcast(found, 64), "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root"))
+    parts = members.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    main = parts.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), (F.sum("n") - F.max("n")).alias("others")).filter("others > 0")
+    rest = c.cut(members.join(main, "key"))
+    few = rest.filter(F.col("others") <= _PARTED)
+    apart = few.filter(F.col("part") != F.col("main")).select("key", *[F.col(x).alias(f"{x}_a") for x in ("node", "at", "size", "part")])
+    least = F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size")) - 1e-6
+    room = F.least(F.col("size_a") - F.col("at_a"), F.col("size") - F.col("at")) >= least
+    pairs = apart.join(few.select("key", "node", "at", "size", "part"), "key").filter((F.col("part_a") != F.col("part")) & room)
+    edges = _similar(pairs.select(F.least("node_a", "node").alias("a"), F.greatest("node_a", "node").alias("b")), rows, text_col, width, similarity)
+    many = rest.filter(F.col("others") > _PARTED)
+    if not many.isEmpty():
+        low = many.groupBy("key").agg(F.min("node").alias("low"))
+        linked = components(many.join(low, "key").select(F.col("node").alias("a"), F.col("low").alias("b")))
+        clusters = c.cut(linked.select(F.col("id").alias("node"), F.col("root").alias("cluster")))
+        edges = edges.union(_similar_in_clusters(clusters, rows, text_col, width, similarity))
+    return edges
+
+
 #: Members from which a bucket is dense, and of a block of a dense cluster.
 _DENSE, _BLOCK = 32, 256
 
@@ -360,8 +440,8 @@ def similar_classes(rows: DataFrame, width: int = 5, similarity: float = 0.8, te
     fewer words: the whole sequence) are at least ``similarity`` alike by Jaccard. Candidates come
     from SimHash fingerprints of the distinct words, as these move less by an edit than shingles do,
     with TABLES independent ones: pairs within 4 bits in any of them are candidates for certain,
-    others if they agree in a mask (all of a sample of pairs at 0.8 and more did). Rows of the same
-    word sequence, as of none, are alike without comparison.
+    others if they agree in a mask. What these miss comes from an exact prefix filter over the
+    shingles. Rows of the same word sequence, as of none, are alike without comparison.
 
     Buckets of up to _DENSE members are joined pair by pair. Larger ones link into clusters, as only
     families of copies make them, and each cluster is compared in blocks, once for all its buckets.
@@ -382,7 +462,11 @@ def similar_classes(rows: DataFrame, width: int = 5, similarity: float = 0.8, te
     edges = _similar(pairs, rows, text_col, width, similarity)
     if not clusters.isEmpty():
         edges = edges.union(_similar_in_clusters(clusters, rows, text_col, width, similarity))
-    found = components(edges).withColumnRenamed("id", "node")
+    edges = c.cut(edges)
+    linked = c.cut(components(edges).withColumnRenamed("id", "node"))
+    copies = c.cut(made.select("_tmk_row").join(nodes.select(F.col("node").alias("_tmk_row")), "_tmk_row", "left_anti"))
+    alone = rows.join(c.maybe_broadcast(copies, 48), "_tmk_row", "left_anti")
+    found = components(edges.union(_prefix_edges(alone, linked, text_col, width, similarity))).withColumnRenamed("id", "node")
     of = nodes.join(found, "node", "left").select("same", F.coalesce("root", "node").alias("root"))
     return made.join(of, "same").filter(F.col("_tmk_row") != F.col("root")).select("_tmk_row", "root")
 

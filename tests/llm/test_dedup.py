@@ -72,6 +72,25 @@ def test_similar_documents(spark, edge_docs, no_docs, sf_dir):
     assert simhash.drop_similar(no_docs).collect() == []
 
 
+def test_similar_documents_with_a_changed_end(spark, monkeypatch):
+    rng, texts = np.random.default_rng(5), []
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    for length, cut, added in ((100, 0, 20), (100, 0, 24), (300, 0, 60), (300, 30, 30), (24, 0, 5), (10, 0, 1), (120, 20, 0), (100, 0, 30)):
+        for _ in range(15):
+            w = word(length)
+            texts += [" ".join(w), " ".join(w[: length - cut] + word(added))]
+    rows = with_row(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    order = [r.doc_id for r in rows.orderBy("_tmk_row").collect()]
+    at = {r._tmk_row: r.doc_id for r in rows.collect()}
+    of = alike([texts[i] for i in order])
+    want = {order[i]: order[k] for i, k in enumerate(of) if i != k}
+    assert len(want) == 7 * 15
+    for most in (256, 0):  # pairs, then clusters
+        monkeypatch.setattr(simhash, "_PARTED", most)
+        got = {at[r._tmk_row]: at[r.root] for r in simhash.similar_classes(rows).collect()}
+        assert got == want
+
+
 def check_near(df, spark):
     docs = df.select("doc_id", "text").toPandas()
     fps = [fingerprint(t) for t in docs.text.where(docs.text.notna(), None)]
