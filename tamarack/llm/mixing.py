@@ -6,6 +6,7 @@ one document to the other, either way at random so that neither mean changes, un
 two is integral. The words that a source gives therefore stay the same at each step, and only
 the last fractional document is rounded on its own. Blocks of a source are rounded in parallel;
 the document that each leaves fractional goes on to the next level of a reduction tree.
+What the last document of a source of many blocks then adds or lacks goes back to the blocks.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tamarack.llm import _common as c
 from tamarack.llm._text import word_count
@@ -100,19 +102,52 @@ def pivot(p: np.ndarray, words: np.ndarray, u: np.ndarray, last: bool) -> np.nda
     return out
 
 
-def _rounded(level: int, last: bool):
+def _rounded(level: int):
     def of(table: pa.Table) -> pa.Table:
         n = table.num_rows
         ids, size = table["_key"].to_numpy(), table["size"].to_numpy()
         at = np.lexsort((ids, -size))  # from large to small, so that what is left over is small
         seed = xxhash.xxh64_intdigest(repr((level, table["source"][0].as_py(), table["_block"][0].as_py())))
         p = np.empty(n)
-        p[at] = pivot(table["_p"].to_numpy()[at], size[at].astype(float), np.random.Generator(np.random.Philox(seed)).random(n), last)
+        p[at] = pivot(table["_p"].to_numpy()[at], size[at].astype(float), np.random.Generator(np.random.Philox(seed)).random(n), table["_ends"][0].as_py() == level)
         return table.set_column(table.schema.get_field_index("_p"), "_p", pa.array(p))
 
     return of
 
 
+def _flipped(table: pa.Table) -> pa.Table:
+    """A block with documents of up to _share words, from large to small, added or (below 0) taken away."""
+    p, size, ids, left = table["_p"].to_numpy().copy(), table["size"].to_numpy(), table["_key"].to_numpy(), table["_share"][0].as_py()
+    for j in np.lexsort((ids, -size)):
+        if 0 < size[j] <= abs(left) and p[j] == (left < 0):
+            p[j] = 1 - p[j]
+            left += -size[j] if p[j] else size[j]
+    return table.set_column(table.schema.get_field_index("_p"), "_p", pa.array(p)).drop_columns(["_share"])
+
+
+def _evened(out: DataFrame) -> DataFrame:
+    """out with the words that sources of many blocks are off their targets evened out by documents that fit.
+
+    Only sums of blocks are compared, only blocks that are asked for words move. A round flips a
+    document at least where one fits, so rounds end.
+    """
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    while True:
+        many = out.filter("_ends > 0")
+        over = many.groupBy("source").agg((F.sum((F.col("copies") + F.col("_p")) * F.col("size")) - F.max("target")).alias("over")).filter("abs(over) >= 1 - 1e-6").select(F.col("source").alias("_of"), F.round("over").alias("over"))
+        over = c.maybe_broadcast(c.cut(over), 64)
+        fits = (F.col("size") > 0) & (F.col("size") <= F.abs("over")) & (F.col("_p") == F.when(F.col("over") > 0, 1.0).otherwise(0.0))
+        room = many.join(over, same("source", "_of")).filter(fits).groupBy("_of", "over", F.col("_leaf").alias("_at")).agg(F.sum("size").alias("room"))
+        left = F.abs("over") - (F.sum("room").over(Window.partitionBy("_of").orderBy("_at")) - F.col("room"))
+        asked = c.cut(room.withColumn("_left", left).filter("_left > 0").select("_of", "_at", (-F.signum("over") * F.least("room", "_left")).alias("_share")))
+        if asked.isEmpty():
+            return out
+        asked = c.maybe_broadcast(asked, 64)
+        at = same("source", "_of") & (F.col("_leaf") == F.col("_at"))
+        moved = c.cut(out.join(asked, at).drop("_of", "_at").groupBy("source", "_leaf").applyInArrow(_flipped, out.schema))
+        out = out.join(asked, at, "left_anti").union(moved)
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """One row per row of docs: id, size, source, source_size, target, copies, taken (copies * size), and keep.
 
@@ -132,19 +167,22 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     leaves = leaves.withColumn("copies", F.floor("_rate")).withColumn("_p", F.when(F.col("size") > 0, F.col("_rate") - F.col("copies")).otherwise(0.0))
     leaves = leaves.withColumn("_block", F.expr("pmod(_key, _blocks)")).drop("_rate")
     open_ = (F.col("_p") > 1e-12) & (F.col("_p") < 1 - 1e-12)
-    blocks, level = by_source.agg(F.max(F.ceil(F.col("n") / LEAF))).first()[0] or 1, 0
+    most, depth = by_source.agg(F.max(F.ceil(F.col("n") / LEAF))).first()[0] or 1, 0
+    while FAN**depth < most:
+        depth += 1
+    leaves = leaves.withColumn("_ends", F.coalesce(*[F.when(F.col("_blocks") <= FAN**i, i) for i in range(depth + 1)])).drop("_blocks")
+    leaves = leaves.withColumn("_leaf", F.col("_block"))
     done, now = [leaves.filter(~open_)], leaves.filter(open_)
-    while True:
-        last = blocks <= 1
-        now = c.cut(now.groupBy("source", "_block").applyInArrow(_rounded(level, last), now.schema))
+    for level in range(depth + 1):
+        if level:
+            now = now.filter(open_).withColumn("_block", F.floor(F.col("_block") / FAN))
+        now = c.cut(now.groupBy("source", "_block").applyInArrow(_rounded(level), now.schema))
         done.append(now.filter(~open_))
-        if last:
-            break
-        now = now.filter(open_).withColumn("_block", F.floor(F.col("_block") / FAN))
-        blocks, level = -(-blocks // FAN), level + 1
     out = done[0]
     for part in done[1:]:
         out = out.union(part)
+    if depth:
+        out = _evened(out)
     copies = (F.col("copies") + F.round("_p").cast("long")).alias("copies")
     return out.select(F.col("_id").alias(id_col), "size", "source", "source_size", "target", copies, (copies * F.col("size")).alias("taken"), *[F.col("_keep")[k].alias(k) for k in keep])
 

@@ -110,6 +110,18 @@ def test_mix_comes_near_its_targets_over_levels(spark, monkeypatch):
     assert mixing.apply_mix(df).count() == sum(r.copies for r in rows)
 
 
+def test_mix_evens_out_a_long_text_beside_and_in_a_source_of_many_blocks(spark):
+    text = F.when(F.col("id") == 0, F.repeat(F.lit("w "), 20_000)).otherwise(F.repeat(F.lit("w "), 100))
+    for start in (0, 10_000, 20_000):
+        few = spark.range(201).select((F.col("id") + start).alias("doc_id"), F.lit("few").alias("source"), text.alias("text"))
+        many = spark.range(5001).select((F.col("id") + start).alias("doc_id"), F.lit("many").alias("source"), F.when(F.col("id") == 0, F.repeat(F.lit("w "), 20_000)).otherwise(F.repeat(F.lit("w "), 4)).alias("text"))
+        rows = mixing.mix(few.union(many), weights=(1, 1)).collect()
+        for source in ("few", "many"):
+            own = [r for r in rows if r.source == source]
+            assert own[0].target == pytest.approx(60_000)
+            assert abs(sum(r.taken for r in own) - 60_000) <= 100, (source, start)
+
+
 def test_pivot_keeps_means():
     rng = np.random.default_rng(4)
     words, p = np.array([30.0, 10, 20, 5]), np.array([0.3, 0.6, 0.5, 0.2])
