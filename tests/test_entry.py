@@ -1,3 +1,4 @@
+import json
 import math
 import os
 
@@ -35,3 +36,15 @@ def test_entry(spark):
 
 def test_every_sql_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_the_catalog_has_whole_texts(spark, sf_dir):
+    from tamarack.plans.queries import _catalog
+
+    read = lambda t, i: {str(r[i]): r.text for r in spark.read.parquet(f"{sf_dir}/{t}.parquet").collect()}
+    docs, items = read("documents", "doc_id"), read("benchmark", "item_id")
+    catalog, requests = _catalog(spark, sf_dir)
+    drugs = {r.key: json.loads(r.rec)["indications_and_usage"] for r in catalog.index("drugs").records.collect()}
+    assert max(map(len, drugs.values())) > 200 and drugs == {k: docs[k] for k in drugs}
+    seen = {str(r.query_id): r.ocr_text for r in requests.collect() if r.ocr_text}
+    assert seen and seen == {k: items[k] for k in seen}
