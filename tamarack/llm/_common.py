@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,29 +19,78 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir; a temporary one where that is unset, in local mode only."""
     at = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tamarack-"))
         at = spark.sparkContext.getCheckpointDir()
     return at
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the shared folder.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    Shuffle files go when the driver collects its garbage, which may be long after; iterations
-    would fill the disks meanwhile, so it is told to.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a reliable checkpoint in the shared folder; the shuffles that made it leave the disks."""
     shared_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        conf.set(_CLEANUP, before)
+
+
+def emptied(spark: SparkSession, path: str) -> None:
+    """Frees the space of an intermediate folder in the shared store by an empty table in its place."""
+    spark.createDataFrame([], "gone string").write.mode("overwrite").parquet(path)
+
+
+#: Bits of an identity for the place in a file; files whose numbers are broadcast at most.
+_ROWS, _LISTED = 40, 200_000
+
+
+def _scans_files(df: DataFrame) -> bool:
+    """Whether df is columns and filters over one table of Parquet files, so each row has a place of its own."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    return plan.nodeName() == "LogicalRelation" and plan.toString().rstrip().endswith(" parquet")
 
 
 def with_row(df: DataFrame, name: str = "_tmk_row") -> DataFrame:
-    """df with an identity for each row, equal in every reading of the same files."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """df with an identity for each row, equal whenever and wherever the result is planned again.
+
+    Rows of Parquet files are identified by the number of their file, by path, and their place in it,
+    however the files are split into tasks. Any other df is written once to the shared folder, with
+    an identity given there. Columns of df that are named like the identity get one more underscore
+    until without_row takes it away.
+    """
+    for x in sorted(df.columns, key=len, reverse=True):
+        if re.fullmatch(f"{name}_*", x, re.IGNORECASE):
+            df = df.withColumnRenamed(x, f"{x}_")
+    if _scans_files(df):
+        at = df.metadataColumn("_metadata")
+        paths = sorted(r[0] for r in df.select(at["file_path"]).distinct().limit(_LISTED + 1).collect())
+        if len(paths) <= _LISTED:
+            files = df.sparkSession.createDataFrame(list(enumerate(paths)), "_tmk_n long, _tmk_path string")
+            numbered = df.select("*", at["file_path"].alias("_tmk_file"), at["row_index"].alias("_tmk_at"))
+            joined = numbered.join(F.broadcast(files), F.col("_tmk_file") == F.col("_tmk_path"), "left")
+            number = F.coalesce("_tmk_n", F.raise_error(F.lit("a file came or went")).cast("long"))
+            return joined.select(*[numbered[x] for x in df.columns], F.shiftleft(number, _ROWS).bitwiseOR(F.col("_tmk_at")).alias(name))
+    return cut(df.withColumn(name, F.monotonically_increasing_id()))
+
+
+def without_row(df: DataFrame, name: str = "_tmk_row") -> DataFrame:
+    """df (made by with_row) without the identity; columns that had to make way have their names again."""
+    df = df.drop(name)
+    for x in sorted(df.columns, key=len):
+        if re.fullmatch(f"{name}_+", x, re.IGNORECASE):
+            df = df.withColumnRenamed(x, x[:-1])
+    return df
 
 
 def ascii_lower(c: Column) -> Column:
@@ -56,4 +106,4 @@ def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES)
 
 def without_rows(df: DataFrame, gone: DataFrame, row: str = "_tmk_row") -> DataFrame:
     """The rows of df (made by with_row) whose identity isn't in gone, without that column."""
-    return df.join(maybe_broadcast(cut(gone.select(row)), 48), row, "left_anti").drop(row)
+    return without_row(df.join(maybe_broadcast(cut(gone.select(row)), 48), row, "left_anti"), row)
