@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from tamarack.llm import _common as c
 from tamarack.llm._text import pieces, utf8
 from tamarack.llm.components import components
+from tamarack.llm.decontam import window_hashes
 
 SEED = 42
 _LANES = np.uint64(0x0101010101010101)
@@ -154,8 +155,10 @@ def chain_holds(a: Column, b: Column, bits: int, ring: int | None = None) -> Col
     return some
 
 
-#: Members outside the largest part of a bucket up to which they are compared with all of it.
-_PARTED = 256
+#: Members outside the largest part of a bucket up to which they are compared with all of it, and
+#: bits of the count of fingerprints by which it grows: keys have 25 bits, so chance alone fills a
+#: bucket with one in 2 ** 25, an eighth of what is allowed.
+_PARTED, _CHANCE = 256, 22
 
 
 def _ball_edges(fps: DataFrame, bits: int) -> DataFrame:
@@ -181,25 +184,27 @@ def link_classes(fps: DataFrame, bits: int = 4) -> DataFrame:
 
     First each member of a bucket is compared with the bucket's least and greatest member. Buckets
     that are then of one class are done; in the others, what isn't in the largest class is compared
-    with all members of other classes. Where that is over _PARTED members, the edges come from
-    _ball_edges instead, so no bucket needs a number of pairs that grows with its square.
+    with all members of other classes. Where that is over _PARTED members, and more than chance puts
+    into a bucket, the edges come from _ball_edges instead, so no bucket needs a number of pairs that
+    grows with its square. Both ways lose nothing.
     """
+    most = max(_PARTED, fps.count() >> _CHANCE)
     near = lambda a, b: chain_holds(F.col(a), F.col(b), bits) & (hamming(F.col(a), F.col(b)) <= bits)
     masks = F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in ring_masks(bits)])
     keys = fps.select("fp", F.posexplode(masks).alias("mask", "key")).repartition("mask", "key")
     shared = keys.groupBy("mask", "key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high")
     members = c.cut(keys.join(shared, ["mask", "key"]).select("mask", "key", "fp", "low", "high"))
-    led = [members.filter(F.col("fp") != F.col(x)).filter(near("fp", x)).select(F.col("fp").alias("a"), F.col(x).alias("b")) for x in ("low", "high")]
-    edges = c.cut(led[0].union(led[1]).distinct())
+    led = [members.filter(F.col("fp") != F.col(x)).filter(near("fp", x)).groupBy(F.col("fp").alias("a")).agg(pick(x).alias("b")) for x, pick in (("low", F.min), ("high", F.max))]
+    edges = c.cut(led[0].union(led[1]))
     roots = components(edges).withColumnRenamed("id", "fp")
     parted = members.join(roots, "fp", "left").select("mask", "key", "fp", F.coalesce("root", "fp").alias("part"))
     parts = parted.groupBy("mask", "key", "part").agg(F.count(F.lit(1)).alias("n"))
     main = parts.groupBy("mask", "key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), (F.sum("n") - F.max("n")).alias("others")).filter("others > 0")
     rest = c.cut(parted.join(main, ["mask", "key"]))
-    few = rest.filter(F.col("others") <= _PARTED)
+    few = rest.filter(F.col("others") <= most)
     apart = few.filter(F.col("part") != F.col("main")).select("mask", "key", F.col("fp").alias("a"), F.col("part").alias("part_a"))
     found = apart.join(few.select("mask", "key", F.col("fp").alias("b"), "part"), ["mask", "key"]).filter((F.col("part_a") != F.col("part")) & near("a", "b")).select("a", "b")
-    if not (many := rest.filter(F.col("others") > _PARTED).select("fp").distinct()).isEmpty():
+    if not (many := rest.filter(F.col("others") > most).select("fp").distinct()).isEmpty():
         found = found.union(_ball_edges(many, bits))
     return components(edges.union(found)).withColumnRenamed("id", "fp")
 
@@ -232,9 +237,32 @@ def drop_near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4, id_col:
 # Near duplicates by similarity: fingerprints and rare shingles propose, shingles decide.
 
 #: Independent fingerprints of a text's distinct words; of the masks of each, one in common makes a candidate.
-TABLES = 4
-#: Bits of 64 that candidates may differ in, and the bits for which one table's masks miss nothing.
+TABLES = 2
+#: Bits of 64 that candidates may differ in, and the bits for which a table's masks miss nothing.
 _REACH, _SURE = 12, 4
+_VOCABULARY = 1 << 18
+
+
+class Words(dict):
+    """From a word to its hash; forgets all when full."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word, SEED)
+        return h
+
+    def hashes(self, text: str | None) -> np.ndarray:
+        """The hash of each word of text, A-Z in lower case."""
+        parts = []
+        for piece in pieces(utf8(text).lower()):
+            if len(self) > _VOCABULARY:
+                self.clear()
+            parts.append(np.fromiter(map(self.__getitem__, words := piece.split()), np.uint64, len(words)))
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
+    """Sorted hashes of the distinct runs of ``width`` words; of all words, if there are fewer."""
+    return np.unique(window_hashes(words, min(width, len(words))).view(np.int64)) if len(words) else np.zeros(0, np.int64)
 
 
 def _mixed(h: np.ndarray, table: int) -> np.ndarray:
@@ -245,55 +273,115 @@ def _mixed(h: np.ndarray, table: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_fingerprints(text: str | None, tables: int = TABLES) -> tuple[bytes, list[int]]:
-    """A digest of the word sequence, and ``tables`` signed fingerprints of the set of words."""
-    whole, words, between = xxhash.xxh3_128(), set(), b""
-    for piece in pieces(utf8(text).lower()):
-        own = piece.split()
-        if own:
-            whole.update(between + b" ".join(own))
-            words.update(own)
-            between = b" "
-    if not words:
-        return whole.digest(), [0] * tables
-    h = np.frombuffer(b"".join([xxhash.xxh64_digest(w, SEED) for w in words]), ">u8").astype(np.uint64)
-    return whole.digest(), [int(majority(_mixed(h, t), np.array([len(h)])).view(np.int64)[0]) for t in range(tables)]
-
-
-def _word_rows(rows: DataFrame, text_col: str) -> DataFrame:
+#: Of so many rows, one is counted to tell common shingles; most common shingles that are told.
+_COUNTED, _COMMON = 16, 1 << 20
+
+
+def _common_shingles(rows: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that a sample of rows has repeatedly, and how often. They only order prefixes."""
+
+    def kernel(batches):
+        known = Words()
+        for b in batches:
+            sets = [shingle_set(known.hashes(t), width) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], names=["key"])
+
+    some = rows.filter(F.expr(f"pmod(xxhash64(_tmk_row), {_COUNTED}) = 0")).select(text_col).mapInArrow(kernel, "key long")
+    table = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy(F.desc("n"), "key").limit(_COMMON).toArrow()
+    keys, n = table["key"].to_numpy(), table["n"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def prefix(shingles: np.ndarray, common: np.ndarray, often: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of the distinct shingles, from rare to common, of which similar sets have one in common."""
+    if not len(shingles):
+        return shingles
+    weight = np.zeros(len(shingles), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        weight = np.where(common[at] == shingles, often[at], 0)
+    most = len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-9)) + 1
+    return shingles[np.lexsort((shingles, weight))[:most]]
+
+
+#: Longs of the parity of a set: bit k tells whether an odd number of its hashes end in k.
+_PARITY = 16
+_SKETCH = "_tmk_row long, same binary, fps array<long>, size int, keys array<long>, parity array<long>"
+
+
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Two sets differ in at least as many members as their parities do in bits."""
+    odd = np.bincount(shingles & (64 * _PARITY - 1), minlength=64 * _PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def sketches(rows: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
+    """Of each row: a digest of its words, fingerprints of its set of words; size, prefix and parity of its set of shingles."""
+    told = rows.sparkSession.sparkContext.broadcast(_common_shingles(rows, text_col, width))
+    types = (pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+
     def kernel(batches):
+        common, often = told.value
+        known = Words()
+
+        def batch(rows, same, sets, sizes, keys, parities):
+            fps, some = np.zeros((len(sets), TABLES), np.int64), [i for i, s in enumerate(sets) if len(s)]
+            if some:
+                h, n = np.concatenate([sets[i] for i in some]), np.array([len(sets[i]) for i in some])
+                for t in range(TABLES):
+                    fps[some, t] = majority(_mixed(h, t), n).view(np.int64)
+            return pa.RecordBatch.from_arrays([rows, *[pa.array(x, t) for x, t in zip((same, list(fps), sizes, keys, parities), types, strict=True)]], names=["_tmk_row", "same", "fps", "size", "keys", "parity"])
+
         for b in batches:
-            made = [word_fingerprints(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.list_(pa.int64()))], names=["_tmk_row", "same", "fps"])
+            at, held, cols = 0, 0, ([], [], [], [], [])
+            for i, text in enumerate(b.column(1).to_pylist()):
+                words = known.hashes(text)
+                own, shingles = np.unique(words), shingle_set(words, width)
+                for col, v in zip(cols, (xxhash.xxh3_128_digest(words.tobytes()), own, len(shingles), prefix(shingles, common, often, similarity), parity(shingles)), strict=True):
+                    col.append(v)
+                held += len(own)
+                if held > 1 << 20:
+                    yield batch(b.column(0)[at : i + 1], *cols)
+                    at, held, cols = i + 1, 0, ([], [], [], [], [])
+            yield batch(b.column(0)[at:], *cols)
 
-    return rows.select("_tmk_row", text_col).mapInArrow(kernel, "_tmk_row long, same binary, fps array<long>")
+    return rows.select("_tmk_row", text_col).mapInArrow(kernel, _SKETCH)
 
 
 def _shingle_sets(rows: DataFrame, nodes: DataFrame, text_col: str, width: int) -> DataFrame:
     """(node, set) of the rows in nodes: sorted hashes of their distinct shingles."""
 
     def kernel(batches):
+        known = Words()
         for b in batches:
-            sets = [np.unique(shingle_hashes(t, width).view(np.int64)) for t in b.column(1).to_pylist()]
+            sets = [shingle_set(known.hashes(t), width) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
     own = rows.join(c.maybe_broadcast(nodes.withColumnRenamed("node", "_tmk_row"), 48), "_tmk_row", "left_semi")
     return own.select("_tmk_row", text_col).mapInArrow(kernel, "node long, set array<long>")
 
 
-def _similar(pairs: DataFrame, rows: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of rows whose shingle sets have that Jaccard similarity or more."""
-    pairs = c.cut(pairs.distinct())
+def _similar(pairs: DataFrame, made: DataFrame, rows: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of rows whose shingle sets have that Jaccard similarity or more.
+
+    Those whose parities (in made) differ in more bits than similar sets do in members are out; sets decide on the others.
+    """
+    own = lambda x: made.select(F.col("_tmk_row").alias(x), F.col("size").alias(f"size_{x}"), F.col("parity").alias(f"parity_{x}"))
+    apart = F.aggregate(F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    few = apart <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) + 1e-6
+    pairs = c.cut(pairs.distinct().join(own("a"), "a").join(own("b"), "b").filter(few).select("a", "b"))
     sets = c.cut(_shingle_sets(rows, c.cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()), text_col, width))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
     shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("sum"))
-    return shared.filter(F.col("n") >= similarity * (F.col("sum") - F.col("n"))).select("a", "b")
+    return c.cut(shared.filter(F.col("n") >= similarity * (F.col("sum") - F.col("n")) - 1e-9).select("a", "b"))
 
 
-def joined_forest(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links (positions in left + right) that connect what pairs of a left and a right set of that similarity connect.
+def joined_forest(left: list[np.ndarray], right: list[np.ndarray], parts: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links (positions in left + right) between parts that connect what pairs of a left and a right set of that similarity connect.
 
-    Sets become rows of 0 and 1 over a slice of the hashes at a time, so their products count what is shared.
+    What is in one of ``parts`` (a number for each set) is connected already. Sets become rows of 0
+    and 1 over a slice of the hashes at a time, so their products count what is shared.
     """
     sets, n = [*left, *right], len(left)
     all_ = np.unique(np.concatenate(sets))
@@ -305,10 +393,11 @@ def joined_forest(left: list[np.ndarray], right: list[np.ndarray], similarity: f
             rows[r, np.searchsorted(part, x[np.searchsorted(x, part[0]) : np.searchsorted(x, part[-1], "right")])] = 1
         shared += rows[:n] @ rows[n:].T
     size = np.array([len(x) for x in sets], np.float32)
-    alike = shared >= similarity * (size[:n, None] + size[None, n:] - shared)
+    alike = (shared >= similarity * (size[:n, None] + size[None, n:] - shared) - 1e-4) & (parts[:n, None] != parts[None, n:])
+    _, of = np.unique(parts, return_inverse=True)
     root, out = list(range(len(sets))), []
     for a, b in np.argwhere(alike).tolist():
-        x, y = a, b + n
+        x, y = int(of[a]), int(of[b + n])
         while root[x] != x:
             root[x] = x = root[root[x]]
         while root[y] != y:
@@ -319,160 +408,138 @@ def joined_forest(left: list[np.ndarray], right: list[np.ndarray], similarity: f
     return out
 
 
-#: Of so many rows, one is counted to tell common shingles; most common shingles that are told.
-_COUNTED, _COMMON = 16, 1 << 20
+def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b): each node with the nearest of the leaders of its buckets, if pigeonring lets any pass.
 
+    A bucket holds the nodes that agree in a mask of a table; its leaders are its least and its
+    greatest node. nodes: (node, fps).
+    """
+    tables = nodes.filter(F.exists("fps", lambda f: f != 0)).select("node", F.posexplode("fps").alias("t", "fp"))
+    each = tables.select("node", "t", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in ring_masks(_SURE)])).alias("m", "key"))
+    keys = each.select("node", "fp", F.xxhash64("t", "m", "key").alias("bucket")).repartition("bucket")
+    ends = keys.groupBy("bucket").agg(F.min("node").alias("low"), F.min_by("fp", "node").alias("low_fp"), F.max("node").alias("high"), F.max_by("fp", "node").alias("high_fp")).filter("low <> high")
+    led = keys.join(ends.hint("shuffle_hash"), "bucket").select("node", "fp", F.explode(F.array(F.struct(F.col("low").alias("b"), F.col("low_fp").alias("fb")), F.struct(F.col("high").alias("b"), F.col("high_fp").alias("fb")))).alias("l")).select("node", "fp", "l.*")
+    far = hamming(F.col("fp"), F.col("fb"))
+    near = led.filter((F.col("node") != F.col("b")) & chain_holds(F.col("fp"), F.col("fb"), _REACH, _SURE + 1) & (far <= _REACH))
+    return near.groupBy("node").agg(F.min_by("b", far).alias("b")).select(F.col("node").alias("a"), "b")
 
-def _common_shingles(rows: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles that a sample of rows has repeatedly, and how often. They only order prefixes."""
 
-    def kernel(batches):
-        for b in batches:
-            sets = [np.unique(shingle_hashes(t, width).view(np.int64)) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], names=["key"])
+def _room(similarity: float, size_a: str, at_a: str, size_b: str, at_b: str) -> Column:
+    """Whether two sets that have the shingles at these places of their prefixes in common can be similar."""
+    least = F.lit(similarity / (1 + similarity)) * (F.col(size_a) + F.col(size_b)) - 1e-6
+    return F.least(F.col(size_a) - F.col(at_a), F.col(size_b) - F.col(at_b)) >= least
 
-    some = rows.filter(F.expr(f"pmod(xxhash64(_tmk_row), {_COUNTED}) = 0")).select(text_col).mapInArrow(kernel, "key long")
-    table = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy(F.desc("n"), "key").limit(_COMMON).toArrow()
-    keys, n = table["key"].to_numpy(), table["n"].to_numpy()
-    order = np.argsort(keys)
-    return keys[order], n[order]
 
+def _prefix_members(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(key, node, at, size, first) of the shared shingles of the prefixes; nodes: (node, size, keys).
 
-def prefix(shingles: np.ndarray, common: np.ndarray, often: np.ndarray, similarity: float) -> np.ndarray:
-    """The first of the distinct shingles, from rare to common, of which similar sets have one in common."""
-    if not len(shingles):
-        return shingles
-    weight = np.zeros(len(shingles), np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-        weight = np.where(common[at] == shingles, often[at], 0)
-    most = len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-9)) + 1
-    return shingles[np.lexsort((shingles, weight))[:most]]
+    Of two similar sets, the smaller has a common shingle in a still shorter prefix, marked first. A
+    shingle without such a set, and sets that can't be similar to any of its sets, are left out.
+    """
+    first = F.col("at") <= F.col("size") - F.ceil(F.col("size") * (2 * similarity / (1 + similarity)) - 1e-9)
+    packed = nodes.select("node", "size", F.posexplode("keys").alias("at", "key")).select("key", "node", (F.shiftleft(F.col("size").cast("long"), 32) + F.col("at")).alias("place")).repartition("key")
+    each = packed.select("key", "node", (F.col("place") % (1 << 32)).cast("int").alias("at"), F.shiftright("place", 32).cast("int").alias("size")).withColumn("first", first)
+    full = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("first"), F.col("size"))).alias("least")).filter("n > 1 and least is not null")
+    room = (F.col("size") - F.col("at")) >= F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("least")) - 1e-6
+    return each.join(full.hint("shuffle_hash"), "key").filter(F.col("first") | room).select("key", "node", "at", "size", "first", "n")
 
 
-def _prefix_rows(rows: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
-    """(key, node, at, size): the prefix of each row's shingle set, with the place in it and the size of the set."""
-    common, often = _common_shingles(rows, text_col, width)
-    told = rows.sparkSession.sparkContext.broadcast((common, often))
+def _prefix_leader_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): each node with two leaders of its shingles, that of the rarest and that of the commonest.
+
+    A shingle's leader is the set that has the fewest rarer ones, as the original of a family of
+    copies has fewer than its copies, each of which has edits of its own.
+    """
+    lead = members.groupBy("key").agg(F.min(F.struct("at", "node", "size")).alias("l")).select("key", F.col("l.node").alias("b"), F.col("l.at").alias("at_b"), F.col("l.size").alias("size_b"))
+    led = members.join(lead, "key").filter((F.col("node") != F.col("b")) & _room(similarity, "size", "at", "size_b", "at_b"))
+    two = led.groupBy("node").agg(F.array_distinct(F.array(F.min_by("b", "at"), F.max_by("b", "n"))).alias("b"))
+    return two.select(F.col("node").alias("a"), F.explode("b").alias("b"))
 
-    def kernel(batches):
-        common, often = told.value
-        for b in batches:
-            keys, sizes = [], []
-            for t in b.column(1).to_pylist():
-                own = np.unique(shingle_hashes(t, width).view(np.int64))
-                keys.append(prefix(own, common, often, similarity))
-                sizes.append(len(own))
-            n = [len(k) for k in keys]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.concatenate([np.zeros(0, np.int32), *[np.arange(k, dtype=np.int32) for k in n]])), pa.array(np.repeat(np.array(sizes, np.int32), n))], names=["key", "node", "at", "size"])
 
-    return rows.select("_tmk_row", text_col).mapInArrow(kernel, "key long, node long, at int, size int")
+#: Comparisons of one shingle's bucket up to which its sets are joined; members of a block beyond.
+_PAIRS, _BLOCK = 1 << 14, 256
 
 
-def _prefix_edges(rows: DataFrame, found: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
-    """Edges (a, b) that, with those of which found has the classes (node, root), connect all similar rows.
+def _prefix_edges(members: DataFrame, linked: DataFrame, made: DataFrame, rows: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
+    """Edges (a, b) that, with those of which linked has the classes (node, root), connect all similar rows.
 
-    Two sets of that similarity share one of their rarest shingles, so members of a shingle's bucket
-    are compared, but for those already in one class. What isn't in the bucket's largest class is
-    joined with all others whose sizes and places leave room for the similarity; if that is over
-    _PARTED members, the bucket's members become part of a cluster.
+    In a shingle's bucket, sets are compared but for those already in one class: what isn't in the
+    largest class with all others, pairs whose sizes and places leave room for the similarity.
     """
-    keys = _prefix_rows(rows, text_col, width, similarity).repartition("key")
-    full = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = keys.join(full.hint("shuffle_hash"), "key").drop("n")
-    members = c.cut(members.join(c.maybe_broadcast(found, 64), "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root"))
-    parts = members.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
-    main = parts.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), (F.sum("n") - F.max("n")).alias("others")).filter("others > 0")
-    rest = c.cut(members.join(main, "key"))
-    few = rest.filter(F.col("others") <= _PARTED)
-    apart = few.filter(F.col("part") != F.col("main")).select("key", *[F.col(x).alias(f"{x}_a") for x in ("node", "at", "size", "part")])
-    least = F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size")) - 1e-6
-    room = F.least(F.col("size_a") - F.col("at_a"), F.col("size") - F.col("at")) >= least
-    pairs = apart.join(few.select("key", "node", "at", "size", "part"), "key").filter((F.col("part_a") != F.col("part")) & room)
-    edges = _similar(pairs.select(F.least("node_a", "node").alias("a"), F.greatest("node_a", "node").alias("b")), rows, text_col, width, similarity)
-    many = rest.filter(F.col("others") > _PARTED)
-    if not many.isEmpty():
-        low = many.groupBy("key").agg(F.min("node").alias("low"))
-        linked = components(many.join(low, "key").select(F.col("node").alias("a"), F.col("low").alias("b")))
-        clusters = c.cut(linked.select(F.col("id").alias("node"), F.col("root").alias("cluster")))
-        edges = edges.union(_similar_in_clusters(clusters, rows, text_col, width, similarity))
-    return edges
-
-
-#: Members from which a bucket is dense, and of a block of a dense cluster.
-_DENSE, _BLOCK = 32, 256
-
-
-def _similar_in_clusters(clusters: DataFrame, rows: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
-    """Edges (a, b) that connect all similar rows within each cluster; clusters: (node, cluster).
-
-    A cluster is dealt into blocks by hash; a task compares one block with one, and returns no
-    more links than it has rows.
+    parted = members.drop("n").join(c.maybe_broadcast(linked, 64), "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
+    parts = parted.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    main = parts.groupBy("key").agg(F.max_by("part", "n").alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("others")).filter("others > 0")
+    rest = c.cut(parted.join(main, "key").withColumn("apart", F.col("part") != F.col("main")).drop("main"))
+    few = rest.filter(F.col("others") * F.col("all") <= _PAIRS)
+    a = few.filter("first").select("key", *[F.col(x).alias(f"{x}_a") for x in ("node", "at", "size", "part", "apart")])
+    b = few.select("key", "node", "at", "size", "part", "apart")
+    smaller = F.struct("size_a", "node_a") < F.struct("size", "node")
+    fits = smaller & (F.col("part_a") != F.col("part")) & _room(similarity, "size_a", "at_a", "size", "at")
+    pairs = a.filter("apart_a").join(b, "key").filter(fits).union(a.filter("not apart_a").join(b.filter("apart"), "key").filter(fits))
+    edges = _similar(pairs.select(F.col("node_a").alias("a"), F.col("node").alias("b")), made, rows, text_col, width, similarity)
+    many = rest.filter(F.col("others") * F.col("all") > _PAIRS)
+    return edges if many.isEmpty() else edges.union(_block_edges(many, rows, text_col, width, similarity))
+
+
+def _block_edges(many: DataFrame, rows: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
+    """Edges (a, b) between the parts that connect all similar rows within each key; many: (key, node, part, apart).
+
+    What is apart from the largest part, and that part, are dealt into blocks by hash. A task compares
+    one block of the former with one of either, and returns fewer links than these have parts.
     """
-    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).alias("blocks"))
-    sets = _shingle_sets(rows, clusters.select("node"), text_col, width)
-    own = clusters.join(blocks, "cluster").withColumn("at", F.expr("pmod(xxhash64(node), blocks)")).join(sets, "node")
-    each = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("cluster", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "node", "set")
+    counts = many.groupBy("key").agg(F.ceil(F.count(F.when(F.col("apart"), 1)) / _BLOCK).alias("ka"), F.ceil(F.count(F.when(~F.col("apart"), 1)) / _BLOCK).alias("km"))
+    sets = _shingle_sets(rows, c.cut(many.select("node").distinct()), text_col, width)
+    own = many.join(counts, "key").withColumn("at", F.expr("if(apart, pmod(xxhash64(node), ka), ka + pmod(xxhash64(node), km))")).join(sets, "node")
+    each = own.withColumn("other", F.explode(F.expr("sequence(0, if(apart, ka + km, ka) - 1)"))).select("key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "node", "part", "set")
 
     def compare(table: pa.Table) -> pa.Table:
-        at, node = table["at"].to_numpy(), table["node"].to_numpy()
-        order = np.lexsort((node, at))
-        lists = table["set"].combine_chunks()
-        values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-        sets, at, node = [values[ends[k] : ends[k + 1]] for k in order], at[order], node[order]
-        n = int((at == at[0]).sum())
-        same = n == len(sets)
-        if same and table["i"][0].as_py() != table["j"][0].as_py():
-            links = []  # the other block is empty
-        elif same:
-            links = [(a, b - n) for a, b in joined_forest(sets, sets, similarity) if a != b - n]
-        else:
-            links = joined_forest(sets[:n], sets[n:], similarity)
+        table = table.sort_by([("at", "ascending"), ("node", "ascending")]).combine_chunks()
+        at, node, part = (table[x].to_numpy() for x in ("at", "node", "part"))
+        sets = [x.values.to_numpy() for x in table["set"]]
+        n, same = int((at == at[0]).sum()), table["i"][0].as_py() == table["j"][0].as_py()
+        if same:
+            links = [(a, b - n) for a, b in joined_forest(sets, sets, np.concatenate((part, part)), similarity)]
+        else:  # the other block may be empty
+            links = joined_forest(sets[:n], sets[n:], part, similarity) if n < len(sets) else []
         return pa.table({"a": pa.array([int(node[a]) for a, _ in links], pa.int64()), "b": pa.array([int(node[b]) for _, b in links], pa.int64())})
 
-    return each.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
+    return c.cut(each.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"))
 
 
 def similar_classes(rows: DataFrame, width: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
     """(_tmk_row, root) of each row of rows that is in a class with an earlier one; root is the class's first row.
 
-    Classes are the components of pairs whose sets of ``width``-word shingles (ASCII lower case;
-    fewer words: the whole sequence) are at least ``similarity`` alike by Jaccard. Candidates come
-    from SimHash fingerprints of the distinct words, as these move less by an edit than shingles do,
-    with TABLES independent ones: pairs within 4 bits in any of them are candidates for certain,
-    others if they agree in a mask. What these miss comes from an exact prefix filter over the
-    shingles. Rows of the same word sequence, as of none, are alike without comparison.
-
-    Buckets of up to _DENSE members are joined pair by pair. Larger ones link into clusters, as only
-    families of copies make them, and each cluster is compared in blocks, once for all its buckets.
+    rows has _tmk_row. Classes are the components of pairs whose sets of ``width``-word shingles
+    (ASCII lower case; fewer words: the whole sequence) are at least ``similarity`` alike by Jaccard;
+    no such pair is lost. Rows of the same word sequence, as null, empty and blank ones of none, are
+    alike without comparison, so repeated rows and ties are in one class. Texts of any length are
+    read whole, an empty table gives no rows, other columns aren't read.
+
+    Pigeonring over SimHash fingerprints of the distinct words, which move less by an edit than
+    those of shingles do, gives each text the nearest leader of its buckets; what shares a rare
+    shingle gives it two more. Shingle sets decide on these pairs, a few for each text, and so link
+    families of copies. An exact prefix filter over the shingles, within which only texts of
+    different classes are compared, then finds whatever that leaves apart.
     """
-    made = c.cut(_word_rows(rows, text_col))
-    nodes = c.cut(made.groupBy("same").agg(F.min("_tmk_row").alias("node"), F.min_by("fps", "_tmk_row").alias("fps")))
-    masks = ring_masks(_SURE)
-    each = nodes.filter(F.exists("fps", lambda f: f != 0)).select("node", F.posexplode("fps").alias("t", "fp")).select("node", "t", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("m", "key"))
-    keys = each.select("node", "fp", F.xxhash64("t", "m", "key").alias("bucket")).repartition("bucket")
-    full = keys.groupBy("bucket").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = c.cut(keys.join(full.hint("shuffle_hash"), "bucket"))
-    clusters = c.cut(components(members.filter((F.col("n") > _DENSE) & (F.col("node") != F.col("low"))).select(F.col("node").alias("a"), F.col("low").alias("b"))).select(F.col("id").alias("node"), F.col("root").alias("cluster")))
-    few = members.filter(F.col("n") <= _DENSE).join(c.maybe_broadcast(clusters, 64), "node", "left").select("bucket", "node", "fp", F.coalesce("cluster", "node").alias("cluster"))
-    few = few.repartition("bucket")
-    other = few.select("bucket", F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("cluster").alias("cb"))
-    apart = chain_holds(F.col("fp"), F.col("fb"), _REACH, _SURE + 1) & (hamming(F.col("fp"), F.col("fb")) <= _REACH) & (F.col("cluster") != F.col("cb"))
-    pairs = few.join(other, (few.bucket == other.bucket) & (F.col("node") < F.col("b")) & apart).select(F.col("node").alias("a"), "b")
-    edges = _similar(pairs, rows, text_col, width, similarity)
-    if not clusters.isEmpty():
-        edges = edges.union(_similar_in_clusters(clusters, rows, text_col, width, similarity))
-    edges = c.cut(edges)
+    made = c.cut(sketches(rows, text_col, width, similarity))
+    firsts = c.cut(made.groupBy("same").agg(F.min("_tmk_row").alias("node")))
+    copies = c.cut(made.select("_tmk_row").join(firsts.select(F.col("node").alias("_tmk_row")), "_tmk_row", "left_anti"))
+    nodes = made.join(c.maybe_broadcast(copies, 48), "_tmk_row", "left_anti").withColumnRenamed("_tmk_row", "node")
+    members = c.cut(_prefix_members(nodes, similarity))
+    pairs = c.cut(_fingerprint_pairs(nodes)).union(_prefix_leader_pairs(members, similarity))
+    edges = _similar(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), made, rows, text_col, width, similarity)
     linked = c.cut(components(edges).withColumnRenamed("id", "node"))
-    copies = c.cut(made.select("_tmk_row").join(nodes.select(F.col("node").alias("_tmk_row")), "_tmk_row", "left_anti"))
-    alone = rows.join(c.maybe_broadcast(copies, 48), "_tmk_row", "left_anti")
-    found = components(edges.union(_prefix_edges(alone, linked, text_col, width, similarity))).withColumnRenamed("id", "node")
-    of = nodes.join(found, "node", "left").select("same", F.coalesce("root", "node").alias("root"))
-    return made.join(of, "same").filter(F.col("_tmk_row") != F.col("root")).select("_tmk_row", "root")
+    more = _prefix_edges(members, linked, made, rows, text_col, width, similarity)
+    found = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)).withColumnRenamed("id", "node")
+    of = firsts.join(found, "node", "left").select("same", F.coalesce("root", "node").alias("root"))
+    return made.select("_tmk_row", "same").join(of, "same").filter(F.col("_tmk_row") != F.col("root")).select("_tmk_row", "root")
 
 
 def drop_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each class of similar_classes: that with the smallest id (a null id comes last), then the first row."""
+    """docs with one row of each class of similar_classes: that with the smallest id (a null id comes last), then the first row.
+
+    All columns stay, whatever their names; an empty table stays empty.
+    """
     rows = c.with_row(docs)
     linked = c.cut(similar_classes(rows, width, similarity, text_col))
     every = linked.union(linked.select("root", "root").distinct()).toDF("_tmk_row", "root")

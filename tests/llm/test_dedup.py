@@ -85,8 +85,8 @@ def test_similar_documents_with_a_changed_end(spark, monkeypatch):
     of = alike([texts[i] for i in order])
     want = {order[i]: order[k] for i, k in enumerate(of) if i != k}
     assert len(want) == 7 * 15
-    for most in (256, 0):  # pairs, then clusters
-        monkeypatch.setattr(simhash, "_PARTED", most)
+    for most in (1 << 14, 0):  # pairs, then blocks
+        monkeypatch.setattr(simhash, "_PAIRS", most)
         got = {at[r._tmk_row]: at[r.root] for r in simhash.similar_classes(rows).collect()}
         assert got == want
 
