@@ -26,6 +26,8 @@ from tamarack.llm._text import word_count
 
 #: Documents of a block at the leaves of the tree, and residuals that meet at each level above.
 LEAF, FAN = 4096, 1024
+#: Rows of the same id and size up to which they may meet in a block.
+REPEATS = 64
 
 
 def sizes(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
@@ -148,6 +150,16 @@ def _evened(out: DataFrame) -> DataFrame:
         out = out.join(asked, at, "left_anti").union(moved)
 
 
+def sized_rows(docs: DataFrame, id_col: str, source_col: str, text_col: str, keep: list[str]) -> DataFrame:
+    """(_key, _id, source, _keep, size) of each row; _key is a hash of id and size, and of the place in the input where many rows agree in these."""
+    rows = docs if "_tmk_row" in keep else c.with_row(docs)
+    own = rows.select("_tmk_row", F.col(id_col).alias("_id"), F.col(source_col).alias("source"), F.col(text_col).alias("_text"), F.struct(*keep).alias("_keep") if keep else F.lit(None).cast("int").alias("_keep"))
+    sized = c.cut(sizes(own, "_text", ["_tmk_row", "_id", "source", "_keep"]))
+    again = c.cut(sized.filter("_id is not null").groupBy(F.xxhash64("_id", "size").alias("_key")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > REPEATS).select("_key", F.lit(True).alias("_again")))
+    keyed = sized.withColumn("_key", F.xxhash64("_id", "size")).join(c.maybe_broadcast(again, 48), "_key", "left")
+    return keyed.withColumn("_key", F.when(F.col("_id").isNull() | F.col("_again"), F.xxhash64("_key", "_tmk_row")).otherwise(F.col("_key"))).drop("_again", "_tmk_row")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """One row per row of docs: id, size, source, source_size, target, copies, taken (copies * size), and keep.
 
@@ -155,15 +167,16 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     share ``share`` times all words; none gets over ``cap`` times its own. A row has floor(rate)
     or ceil(rate) copies, so never over ceil(cap). Rows without words take nothing. Draws depend
     on ids and sizes only, so reruns agree; of rows with the same id and size, which of them is
-    copied is open, but their sum isn't. An empty table gives no rows.
+    copied is open. Rows without an id, and of an id and size that over REPEATS rows have, are told
+    apart by their place in the input, so no block of a source holds them all. Texts are read whole,
+    whatever their length. An empty table gives no rows; other columns don't matter.
     """
     keep = [k for k in (keep or []) if k != id_col]
-    own = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), F.col(text_col).alias("_text"), F.struct(*keep).alias("_keep") if keep else F.lit(None).cast("int").alias("_keep"))
-    sized = c.cut(sizes(own, "_text", ["_id", "source", "_keep"]))
+    sized = sized_rows(docs, id_col, source_col, text_col, keep)
     by_source = c.cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), weights, share, cap))
     rates = by_source.select(F.col("source").alias("_of"), "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_rate"), F.ceil(F.col("n") / LEAF).alias("_blocks"))
     rates = c.maybe_broadcast(rates, 128)
-    leaves = sized.join(rates, F.col("source").eqNullSafe(F.col("_of"))).drop("_of").withColumn("_key", F.xxhash64("_id", "size"))
+    leaves = sized.join(rates, F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
     leaves = leaves.withColumn("copies", F.floor("_rate")).withColumn("_p", F.when(F.col("size") > 0, F.col("_rate") - F.col("copies")).otherwise(0.0))
     leaves = leaves.withColumn("_block", F.expr("pmod(_key, _blocks)")).drop("_rate")
     open_ = (F.col("_p") > 1e-12) & (F.col("_p") < 1 - 1e-12)
@@ -188,8 +201,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row as often as the mix takes it, numbered from 1 in the column mix_copy (one of that name gives way)."""
+    """docs with each row as often as the mix takes it, numbered from 1 in the column mix_copy (one of that name gives way).
+
+    All other columns stay, whatever their names. A row without words is never taken; see mix.
+    """
     rows = c.with_row(docs.drop("mix_copy"))
     taken = c.cut(mix(rows, keep=["_tmk_row"], **options).filter("copies > 0").select("_tmk_row", F.col("copies").cast("int").alias("_tmk_copies")))
     out = rows.join(c.maybe_broadcast(taken, 48), "_tmk_row").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("_tmk_copies"))))
-    return out.drop("_tmk_row", "_tmk_copies")
+    return c.without_row(out.drop("_tmk_copies"))
