@@ -1,9 +1,9 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Patterns find the base spans and candidate values in each text. The values' hashes are then
-counted over the whole corpus by distinct owners and repositories: a value that several owners
-have is a copied example, a random-looking value of one owner is a live-looking credential, and
-what is left is shared. Hashes and counts only are exchanged, never texts.
+counted over the whole corpus by distinct owners and repositories: a value that several owners or
+many repositories have is a copied example, a random-looking value of one owner in few repositories
+is a live-looking credential, and what is left is shared. Hashes and counts only are exchanged, never texts.
 """
 
 from __future__ import annotations
@@ -100,27 +100,30 @@ def scan(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col:
     return own.mapInArrow(kernel, schema)
 
 
-def ownership(found: DataFrame, spread: int, bits: float) -> DataFrame:
+def ownership(found: DataFrame, spread: int, copies: int, bits: float) -> DataFrame:
     """(hash, owners, repos, kind) of the candidates in found (hash, owner, repo, entropy)."""
     pairs = found.groupBy("hash", "owner", "repo").agg(F.max("entropy").alias("entropy"))
     owners = pairs.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"), F.max("entropy").alias("entropy"))
     all_ = owners.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"), F.max("entropy").alias("entropy"))
-    kind = F.when(F.col("owners") >= spread, "example").when((F.col("owners") == 1) & (F.col("entropy") >= bits), "live").otherwise("shared")
+    kind = F.when((F.col("owners") >= spread) | (F.col("repos") >= copies), "example").when((F.col("owners") == 1) & (F.col("entropy") >= bits), "live").otherwise("shared")
     return all_.select("hash", "owners", "repos", kind.alias("kind"))
 
 
-def find_secrets(docs: DataFrame, spread: int = 3, bits: float = 3.0, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
+def find_secrets(docs: DataFrame, spread: int = 3, copies: int = 8, bits: float = 3.0, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
     """One row per row of docs: id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_shared, n_example.
 
     spans lists kind:start:end (code points, end exclusive) of the base spans and, as live, shared
     or example, of each candidate value: an assigned value, a key, a hex run or another
-    random-looking token. A value of ``spread`` or more owners is an example; one of a single owner
-    with ``bits`` or more of entropy a character is live. Rows without an owner count as one owner,
-    and so do those without a repository. Null and empty texts have no spans.
+    random-looking token. A value of ``spread`` or more owners, or in ``copies`` or more of their
+    repositories, is an example; else one of a single owner with ``bits`` or more of entropy a
+    character is live. Rows without an owner count as one owner, and so do those without a
+    repository. Repeated rows have a row each and count once. Texts are read whole, whatever their
+    length; null and empty ones have no spans. An empty table gives no rows; other columns, whatever
+    their names, don't matter.
     """
     rows = c.cut(scan(docs, id_col, text_col, owner_col, repo_col).withColumn("_tmk_row", F.monotonically_increasing_id()))
     each = rows.filter(F.size("found") > 0).select("_tmk_row", "owner", "repo", F.explode("found").alias("f")).select("_tmk_row", "owner", "repo", "f.*")
-    kinds = ownership(each, spread, bits).select("hash", F.col("kind"))
+    kinds = ownership(each, spread, copies, bits).select("hash", F.col("kind"))
     order = F.array(*map(F.lit, KINDS))
     marked = each.join(kinds, "hash").groupBy("_tmk_row").agg(F.collect_list(F.struct("start", F.array_position(order, "kind").alias("k"), "end", "kind")).alias("more"))
     old = F.transform(F.filter(F.split("base", ","), lambda s: s != ""), lambda s: F.struct(F.split_part(s, F.lit(":"), F.lit(2)).cast("int").alias("start"), F.array_position(order, F.split_part(s, F.lit(":"), F.lit(1))).alias("k"), F.split_part(s, F.lit(":"), F.lit(3)).cast("int").alias("end"), F.split_part(s, F.lit(":"), F.lit(1)).alias("kind")))
