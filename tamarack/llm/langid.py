@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tamarack.llm import _common as c
 from tamarack.llm._text import utf8
 
 WINDOW, BATCH = 128, 1024
@@ -210,13 +211,19 @@ def held_out(id_col: Column) -> Column:
 def fit(docs: DataFrame, per_lang: int = 384, per_doc: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> Network | None:
     """The network, from ``per_doc`` windows each of at most ``per_lang`` documents of a language; None without any.
 
-    The documents with the least hashes of their ids are taken among those that aren't held out.
+    The documents with the least hashes of their ids are taken among those that aren't held out. In a
+    language of many documents, only hashes below a threshold that lets 8 times as many pass are
+    ranked, so no task ranks a language's all; ids that repeat a lot can make the sample smaller.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     first = Window.partitionBy("lang").orderBy("h", "id")
-    chosen = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h")).withColumn("k", F.row_number().over(first)).filter(F.col("k") <= per_lang).select("id").distinct()
+    hashed = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"))
+    counts = c.maybe_broadcast(c.cut(hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))), 64)
+    low = hashed.join(counts, "lang").filter((F.col("h") / 2.0**64 + 0.5) * F.col("n") <= 8 * per_lang)
+    chosen = low.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= per_lang).select(F.col("id").alias("_tmk_id")).distinct()
     spread = [F.substring(F.col(text_col), (1 + F.floor(F.greatest(F.length(text_col) - WINDOW, F.lit(0)) * (i / max(1, per_doc - 1)))).cast("int"), F.lit(WINDOW)) for i in range(per_doc)]
-    rows = known.join(F.broadcast(chosen), F.col(id_col) == F.col("id")).select("id", F.col(lang_col).alias("lang"), F.array(*spread).alias("parts")).collect()  # bounded by per_lang
+    own = known.select(F.col(id_col).alias("_tmk_of"), F.col(lang_col).alias("lang"), F.array(*spread).alias("parts"))
+    rows = own.join(F.broadcast(chosen), F.col("_tmk_of") == F.col("_tmk_id")).select(F.col("_tmk_id").alias("id"), "lang", "parts").collect()  # bounded by per_lang
     windows, labels = [], []
     for r in sorted(rows, key=lambda r: (r.id, r.lang, r.parts)):
         for p in dict.fromkeys(r.parts):
@@ -233,8 +240,10 @@ def fit(docs: DataFrame, per_lang: int = 384, per_doc: int = 4, id_col: str = "d
 def predict_language(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, held_out, lang_pred, score.
 
-    score is the language's mean probability over all bytes of the text. A text that is null or
-    has no letter, and every text if nothing could be learned, gets ``und`` and score 0.
+    score is the language's mean probability over all bytes of the text, however long; of equally
+    probable languages the first by name is taken. A text that is null or has no letter, and every
+    text if nothing could be learned, gets ``und`` and score 0. Repeated rows have a row each, an
+    empty table gives none; other columns, whatever their names, don't matter.
     """
     own = docs.select(F.col(id_col), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letter"), F.col(text_col).alias("text"))
     schema = T.StructType([own.schema[id_col], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
