@@ -37,13 +37,14 @@ def tokens(text: Column) -> Column:
 
 
 def placed(conversations: DataFrame, stride: int, id_col: str) -> DataFrame:
-    """(conv, role, text, pos, start, end, span, alone) of each turn; conv is the id as text."""
-    t = conversations.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("conv"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    """(conv, role, text, pos, start, end, span, alone) of each turn; conv is the id as text after a v, n for null."""
+    conv = F.coalesce(F.concat(F.lit("v"), F.col(id_col).cast("string")), F.lit("n")).alias("conv")
+    t = conversations.select(conv, "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     t = t.withColumns({"n": tokens(F.col("text")), "block": F.coalesce(F.floor(F.col("turn") / _BLOCK), F.lit(-(1 << 62)))})
     inside = Window.partitionBy("conv", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text").rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumns({"upto": F.sum("n").over(inside), "nth": F.count(F.lit(1)).over(inside)})
     before = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = conversations.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("conv"), F.coalesce(F.floor(F.col("turn") / _BLOCK), F.lit(-(1 << 62))).alias("block"), tokens(F.coalesce("text", F.lit(""))).alias("n"))
+    blocks = conversations.select(conv, F.coalesce(F.floor(F.col("turn") / _BLOCK), F.lit(-(1 << 62))).alias("block"), tokens(F.coalesce("text", F.lit(""))).alias("n"))
     blocks = blocks.groupBy("conv", "block").agg(F.sum("n").alias("bn"), F.count(F.lit(1)).alias("bc"))
     blocks = blocks.select("conv", "block", F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("tokens0"), F.coalesce(F.sum("bc").over(before), F.lit(0)).alias("turns0"))
     t = t.join(blocks, ["conv", "block"]).withColumn("end", F.col("tokens0") + F.col("upto"))
@@ -57,7 +58,8 @@ def chat_windows(conversations: DataFrame, budget: int = BUDGET, system: int = S
     (span, alone) orders a conversation's windows. A window is over the budget only by a turn
     longer than a stride, which is alone, or a system turn longer than ``system`` tokens.
     Turns are in order of turn (null first), then role and text; repeated rows are repeated turns.
-    Null texts and roles are as empty; a null id is a conversation.
+    Null texts and roles are as empty; a null id is a conversation of its own. An empty table gives
+    no rows; other columns, whatever their names, don't matter.
     """
     stride = (budget - system - history) // 2
     t = placed(conversations, stride, id_col)
@@ -79,7 +81,7 @@ def chat_windows(conversations: DataFrame, budget: int = BUDGET, system: int = S
         return F.struct((b + len(END)).alias("at"), F.when(p["loss"], F.concat(acc["loss"], F.array(F.struct(a.alias("start"), b.alias("end"))))).otherwise(acc["loss"]).alias("loss"))
 
     text = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
-    return w.select(F.expr("nullif(conv, 'null')").cast(conversations.schema[id_col].dataType).alias(id_col), "span", "alone", text.alias("text"), F.size(F.filter("turns", lambda x: x["kind"] < 2)).alias("n_repeated"), F.aggregate("parts", empty, add)["loss"].alias("loss"))
+    return w.select(F.when(F.startswith("conv", F.lit("v")), F.expr("substring(conv, 2)")).cast(conversations.schema[id_col].dataType).alias(id_col), "span", "alone", text.alias("text"), F.size(F.filter("turns", lambda x: x["kind"] < 2)).alias("n_repeated"), F.aggregate("parts", empty, add)["loss"].alias("loss"))
 
 
 def read_windows(windows: DataFrame) -> DataFrame:
