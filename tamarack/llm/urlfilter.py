@@ -48,8 +48,12 @@ def host_edges(pages: DataFrame, html_col: str) -> DataFrame:
     return linked.union(both).filter("src <> dst and src <> '' and dst <> ''").distinct()
 
 
-def host_ranks(seeds: DataFrame, edges: DataFrame, rounds: int = 12, damping: float = 0.85) -> DataFrame:
-    """(host, trust, distrust) by ``rounds`` power iterations; seeds: (host, allow, block) weights, edges: (src, dst)."""
+def host_ranks(seeds: DataFrame, edges: DataFrame, tolerance: float = 1e-3, damping: float = 0.85, every: int = 6) -> DataFrame:
+    """(host, trust, distrust) by power iterations; seeds: (host, allow, block) weights, edges: (src, dst).
+
+    Iterations end when one moves less than ``tolerance`` of the mass, which is looked at every
+    ``every`` of them; as one moves at most ``damping`` times what the one before did, they do end.
+    """
     out = edges.groupBy("src").agg((1 / F.count(F.lit(1))).alias("w"))
     into = edges.groupBy("dst").agg((1 / F.count(F.lit(1))).alias("w"))
     ahead = edges.join(out, "src").select("src", "dst", F.col("w").alias("wt"), F.lit(0.0).alias("wd"))
@@ -58,13 +62,18 @@ def host_ranks(seeds: DataFrame, edges: DataFrame, rounds: int = 12, damping: fl
     allow, block = seeds.agg(F.sum("allow"), F.sum("block")).first()
     start = c.cut(seeds.select("host", (F.col("allow") / F.lit(float(allow or 1))).alias("trust"), (F.col("block") / F.lit(float(block or 1))).alias("distrust")))
     base = start.select("host", *[(F.col(x) * (1 - damping)).alias(x) for x in ("trust", "distrust")])
+    ranks = lambda df: df.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+    sign = lambda df, s: df.select("host", *[(s * F.col(x)).alias(x) for x in ("trust", "distrust")])
     now = start
-    for i in range(rounds):
-        moved = ways.join(now, ways.src == now.host).select(F.col("dst").alias("host"), (F.col("wt") * F.col("trust") * damping).alias("trust"), (F.col("wd") * F.col("distrust") * damping).alias("distrust"))
-        now = base.union(moved).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        if i % 4 == 3:
-            now = c.cut(now)
-    return now
+    while True:
+        for i in range(every):
+            before = now = c.cut(now) if i == every - 1 else now
+            moved = ways.join(now, ways.src == now.host).select(F.col("dst").alias("host"), (F.col("wt") * F.col("trust") * damping).alias("trust"), (F.col("wd") * F.col("distrust") * damping).alias("distrust"))
+            now = ranks(base.union(moved))
+        now = c.cut(now)
+        change = ranks(sign(now, 1).union(sign(before, -1))).agg(F.sum(F.abs("trust") + F.abs("distrust"))).first()[0] or 0.0
+        if change < tolerance:
+            return now
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, share: float = 1.0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **options) -> DataFrame:
@@ -74,7 +83,9 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     (of equally long ones the first by verdict, host and path). Where none fits, a host is blocked
     whose distrust exceeds its trust and is at least ``share`` / hosts, others are allowed, as are
     pages without a host (null url, or no ``://``), which are in no graph. Rules are few and travel
-    in the plan. Null html has no links. Repeated rows have a row each.
+    in the plan. Null and empty html has no links, html is read whole, whatever its length. Repeated
+    rows have a row each and count in their host's seed. An empty table gives no rows; other columns,
+    whatever their names, don't matter.
     """
     seen = judged(pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html")), rules, "_url")
     counts = seen.filter("_host <> ''").groupBy("_host").agg(F.count(F.when(F.col("_verdict") == "allow", 1)).alias("allow"), F.count(F.when(F.col("_verdict") == "block", 1)).alias("block"))
