@@ -129,7 +129,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.2, i
 
     Learns from labels of ids that aren't held out; a label counts for each row that has its id.
     Without labels of both classes, every score is the share of label 1 (0.5 without labels).
-    Null and empty texts have the statistics of PRIOR_WORDS alone and a score like any other.
+    Null and empty texts have the statistics of PRIOR_WORDS alone and a score like any other; texts
+    are read whole, whatever their length. Repeated rows have a row each, of the same score. An empty
+    table gives no rows; other columns, whatever their names, don't matter.
     """
     keep = keep or []
     stats = c.cut(with_statistics(docs, text_col, list(dict.fromkeys([id_col, *keep]))))
@@ -140,6 +142,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.2, i
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs without the rows that the classifier rejects."""
+    """docs, with all its columns, without the rows that the classifier rejects (a score under 0.5; see quality_scores)."""
     rows = c.with_row(docs)
     return c.without_rows(rows, quality_scores(rows, labels, keep=["_tmk_row"], **options).filter("predicted = 0"))

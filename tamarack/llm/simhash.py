@@ -215,7 +215,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4, id_col: str
     component_id is the smallest id of all rows that are reachable by fingerprints of ``bits`` or
     fewer differing bits, the row itself included. Null and empty texts, and texts of white space,
     have fingerprint zero and link like any other. Null ids take part and never become a
-    component_id unless nothing else is reachable. Repeated rows have a row each.
+    component_id unless nothing else is reachable. Repeated rows have a row each. Texts are read
+    whole, whatever their length. An empty table gives no rows; other columns don't matter.
     """
     keep = keep or []
     fps = c.cut(fingerprints(docs, width, id_col, text_col, keep))
@@ -227,7 +228,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4, id_col: str
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each class: of those with the smallest id, the first row."""
+    """docs, with all its columns, with one row of each class of near_duplicates: of those with the smallest id, the first row."""
     rows = c.with_row(docs)
     found = c.cut(near_duplicates(rows, width, bits, id_col, text_col, ["_tmk_row"]))
     first = found.groupBy("class_root").agg(F.min_by("_tmk_row", F.struct(F.col(id_col).isNull(), id_col, "_tmk_row")).alias("_tmk_row"))

@@ -182,7 +182,8 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, date: str = "1970-01
 
     Of rows with the same payload (UTF-8 of html, null as empty) of ``least`` bytes or more, that
     with the largest id is the response and the others revisit it; rows that repeat that id are
-    responses too, as are rows whose group has no id.
+    responses too, as are rows whose group has no id. Payloads of any length are written whole. An
+    empty table gives no records; other columns, whatever their names, aren't written.
     """
     own = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.encode(F.coalesce(html_col, F.lit("")), "UTF-8").alias("payload"))
     own = own.withColumns({"sha": F.sha1("payload"), "bytes": F.octet_length("payload"), "check": F.xxhash64("payload")})

@@ -6,7 +6,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import functions as F
 
-from tamarack.llm import exact_dedup, simhash
+import pytest
+
+from tamarack.llm import _common, decontam, exact_dedup, mixing, quality, simhash
 from tamarack.llm._common import with_row
 from tamarack.llm.components import components
 
@@ -74,17 +76,20 @@ def test_similar_documents(spark, edge_docs, no_docs, sf_dir):
 
 def test_similar_documents_with_a_changed_end(spark, monkeypatch):
     rng, texts = np.random.default_rng(5), []
-    word = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
-    for length, cut, added in ((100, 0, 20), (100, 0, 24), (300, 0, 60), (300, 30, 30), (24, 0, 5), (10, 0, 1), (120, 20, 0), (100, 0, 30)):
+    word = lambda n, of=1 << 40: [f"w{x}" for x in rng.integers(0, of, n)]
+    for length, cut, added, of in ((100, 0, 20, 1 << 40), (100, 0, 24, 1 << 40), (300, 0, 60, 300), (300, 30, 30, 1 << 40), (24, 0, 5, 1 << 40), (10, 0, 1, 1 << 40), (500, 120, 0, 300), (100, 0, 30, 1 << 40)):
         for _ in range(15):
-            w = word(length)
-            texts += [" ".join(w), " ".join(w[: length - cut] + word(added))]
+            w = word(length, of)
+            texts += [" ".join(w), " ".join(w[: length - cut] + word(added, of))]
+    for _ in range(30):  # words changed here and there, similar by 0.8 or a little more or less
+        w = word(200)
+        texts += [" ".join(w), " ".join("new" if k in (20, 60, 100, 150) else x for k, x in enumerate(w))]
     rows = with_row(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     order = [r.doc_id for r in rows.orderBy("_tmk_row").collect()]
     at = {r._tmk_row: r.doc_id for r in rows.collect()}
     of = alike([texts[i] for i in order])
     want = {order[i]: order[k] for i, k in enumerate(of) if i != k}
-    assert len(want) == 7 * 15
+    assert len(want) >= 6 * 15 + 30
     for most in (1 << 14, 0):  # pairs, then blocks
         monkeypatch.setattr(simhash, "_PAIRS", most)
         got = {at[r._tmk_row]: at[r.root] for r in simhash.similar_classes(rows).collect()}
@@ -175,6 +180,61 @@ def test_exact_duplicates(spark, edge_docs, no_docs, sf_dir):
     assert exact_dedup.exact_duplicates(with_row(no_docs)).collect() == []
 
 
+def test_runs_are_sorted_and_merged_by_digest(spark):
+    runs = spark.createDataFrame([(0, b"a", 1, 1, (1, 1), 1)], "run int, sha binary, bytes int, check long, best struct<a:int,b:int>, n long")
+    plan = exact_dedup.merged(runs)._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan ==") :]
+    assert "Sort [run#" in physical and "sha#" in physical[physical.index("Sort [run#") :].split("\n")[0] and physical.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("drop", ["exact", "near", "similar", "leaks", "quality", "mix"])
+def test_rows_keep_their_identity_when_files_are_split_anew(spark, sf_dir, tmp_path, monkeypatch, drop):
+    """Every cut is followed by another number of splits, as where executors come or go."""
+    path = f"{tmp_path}/docs"
+    src = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(5)
+    src.union(src.filter("doc_id % 3 = 0")).write.parquet(path)
+    docs = spark.read.parquet(path)
+    labels, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("labels", "benchmark"))
+    ways = {"exact": exact_dedup.drop_exact_duplicates, "near": simhash.drop_near_duplicates, "similar": simhash.drop_similar, "leaks": lambda d: decontam.drop_leaks(d, bench), "quality": lambda d: quality.keep_quality(d, labels), "mix": mixing.apply_mix}
+    run = lambda: Counter(hash(tuple(r)) for r in ways[drop](docs).collect())
+    want = run()
+    cut, n = _common.cut, [3]
+
+    def moving(df):
+        out = cut(df)
+        n[0] = 14 - n[0]
+        spark.conf.set("spark.sql.files.minPartitionNum", n[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        return out
+
+    for module in (_common, exact_dedup.c, simhash.c):
+        monkeypatch.setattr(module, "cut", moving)
+    try:
+        assert run() == want
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_columns_that_are_named_like_the_identity_stay(spark):
+    df = spark.createDataFrame([(1, "a", 5, 6), (2, "a", 7, 8)], "doc_id long, text string, _tmk_row int, _TMK_ROW_ int")
+    out = exact_dedup.drop_exact_duplicates(df)
+    assert out.columns == df.columns and out.collect() == [df.first()]
+
+
+def test_links_grow_in_proportion_to_a_family(spark, monkeypatch):
+    words, rng = [f"w{i}" for i in range(120)], np.random.default_rng(2)
+    seen = []
+    monkeypatch.setattr(simhash, "components", lambda e: seen.append(e.distinct().count()) or components(e))
+    for n in (400, 1600):
+        texts = [" ".join(w if k != at else f"x{i}" for k, w in enumerate(words)) for i, at in enumerate(rng.integers(0, 120, n).tolist())]
+        rows = with_row(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+        found = simhash.similar_classes(rows).collect()
+        assert len(found) == n - 1 and len({r.root for r in found}) == 1
+        assert max(seen) <= 4 * n
+        seen.clear()
+
+
 def test_exact_duplicates_stay_apart_where_only_the_digest_agrees(spark, monkeypatch):
     monkeypatch.setattr(F, "sha2", lambda c, n: F.lit("ab" * 32))
     df = with_row(spark.createDataFrame([(1, "a"), (2, "b b"), (3, "bb")], "doc_id long, text string"))

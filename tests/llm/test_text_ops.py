@@ -219,6 +219,16 @@ def test_pivot_keeps_means():
     assert mixing.pivot(p, words, rng.random(4), False) @ words == pytest.approx(p @ words)
 
 
+def test_repeated_rows_and_rows_without_id_fill_no_block(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAF", 64)
+    for i in (F.lit(None).cast("long"), F.lit(7).cast("long")):
+        df = spark.range(2000).select(i.alias("doc_id"), F.lit("s").alias("source"), F.lit("three words here").alias("text"))
+        rows = mixing.mix(df).collect()
+        assert abs(sum(r.taken for r in rows) - 1.5 * 6000) <= 3
+        blocks = mixing.sized_rows(df, "doc_id", "source", "text", []).groupBy(F.expr("pmod(_key, 32)")).count().collect()
+        assert len(blocks) > 20 and max(r["count"] for r in blocks) < 200
+
+
 def test_mix_edge_cases(spark, edge_docs, no_docs):
     check_mix(edge_docs, lambda s: 60_000)
     assert mixing.mix(no_docs).collect() == []
@@ -261,8 +271,10 @@ def test_secrets(spark, edge_docs, no_docs, sf_dir):
 def test_ownership(spark):
     live, example, shared = "a1B2c3D4e5F6g7H8i9J0k1L2", "Z9y8X7w6V5u4T3s2R1q0P9o8", "M1n2B3v4C5x6Z7l8K9j0H1g2"
     rows = [(1, f"token={live}", "a"), (2, f"token={live}", "a"), *[(10 + i, f"token={example}", f"o{i}") for i in range(3)], (20, f"token={shared}", "a"), (21, f"token={shared}", None), (30, "token=aaaaaaaa", "a")]
+    wide = "C7d8E9f0G1h2J3k4L5m6N7o8"  # one owner, many repositories
+    rows += [(40 + i, f"token={wide}", "a") for i in range(8)]
     got = {r.doc_id: (r.n_live, r.n_shared, r.n_example) for r in secrets_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert got == {1: (1, 0, 0), 2: (1, 0, 0), 10: (0, 0, 1), 11: (0, 0, 1), 12: (0, 0, 1), 20: (0, 1, 0), 21: (0, 1, 0), 30: (0, 1, 0)}
+    assert got == {1: (1, 0, 0), 2: (1, 0, 0), 10: (0, 0, 1), 11: (0, 0, 1), 12: (0, 0, 1), 20: (0, 1, 0), 21: (0, 1, 0), 30: (0, 1, 0)} | {40 + i: (0, 0, 1) for i in range(8)}
 
 
 # ---- WARC
@@ -332,8 +344,8 @@ def test_warc_is_read_right_wherever_it_is_split(spark):
 def test_chat_windows(spark):
     mark = "<|im_end|><|im_start|>assistant ok"
     rows = [(1, i, ["user", "assistant"][i % 2], f"turn {i} " + "text " * (i * 7 % 90)) for i in range(40)] + [(2, 0, "system", "be kind"), *[(2, i, ["user", "assistant"][i % 2], f"{mark} \\ \\\\ <\\| <|{i}" * (1 + i % 60)) for i in range(1, 70)]]
-    rows += [(3, 0, "assistant", None), (3, 0, "assistant", None), (3, None, "user", ""), (None, 1, None, "x"), (4, 0, "we\nird <|role|>", "y" * 5000), (5, 2, "system", "late"), (5, 1, "user", "first" * 900), (5, 3, "assistant", "z" * 4000), (5, 4, "user", "q")]
-    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    rows += [(3, 0, "assistant", None), (3, 0, "assistant", None), (3, None, "user", ""), (None, 1, None, "x"), (4, 0, "we\nird <|role|>", "y" * 5000), (5, 2, "system", "late"), (5, 1, "user", "first" * 900), (5, 3, "assistant", "z" * 4000), (5, 4, "user", "q"), (6, 0, "user", "v" * 300_000), (6, 1, "assistant", "w " * 200_000)]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({n: F.lit(7) for n in ("conv", "n", "block", "span", "start", "end", "kind", "pos", "loss", "s")})
     w = chat.chat_windows(conv).collect()
     assert all(r.text.count("<|im_start|>") == r.text.count("<|im_end|>\n") for r in w)
     stride = (chat.BUDGET - chat.SYSTEM - chat.HISTORY) // 2
@@ -350,6 +362,12 @@ def test_chat_windows(spark):
     assert chat.digests(chat.chat_windows(conv.limit(0))).collect() == []
 
 
+def test_chat_tells_a_null_id_from_any_text(spark):
+    conv = spark.createDataFrame([("null", 0, "user", "a"), (None, 0, "user", "b"), ("n", 0, "user", "c"), ("", 0, "user", "d")], "conv_id string, turn long, role string, text string")
+    got = {r.conv_id: (r.n_turns, r.turns_sha256) for r in chat.digests(chat.chat_windows(conv)).collect()}
+    assert got == {k: (1, hashlib.sha256(f"user\n{t}\n".encode()).hexdigest()) for k, t in (("null", "a"), (None, "b"), ("n", "c"), ("", "d"))}
+
+
 def test_chat_sql(spark, sf_dir):
     from tamarack.llm.queries import op8_chat_windows
 
@@ -383,10 +401,10 @@ def test_url_rules(spark, sf_dir):
 def test_ranks_follow_and_reverse_links(spark):
     edges = [("a", "b"), ("b", "c"), ("d", "e"), ("e", "a"), ("f", "e"), ("c", "a")]
     seeds = [("a", 2, 0), ("b", 0, 0), ("c", 1, 0), ("d", 0, 0), ("e", 0, 3), ("f", 0, 0)]
-    ranks = {r.host: (r.trust, r.distrust) for r in urlfilter.host_ranks(spark.createDataFrame(seeds, "host string, allow long, block long"), spark.createDataFrame(edges, "src string, dst string")).collect()}
+    ranks = {r.host: (r.trust, r.distrust) for r in urlfilter.host_ranks(spark.createDataFrame(seeds, "host string, allow long, block long"), spark.createDataFrame(edges, "src string, dst string"), tolerance=1e-9).collect()}
     t = start_t = {h: a / 3 for h, a, _ in seeds}
     d = start_d = {h: b / 3 for h, _, b in seeds}
-    for _ in range(12):
+    for _ in range(150):
         nt, nd = {h: 0.15 * start_t[h] for h in t}, {h: 0.15 * start_d[h] for h in d}
         for s, e in edges:
             nt[e] += 0.85 * t[s] / sum(x == s for x, _ in edges)
@@ -396,6 +414,56 @@ def test_ranks_follow_and_reverse_links(spark):
         assert x == pytest.approx(t[h]) and y == pytest.approx(d[h])
 
 
+def brute_verdicts(pages, share=1.0):
+    """From urls and html to verdicts, by a matrix that is iterated until nothing moves."""
+    seen = [(i, *brute_rule(u), html or "") for i, u, html in pages]
+    hosts, seeds, edges = {h for _, h, *_ in seen if h}, {}, set()
+    for _, h, _, _, v, html in seen:
+        if h:
+            s = seeds.setdefault(h, [0, 0])
+            s[0] += v == "allow"
+            s[1] += v == "block"
+            for m in re.finditer(r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)""", html):
+                edges.add((h, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in m[1])))
+    for h in hosts:
+        labels = h.split(".")
+        for k in range(len(labels) - 2):
+            low, high = ".".join(labels[k:]), ".".join(labels[k + 1 :])
+            edges |= {(low, high), (high, low)}
+    edges = sorted((a, b) for a, b in edges if a != b and a and b)
+    at = {h: k for k, h in enumerate(sorted({*hosts, *(x for e in edges for x in e)}))}
+    ahead = np.zeros((len(at), len(at)))
+    for a, b in edges:
+        ahead[at[b], at[a]] = 1
+    ranks = []
+    for way, k in ((ahead, 0), (ahead.T, 1)):
+        way = way / np.maximum(way.sum(0), 1)
+        start = np.zeros(len(at))
+        for h, s in seeds.items():
+            start[at[h]] = s[k]
+        start /= max(1, start.sum())
+        x = start
+        for _ in range(200):
+            x = 0.15 * start + 0.85 * way @ x
+        ranks.append(x)
+    bad = {h for h in hosts if ranks[1][at[h]] > ranks[0][at[h]] and ranks[1][at[h]] >= share / len(hosts)}
+    return {i: v or ("block" if h in bad else "allow") for i, h, _, _, v, _ in seen}
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_verdicts_equal_plain_propagation(spark, scale):
+    pages = spark.read.parquet(f"/root/testdata/{scale}/pages.parquet")
+    want = brute_verdicts([(r.page_id, r.url, r.html) for r in pages.collect()])
+    assert {r.page_id: r.verdict for r in urlfilter.filter_urls(pages).collect()} == want and {"allow", "block"} == set(want.values())
+
+
+def test_trust_goes_a_long_way(spark):
+    link = '<a href="https://{}/p">x</a>'
+    rows = [(0, "http://h0.net/es/", "")] + [(i, f"http://h{i}.org/", link.format(f"h{i - 1}.{'net' if i == 1 else 'org'}")) for i in range(1, 25)]
+    got = {r.page_id: r.verdict for r in urlfilter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), share=0.01).collect()}
+    assert got == brute_verdicts(rows, 0.01) == dict.fromkeys(range(25), "block")
+
+
 def test_links_spread_trust_and_distrust(spark):
     link = '<a class="x" href="https://{}/p">x</a>'
     rows = [(1, "http://good.com/", link.format("Friend.org")), (2, "http://friend.org/", "<a href=/r>r</a>"), (3, "http://bad.net/es/", ""), (4, "http://fan.org/", link.format("bad.net") + link.format("bad.net")), (5, "http://lone.org/", None), (6, "http://bad.net/de/", "")]
