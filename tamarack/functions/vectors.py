@@ -24,7 +24,3 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     return inner_product(a, b) / (norm(a) * norm(b))
-
-
-#: Metric: its column and whether smaller is nearer.
-METRICS = {"l2": (squared_l2, True), "ip": (inner_product, False), "cosine": (cosine, False)}

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamarack.functions.jsonx import strict
 from tamarack.functions.text import fixed4, or_default, tri_state
 
 #: Fields of a preview, in this order.
@@ -70,13 +74,20 @@ def preview(rec: Column) -> Column:
     return F.map_filter(F.map_from_arrays(F.array(*map(F.lit, PREVIEW)), F.array(*[F.get_json_object(data, f"$.{f}") for f in PREVIEW])), lambda _, v: v.isNotNull())
 
 
-def summary_cards(requests: DataFrame, hits: DataFrame) -> DataFrame:
+def hit_counts(hits: DataFrame) -> DataFrame:
+    """(query_id, source, n) of the sources that have hits."""
+    return hits.groupBy("query_id", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+def summary_cards(requests: DataFrame, hits: DataFrame, sources: list[str] | None = None) -> DataFrame:
     """(query_id, card) with user_text, ocr_text, llm_output and retrieved: source to [key, score, preview] in rank order.
 
-    requests: query_id, user_text, ocr_text, llm_output. hits: query_id, source, rank, key, score, rec.
+    requests: query_id, user_text, ocr_text, llm_output. hits: query_id, source, rank, key, score,
+    rec. Sources are in the order of ``sources``, in which they were searched; others follow by name.
     """
+    place = F.when(F.col("source").isin(*sources), F.array_position(F.array(*map(F.lit, sources)), F.col("source"))) if sources else F.lit(None).cast("long")
     per = hits.groupBy("query_id", "source").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "key", "score", F.to_json(preview(F.col("rec"))).alias("preview")))), lambda x: F.struct(x["key"].alias("key"), x["score"].alias("score"), x["preview"].alias("preview"))).alias("items"))
-    found = per.groupBy("query_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "items")))).alias("retrieved"))
+    found = per.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce(place, F.lit(1 << 30)).alias("at"), "source", "items"))).alias("r")).select("query_id", F.map_from_entries(F.transform("r", lambda x: F.struct(x["source"], x["items"]))).alias("retrieved"))
     none = F.expr("cast(map() as map<string, array<struct<key: string, score: double, preview: string>>>)")
     card = F.struct("user_text", "ocr_text", "llm_output", F.coalesce("retrieved", none).alias("retrieved"))
     return requests.join(found, "query_id", "left").select("query_id", card.alias("card"))
@@ -88,13 +99,28 @@ def result(card: Column, mismatch: Column | None = None, details: Column | None
     return F.struct(card.alias("card"), F.struct((none if mismatch is None else mismatch).alias("mismatch"), (F.lit(NOT_CHECKED) if details is None else details).alias("mismatch_details")).alias("meta"))
 
 
+def indented(text: Column) -> Column:
+    """JSON texts with two blanks for each level, non-ASCII escaped."""
+
+    @F.pandas_udf("string")
+    def of(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: json.dumps(json.loads(x), indent=2), na_action="ignore")
+
+    return of(text)
+
+
+def page(card: Column) -> Column:
+    """What is shown of a card: the OCR text, where there is any, then the answer."""
+    return F.concat_ws("\n\n", F.when(F.coalesce(card["ocr_text"], F.lit("")) != "", F.concat(F.lit("**OCR:** "), card["ocr_text"])), F.coalesce(card["llm_output"], F.lit("")))
+
+
 def report(card: Column) -> Column:
-    """A card as text; an llm_output that is JSON with an error shows it and the raw text."""
+    """A card as text; an llm_output that is a JSON object is indented, one with an error shows it and the raw text."""
     out = card["llm_output"]
-    failed = F.get_json_object(out, "$.error")
-    answer = F.when(failed.isNotNull(), F.concat(F.lit("Error: "), failed, F.lit("\nRaw Text: "), F.coalesce(F.get_json_object(out, "$.raw_text"), F.lit("")))).otherwise(out)
+    failed, object_ = F.get_json_object(out, "$.error"), out.rlike(r"^\s*\{") & strict(out).isNotNull()
+    answer = F.when(failed.isNotNull(), F.concat(F.lit("Error: "), failed, F.lit("\nRaw Text: "), F.coalesce(F.get_json_object(out, "$.raw_text"), F.lit("")))).when(object_, indented(F.when(object_, out))).otherwise(F.coalesce(out, F.lit("")))
     items = lambda v: F.transform(v, lambda i: F.concat(F.lit(" - "), i["key"], F.lit(" (score: "), fixed4(i["score"]), F.lit(") preview: "), i["preview"]))
-    listed = F.flatten(F.transform(F.array_sort(F.map_entries(card["retrieved"])), lambda e: F.concat(F.array(F.concat(F.lit("["), e["key"], F.lit("]"))), items(e["value"]))))
+    listed = F.flatten(F.transform(F.map_entries(card["retrieved"]), lambda e: F.concat(F.array(F.concat(F.lit("["), e["key"], F.lit("]"))), items(e["value"]))))
     return F.concat_ws("\n", F.lit("=== Result ==="), F.when(F.coalesce(card["ocr_text"], F.lit("")) != "", F.concat(F.lit("OCR: "), card["ocr_text"])), F.concat(F.lit("User: "), card["user_text"]), F.lit("\n-- LLM RESPONSE --\n"), answer, F.lit("\n-- Retrieved (short) --\n"), listed)
 
 

@@ -1,7 +1,7 @@
 """Model-backed operators behind one interface, with deterministic stand-ins.
 
-A model is a function from a list of inputs to a list of outputs, made by a factory once per
-Python worker. The packages for embedding, OCR, speech and generation aren't part of this
+A model is a function from a list of inputs to a list of outputs, made by a factory once in the
+life of a Python worker, which outlives its tasks. The packages for embedding, OCR, speech and generation aren't part of this
 library; the stand-ins show the contracts and make plans testable.
 """
 
@@ -9,17 +9,21 @@ from __future__ import annotations
 
 import hashlib
 import json
+import pickle
 import shutil
 import subprocess
 import urllib.request
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
+from pyspark.serializers import CloudPickleSerializer
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 Model = Callable[[list], list]
+#: Models of this worker, by digest of their pickled factory.
 _MADE: dict = {}
 
 VECTOR = T.ArrayType(T.FloatType())
@@ -28,18 +32,28 @@ SPEECH = T.StructType([T.StructField("text", T.StringType()), T.StructField("lan
 REPLY = T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
 
 
+def model_of(pickled: bytes) -> Model:
+    """The model that a pickled factory makes; one of this process if it has made it before.
+
+    Kernels reach this by its module, so its cache is the worker's and not a task's.
+    """
+    key = hashlib.sha256(pickled).digest()
+    if key not in _MADE:
+        _MADE[key] = pickle.loads(pickled)()
+    return _MADE[key]
+
+
 def apply_model(df: DataFrame, factory: Callable[[], Model], col: str, out: str, kind: T.DataType) -> DataFrame:
     """df with out, the model's output for col; a batch goes through the model at once."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     schema = T.StructType([*df.schema.fields, T.StructField(out, kind)])
-    arrow, at, name = to_arrow_type(kind), df.columns.index(col), f"{factory.__module__}.{factory.__qualname__}"
+    arrow, at, pickled = to_arrow_type(kind), df.columns.index(col), CloudPickleSerializer().dumps(factory)
 
     def kernel(batches):
-        if name not in _MADE:
-            _MADE[name] = factory()
+        model = model_of(pickled)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_MADE[name](b.column(at).to_pylist()), arrow)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model(b.column(at).to_pylist()), arrow)], names=schema.names)
 
     return df.mapInArrow(kernel, schema)
 
@@ -48,22 +62,50 @@ def stub_embedder(dim: int = 64) -> Model:
     """Unit vectors from hashed words; equal texts have equal vectors, empty ones the zero vector."""
 
     def one(text: str | None) -> list[float]:
-        v = np.zeros(dim, np.float32)
+        v = np.zeros(dim)
         for w in (text or "").lower().split():
-            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
-            v[h % dim] += 1 if h >> 63 else -1
+            h = hashlib.md5(w.encode("utf-8", "replace")).digest()
+            v[h[-1] % dim] += 1 if h[0] >> 7 else -1
         n = float(np.linalg.norm(v))
         return (v / n if n else v).tolist()
 
     return lambda texts: [one(t) for t in texts]
 
 
+#: Pixels a side of a blank page at most.
+_PAGE = 256
+
+
+def blank(boxes: list) -> np.ndarray:
+    """A white page that has room for the boxes, up to _PAGE pixels a side."""
+    x, y = (min(_PAGE, 1 + max((int(p[k]) for box in boxes for p in box), default=0)) for k in (0, 1))
+    return np.full((y, x, 3), 255, np.uint8)
+
+
+def boxed(image: np.ndarray, boxes: list, color: tuple[int, int, int] = (255, 0, 0)) -> np.ndarray:
+    """image (height, width, RGB) with the outline of each box, a closed polygon of (x, y), as far as it is inside."""
+    out = image.copy()
+    for box in boxes:
+        for (x0, y0), (x1, y1) in zip(box, [*box[1:], *box[:1]], strict=True):
+            n = int(max(abs(x1 - x0), abs(y1 - y0))) + 1
+            x, y = np.rint(np.linspace(x0, x1, n)).astype(int), np.rint(np.linspace(y0, y1, n)).astype(int)
+            ok = (x >= 0) & (y >= 0) & (x < out.shape[1]) & (y < out.shape[0])
+            out[y[ok], x[ok]] = color
+    return out
+
+
+def ppm(image: np.ndarray) -> bytes:
+    """An image file (binary portable pixmap) of image."""
+    return b"P6 %d %d 255\n" % (image.shape[1], image.shape[0]) + image.tobytes()
+
+
 def stub_ocr() -> Model:
-    """The lines of bytes that are UTF-8 text, each with a box; the preview is the input."""
+    """The lines of bytes that are UTF-8 text, each with a box; the preview is a page with these boxes."""
 
     def one(data: bytes | None) -> dict:
         lines = (data or b"").decode("utf-8", "replace").splitlines()
-        return {"texts": lines, "boxes": [[[0, 10 * i], [8 * len(x), 10 * i], [8 * len(x), 10 * i + 9], [0, 10 * i + 9]] for i, x in enumerate(lines)], "preview": data}
+        boxes = [[[0, 10 * i], [8 * len(x), 10 * i], [8 * len(x), 10 * i + 9], [0, 10 * i + 9]] for i, x in enumerate(lines)]
+        return {"texts": lines, "boxes": boxes, "preview": ppm(boxed(blank(boxes), boxes))}
 
     return lambda items: [one(x) for x in items]
 
@@ -125,8 +167,11 @@ def cli_generate(prompt: str, model: str, command: str = "ollama", timeout: floa
     return done.stdout.strip()
 
 
-def generator(model: str = "llama3.1:8b", options: dict | None = None, rest=rest_generate, cli=cli_generate) -> Callable[[], Model]:
-    """A factory of a generator that asks the server, else the command (without options); failures become errors in the output."""
+def generator(model: str = "llama3.1:8b", options: dict | None = None, rest=rest_generate, cli=cli_generate, concurrency: int = 4) -> Callable[[], Model]:
+    """A factory of a generator that asks the server, else the command (without options); failures become errors in the output.
+
+    A task has ``concurrency`` prompts of a batch under way at a time; replies keep their order.
+    """
 
     def one(prompt: str) -> dict:
         try:
@@ -138,7 +183,11 @@ def generator(model: str = "llama3.1:8b", options: dict | None = None, rest=rest
             return {"text": None, "error": str(e)}
 
     def made() -> Model:
-        return lambda prompts: [one(p or "") for p in prompts]
+        def ask(prompts: list) -> list:
+            with ThreadPoolExecutor(concurrency) as pool:
+                return list(pool.map(one, [p or "" for p in prompts]))
+
+        return ask
 
     return made
 

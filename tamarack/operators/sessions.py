@@ -20,6 +20,12 @@ def append(live: DataFrame, uploaded: DataFrame) -> DataFrame:
     return live.withColumn("source", F.lit("live")).unionByName(uploaded.withColumn("source", F.lit("upload")), allowMissingColumns=True)
 
 
+def with_ids(clips: DataFrame, clip_id: str = "id") -> DataFrame:
+    """clips with a random UUID where they have no id yet."""
+    new = F.expr("uuid()")
+    return clips.withColumn(clip_id, F.coalesce(F.col(clip_id), new) if clip_id in clips.columns else new)
+
+
 def delete(clips: DataFrame, gone: DataFrame, clip_id: str = "id") -> DataFrame:
     return clips.join(gone.select(clip_id).distinct(), clip_id, "left_anti")
 

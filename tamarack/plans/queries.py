@@ -1,7 +1,7 @@
 """The registered queries over the test tables, each with the DuckDB SQL of the same result.
 
-Vector indexes are the embeddings by label modulo 3, queries are the vectors whose id divides by
-50; texts, phrases and dictionaries come from documents and benchmark, records and clips from
+Vector indexes are all embeddings by label modulo 3, queries are the vectors whose id divides by
+100; texts, phrases and dictionaries come from documents and benchmark, records and clips from
 events and conversations.
 """
 
@@ -18,7 +18,7 @@ from tamarack.sources.files import inventory
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-_EVERY = 50
+_EVERY = 100
 
 
 def _query(sql: str | None = None):
@@ -39,7 +39,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Queries and corpus."""
     e = _read(spark, sf_dir, "embeddings")
     asked = e.filter(F.col("vec_id") % _EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return asked, e.filter(F.col("vec_id") % _EVERY != 0).select(F.col("vec_id").alias("ordinal"), (F.col("label") % 3).alias("kb"), "embedding")
+    return asked, e.select(F.col("vec_id").alias("ordinal"), (F.col("label") % 3).alias("kb"), "embedding")
 
 
 def _rounded(hits: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ _NORM = "sqrt(list_sum(list_transform({0}.embedding, lambda x: x::DOUBLE * x::DO
 def _knn_sql(score: str = _L2, order: str = "score", k: int = 3, by: str = "", where: str = "true", out: str = "") -> str:
     part = f"query_id{', kb' if by else ''}"
     return f"""
-WITH q AS (SELECT * FROM embeddings WHERE vec_id % {_EVERY} = 0), c AS (SELECT *, label % 3 AS kb FROM embeddings WHERE vec_id % {_EVERY} <> 0 AND {where}),
+WITH q AS (SELECT * FROM embeddings WHERE vec_id % {_EVERY} = 0), c AS (SELECT *, label % 3 AS kb FROM embeddings WHERE {where}),
 s AS (SELECT q.vec_id AS query_id, c.kb, c.vec_id AS ordinal, {score} AS score FROM q, c),
 hits AS (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY {order}, ordinal)::INT AS rank FROM s QUALIFY rank <= {k})
 """ + (out or f"SELECT query_id, {'kb, ' if by else ''}rank, ordinal, round(score, 4) AS score FROM hits")
@@ -144,31 +144,67 @@ def token_vocab(spark, sf_dir):
 
 
 def _spell(spark, sf_dir, measure):
-    v = _vocabulary(spark, sf_dir).filter(F.col("term").rlike("^[a-z]+$"))
+    v = _vocabulary(spark, sf_dir).filter(~text.is_number(F.col("term")))
     return spelling.closest(v.filter("count = 1").select(F.col("term").alias("token")), v.filter("count >= 2"), measure=measure)
 
 
-@_query(f"""
-WITH v AS (SELECT * FROM ({_VOCAB}) WHERE regexp_full_match(term, '[a-z]+')),
-p AS (SELECT a.term AS token, b.term, b.count, levenshtein(a.term, b.term)::INT AS dist FROM v a JOIN v b ON a.count = 1 AND b.count >= 2 AND abs(length(a.term) - length(b.term)) <= 2)
+#: DuckDB measures bytes, so the letters beyond ASCII that the texts have become one byte each.
+_BYTES = "translate({0}, 'àáâäçèéêëìíîïñòóôöùúûüßœæ', 'ABCDEFGHIJKLMNOPQRSTUVWXY')"
+
+
+def _one_sql(x: str, y: str, i: str) -> str:
+    """The edits from x to y, a swap of neighbours that gives y counting as one."""
+    swaps = f"list_filter(range(1, length({x})), lambda {i}: left({x}, {i} - 1) || substr({x}, {i} + 1, 1) || substr({x}, {i}, 1) || substr({x}, {i} + 2) = {y})"
+    return f"(CASE WHEN length({x}) = length({y}) AND len({swaps}) > 0 THEN 1 ELSE levenshtein({x}, {y}) END)"
+
+
+def _osa_sql(a: str, b: str) -> str:
+    """The edits from a to b with swaps of neighbours, as far as these are up to 2."""
+    at = []
+    for shift in (-1, 0, 1):
+        j = f"(i + {shift})"
+        crossed = f"{j} >= 1 AND {j} < length({b}) AND substr({a}, i, 1) = substr({b}, {j} + 1, 1) AND substr({a}, i + 1, 1) = substr({b}, {j}, 1)"
+        before = _one_sql(f"left({a}, i - 1)", f"left({b}, {j} - 1)", "p")
+        after = _one_sql(f"substr({a}, i + 2)", f"substr({b}, {j} + 2)", "q")
+        at.append(f"CASE WHEN {crossed} THEN 1 + {before} + {after} ELSE 3 END")
+    swapped = f"coalesce(list_min(list_transform(range(1, length({a})), lambda i: least({', '.join(at)}))), 3)"
+    lev = f"levenshtein({a}, {b})"
+    return f"(CASE WHEN {lev} <= 1 THEN {lev} WHEN {lev} > 4 THEN 3 ELSE least({lev}, {swapped}) END)::INT"
+
+
+def _closest_sql(dist: str) -> str:
+    return rf"""
+WITH v AS (SELECT *, {_BYTES.format('term')} AS t FROM ({_VOCAB}) WHERE NOT regexp_full_match(term, '\d+\.?\d*')),
+p AS (SELECT a.term AS token, b.term, b.count, {dist} AS dist FROM v a JOIN v b ON a.count = 1 AND b.count >= 2 AND abs(length(a.term) - length(b.term)) <= 2 AND levenshtein(a.t, b.t) <= 4)
 SELECT token, term, dist FROM p WHERE dist <= 2 QUALIFY row_number() OVER (PARTITION BY token ORDER BY dist, count DESC, term) = 1
-""")
+"""
+
+
+@_query(_closest_sql("levenshtein(a.t, b.t)::INT"))
 def spell_closest_lev(spark, sf_dir):
     """Rare words with the closest frequent one within two edits."""
     return _spell(spark, sf_dir, "levenshtein")
 
 
-@_query()
+@_query(_closest_sql(_osa_sql("a.t", "b.t")))
 def spell_closest_osa(spark, sf_dir):
     """The same, a swap of neighbours counting as one edit."""
     return _spell(spark, sf_dir, "osa")
 
 
-@_query()
+def _dictionary(spark, sf_dir):
+    """The words that benchmark texts have at least twice."""
+    return _vocabulary(spark, sf_dir).filter("count >= 2")
+
+
+@_query(f"""
+WITH fixed AS ({_closest_sql(_osa_sql("a.t", "b.t"))}),
+w AS (SELECT item_id, unnest(string_split({_CLEAN.format('text')}, ' ')) AS token, generate_subscripts(string_split({_CLEAN.format('text')}, ' '), 1) AS pos FROM benchmark)
+SELECT item_id, coalesce(string_agg(coalesce(term, token), ' ' ORDER BY pos), '') AS normalized FROM w LEFT JOIN fixed USING (token) GROUP BY item_id
+""")
 def normalize_spelled(spark, sf_dir):
     """Benchmark texts, cleaned and corrected."""
-    v = _vocabulary(spark, sf_dir).filter("count >= 2")
-    return spelling.normalize(_read(spark, sf_dir, "benchmark"), v, "item_id")
+    return spelling.normalize(_read(spark, sf_dir, "benchmark"), _dictionary(spark, sf_dir), "item_id")
 
 
 @_query(r"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda t: trim(t, E' \t\r\v\f')), lambda t: t <> ''), ' ') AS ocr_text FROM documents")
@@ -224,14 +260,14 @@ def _mismatch(spark, sf_dir):
     words = text.tokens(text.clean(F.col("text")))
     conditions = docs.filter("doc_id % 11 <> 0").select(F.col("doc_id").alias("query_id"), F.lit(1).alias("rank"), F.col("source").alias("disease"), F.slice(words, 1, 2).alias("symptoms"))
     candidates = docs.filter("doc_id % 13 <> 0").select(F.col("doc_id").alias("query_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("rank"), F.when(F.col("doc_id") % 5 != 0, F.col("source")).alias("drug_name"))
-    details = candidates.filter("query_id % 3 <> 0").select("query_id", "rank", (F.col("query_id") + F.col("rank")).alias("other")).join(docs.select(F.col("doc_id").alias("other"), F.left("text", F.lit(400)).alias("indications")), "other").drop("other")
+    details = candidates.filter("query_id % 3 <> 0").select("query_id", "rank", (F.col("query_id") + F.col("rank")).alias("other")).join(docs.select(F.col("doc_id").alias("other"), F.col("text").alias("indications")), "other").drop("other")
     return requests, conditions, candidates, details
 
 
 @_query(rf"""
 WITH d AS (SELECT doc_id, source, text, list_slice(list_filter(string_split({_CLEAN.format('text')}, ' '), lambda w: w <> ''), 1, 2) AS symptoms FROM documents),
 c AS (SELECT d.doc_id, r.rank, o.text AS other FROM d, (VALUES (1), (2)) r(rank), documents o WHERE d.doc_id % 13 <> 0 AND d.doc_id % 5 <> 0 AND d.doc_id % 3 <> 0 AND o.doc_id = d.doc_id + r.rank),
-h AS (SELECT c.doc_id, min((c.rank, s.s)) AS w FROM c JOIN (SELECT doc_id, unnest(symptoms) AS s FROM d WHERE doc_id % 11 <> 0) s USING (doc_id) WHERE contains(lower(left(c.other, 400)), s.s) GROUP BY c.doc_id),
+h AS (SELECT c.doc_id, min((c.rank, s.s)) AS w FROM c JOIN (SELECT doc_id, unnest(symptoms) AS s FROM d WHERE doc_id % 11 <> 0) s USING (doc_id) WHERE contains(lower(c.other), s.s) GROUP BY c.doc_id),
 t AS (SELECT d.doc_id, upper(left(d.source, 1)) || substr(d.source, 2) AS title, d.source, d.doc_id % 7 = 0 AS blank, d.doc_id % 11 = 0 AS nothing, d.doc_id % 13 = 0 AS none, d.doc_id % 5 = 0 AS unnamed, h.w FROM d LEFT JOIN h USING (doc_id))
 SELECT doc_id AS query_id,
   CASE WHEN blank OR nothing OR none THEN NULL WHEN w IS NOT NULL THEN false WHEN unnamed THEN NULL ELSE true END AS is_mismatch,
@@ -282,22 +318,22 @@ def _prompt_sql(template: str, **slots: str) -> str:
     return out
 
 
-@_query("SELECT doc_id, sha256(" + _prompt_sql(cards.ANALYSIS_PROMPT, user_text="left(text, 80)", ocr_text="CASE WHEN doc_id % 3 = 0 THEN 'No image provided.' ELSE source END", user_context="lang", ocr_context="source") + ") AS prompt_sha256 FROM documents")
+@_query("SELECT doc_id, sha256(" + _prompt_sql(cards.ANALYSIS_PROMPT, user_text="text", ocr_text="CASE WHEN doc_id % 3 = 0 THEN 'No image provided.' ELSE source END", user_context="lang", ocr_context="source") + ") AS prompt_sha256 FROM documents")
 def prompt_render(spark, sf_dir):
     d = _read(spark, sf_dir, "documents")
     ocr = F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.col("source"))
-    return d.select("doc_id", F.sha2(cards.analysis_prompt(F.left("text", F.lit(80)), ocr, F.col("lang"), F.col("source")), 256).alias("prompt_sha256"))
+    return d.select("doc_id", F.sha2(cards.analysis_prompt(F.col("text"), ocr, F.col("lang"), F.col("source")), 256).alias("prompt_sha256"))
 
 
 def _hits(spark, sf_dir, k=3):
     """Hits in the three indexes, of which the third has no rows for every other query."""
     asked, corpus = _vectors(spark, sf_dir)
-    hits = knn.knn(asked, corpus, k, by=["kb"]).filter("kb <> 2 or query_id % 100 = 0")
+    hits = knn.knn(asked, corpus, k, by=["kb"]).filter("kb <> 2 or query_id % 200 = 0")
     rec = F.to_json(F.when(F.col("kb") == 0, F.struct(F.struct(F.concat(F.lit("d"), "ordinal").alias("disease")).alias("chunk"), F.lit(None).cast("string").alias("drug_name"))).otherwise(F.struct(F.lit(None).cast("struct<disease:string>").alias("chunk"), F.concat(F.lit("n"), "ordinal").alias("drug_name"))))
     return asked, hits.withColumns({"source": F.concat(F.lit("kb"), "kb"), "key": F.concat(F.lit("k"), "ordinal"), "score": F.round("score", 4), "rec": rec, "obj": F.concat(F.lit("v"), "ordinal")})
 
 
-_HITS = "SELECT *, 'kb' || kb AS source FROM hits WHERE kb <> 2 OR query_id % 100 = 0"
+_HITS = "SELECT *, 'kb' || kb AS source FROM hits WHERE kb <> 2 OR query_id % 200 = 0"
 
 
 @_query(_knn_sql(by="kb", out=f"""
@@ -321,30 +357,47 @@ def summary_card(spark, sf_dir):
     return made.select("query_id", F.explode("card.retrieved").alias("source", "items")).select("query_id", "source", F.posexplode("items").alias("at", "i")).select("query_id", "source", (F.col("at") + 1).alias("rank"), "i.key", "i.score", "i.preview")
 
 
-@_query()
+@_query(_knn_sql(by="kb", out="SELECT query_id, 'kb' || kb AS source, count(*) AS n FROM hits WHERE kb <> 2 OR query_id % 200 = 0 GROUP BY ALL"))
+def hit_counts(spark, sf_dir):
+    """How many hits each source gave."""
+    return cards.hit_counts(_hits(spark, sf_dir)[1])
+
+
+_ANSWERS = ('{"b": [1, {"c": "é"}], "a": null}', '{"error": "no model", "raw_text": "raw"}', "plain words")
+_SHOWN = ('{\n  "b": [\n    1,\n    {\n      "c": "\\u00e9"\n    }\n  ],\n  "a": null\n}', "Error: no model\nRaw Text: raw", "plain words")
+_CASE = "CASE (query_id // 100) % 3 WHEN 0 THEN '{}' WHEN 1 THEN '{}' ELSE '{}' END"
+
+
+@_query(_knn_sql(by="kb", out=f"""
+, h AS ({_HITS}),
+l AS (SELECT query_id, source, '[' || source || ']' || string_agg(chr(10) || ' - k' || ordinal || ' (score: ' || printf('%.4f', round(score, 4)) || ') preview: ' || CASE WHEN kb = 0 THEN '{{"disease":"d' || ordinal || '"}}' ELSE '{{"drug_name":"n' || ordinal || '"}}' END, '' ORDER BY rank) AS body FROM h GROUP BY query_id, source)
+SELECT query_id, '=== Result ===' || chr(10) || CASE WHEN query_id % 300 <> 0 THEN 'OCR: label' || chr(10) ELSE '' END || 'User: u' || chr(10) || chr(10) || '-- LLM RESPONSE --' || chr(10) || chr(10) || {_CASE.format(*_SHOWN)} || chr(10) || chr(10) || '-- Retrieved (short) --' || chr(10) || chr(10) || string_agg(body, chr(10) ORDER BY source = 'kb0', source) AS report FROM l GROUP BY query_id
+"""))
 def card_report(spark, sf_dir):
-    """Cards as text."""
+    """Cards as text, their answers being JSON, an error or plain, their sources in the order of retrieval."""
     asked, hits = _hits(spark, sf_dir)
-    made = cards.summary_cards(asked.select("query_id", F.lit("u").alias("user_text"), F.lit("label").alias("ocr_text"), F.lit("x").alias("llm_output")), hits)
+    answer = F.element_at(F.array(*map(F.lit, _ANSWERS)), (F.floor(F.col("query_id") / 100) % 3 + 1).cast("int"))
+    ocr = F.when(F.col("query_id") % 300 != 0, F.lit("label")).otherwise("")
+    made = cards.summary_cards(asked.select("query_id", F.lit("u").alias("user_text"), ocr.alias("ocr_text"), answer.alias("llm_output")), hits, ["kb1", "kb2", "kb0"])
     return made.select("query_id", cards.report(F.col("card")).alias("report"))
 
 
-@_query(_knn_sql(by="kb", k=6, out="SELECT query_id, CASE WHEN kb = 2 THEN 'kb1' ELSE 'kb' || kb END AS source, rank, ordinal FROM hits WHERE (kb = 0 AND rank <= 2) OR (kb = 1 AND rank <= 2 AND query_id % 100 <> 0) OR (kb = 2 AND rank <= 2 AND query_id % 100 = 0)"))
+@_query(_knn_sql(by="kb", k=6, out="SELECT query_id, CASE WHEN kb = 2 THEN 'kb1' ELSE 'kb' || kb END AS source, rank, ordinal FROM hits WHERE (kb = 0 AND rank <= 2) OR (kb = 1 AND rank <= 2 AND query_id % 200 <> 0) OR (kb = 2 AND rank <= 2 AND query_id % 200 = 0)"))
 def retrieval_merge(spark, sf_dir):
     """Two sets of hits; where both have a source, the second's."""
     hits = knn.knn(*_vectors(spark, sf_dir), k=2, by=["kb"])
     first = hits.filter("kb < 2").withColumn("source", F.concat(F.lit("kb"), "kb"))
-    second = hits.filter("kb = 2 and query_id % 100 = 0").withColumn("source", F.lit("kb1"))
+    second = hits.filter("kb = 2 and query_id % 200 = 0").withColumn("source", F.lit("kb1"))
     return cards.merge_retrievals(first, second).select("query_id", "source", F.col("rank").cast("int").alias("rank"), "ordinal")
 
 
 @_query(r"""
-WITH c AS (SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn, coalesce(text, '')) AS t FROM conversations WHERE role <> 'system' GROUP BY 1)
+WITH c AS (SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn, coalesce(text, '')) AS t FROM conversations GROUP BY 1)
 SELECT conv_id, trim('  user ' || conv_id || chr(10) || t, E' \t\n\r') AS merged FROM c
 """)
 def clip_merge(spark, sf_dir):
     """User text and the texts of live and uploaded clips, in order."""
-    conv = _read(spark, sf_dir, "conversations").filter("role <> 'system'")
+    conv = _read(spark, sf_dir, "conversations")
     clips = sessions.append(conv.filter("role = 'user'").select("conv_id", "turn", "text"), conv.filter("role <> 'user'").select("conv_id", "turn", "text", F.lit("f.wav").alias("filename")))
     requests = conv.select("conv_id").distinct().withColumn("user_text", F.concat(F.lit("  user "), F.col("conv_id").cast("string"), F.lit(" ")))
     return sessions.merge_texts(requests, clips, "conv_id", "turn", "text").select("conv_id", "merged")
@@ -380,12 +433,12 @@ def snippet(spark, sf_dir):
 
 
 @_query("""
-WITH z AS (SELECT conv_id, list(turn ORDER BY turn) AS b, list(left(text, 20) ORDER BY turn) FILTER (turn % 4 <> 3) AS t FROM conversations GROUP BY 1)
+WITH z AS (SELECT conv_id, list(turn ORDER BY turn) AS b, list(text ORDER BY turn) FILTER (turn % 4 <> 3) AS t FROM conversations GROUP BY 1)
 SELECT conv_id, unnest(range(1, least(len(b), len(t)) + 1)) AS i, b[i] AS box, t[i] AS text FROM z
 """)
 def zip_boxes(spark, sf_dir):
     """Boxes with texts, as many as the shorter list has."""
-    c = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.left("text", F.lit(20)).alias("t")))).alias("x"))
+    c = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("t")))).alias("x"))
     pairs = sessions.zip_shorter(F.col("x.turn"), F.transform(F.filter("x", lambda p: p["turn"] % 4 != 3), lambda p: p["t"]))
     return c.select("conv_id", F.posexplode(pairs).alias("i", "p")).select("conv_id", (F.col("i") + 1).cast("long").alias("i"), "p.box", "p.text")
 
@@ -397,12 +450,26 @@ def number_text(spark, sf_dir):
     return e.select("event_id", text.fixed4(F.col("value")).alias("fixed"), text.tri_state(state).alias("state"))
 
 
-@_query()
+_HEX = "(instr('0123456789abcdef', substr(md5(w), {0}, 1)) - 1)"
+
+
+@_query(rf"""
+WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS w FROM documents),
+v AS (SELECT doc_id, ({_HEX.format(31)} * 16 + {_HEX.format(32)}) % 64 AS k, sum(CASE WHEN {_HEX.format(1)} >= 8 THEN 1 ELSE -1 END)::DOUBLE AS v FROM w WHERE w <> '' GROUP BY ALL),
+n AS (SELECT doc_id, sqrt(sum(v * v)) AS n FROM v GROUP BY 1),
+e AS (SELECT d.doc_id, k.k, CASE WHEN n.n > 0 THEN coalesce(v.v, 0) / n.n ELSE 0 END AS x FROM documents d CROSS JOIN (SELECT unnest(range(64)) AS k) k LEFT JOIN v ON v.doc_id = d.doc_id AND v.k = k.k LEFT JOIN n ON n.doc_id = d.doc_id)
+SELECT doc_id, list(round(x::FLOAT::DOUBLE, 4) ORDER BY k) AS embedding FROM e GROUP BY doc_id
+""")
 def embed_stub(spark, sf_dir):
-    return models.embed_texts(_read(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "embedding")
+    """Vectors of the stand-in embedder."""
+    made = models.embed_texts(_read(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return made.select("doc_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 4)).alias("embedding"))
 
 
-@_query()
+@_query(r"""
+WITH l AS (SELECT doc_id, CASE WHEN text = '' THEN [] ELSE regexp_split_to_array(regexp_replace(text, '\r?\n$', ''), '\r?\n') END AS l FROM documents)
+SELECT doc_id, array_to_string(list_filter(list_transform(l, lambda t: trim(t, E' \t\r\v\f')), lambda t: t <> ''), ' ') AS ocr_text, len(l)::INT AS n_boxes FROM l
+""")
 def ocr_stub(spark, sf_dir):
     d = _read(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
     return models.read_images(d).select("doc_id", text.join_texts(F.col("ocr.texts")).alias("ocr_text"), F.size(sessions.zip_shorter(F.col("ocr.boxes"), F.col("ocr.texts"))).alias("n_boxes"))
@@ -415,7 +482,7 @@ def asr_stub(spark, sf_dir):
     return models.transcribe(c).select("conv_id", "turn", "speech.text", "speech.error")
 
 
-@_query()
+@_query("SELECT doc_id, 'prompt of ' || length(text) || ' characters, sha256 ' || left(sha256(text), 16) AS text, NULL::VARCHAR AS error FROM documents")
 def llm_stub(spark, sf_dir):
     d = _read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("prompt"))
     return models.generate(d).select("doc_id", "reply.text", "reply.error")
@@ -437,17 +504,17 @@ def _catalog(spark, sf_dir) -> tuple[Catalog, DataFrame]:
 def rag_pipeline(spark, sf_dir):
     """The live pipeline over all requests."""
     catalog, requests = _catalog(spark, sf_dir)
-    return pipeline.run(requests, catalog).select("query_id", "prompt", F.to_json("result").alias("result"))
+    return pipeline.run(requests, catalog, _dictionary(spark, sf_dir)).select("query_id", "prompt", F.to_json("result").alias("result"))
 
 
 @_query()
 def rag_checked_pipeline(spark, sf_dir):
     """The pipeline with the mismatch check."""
     catalog, requests = _catalog(spark, sf_dir)
-    return pipeline.run_checked(requests, catalog).select("query_id", "prompt", "answer.error", F.to_json("result").alias("result"))
+    return pipeline.run_checked(requests, catalog, _dictionary(spark, sf_dir)).select("query_id", "prompt", "answer.error", F.to_json("result").alias("result"))
 
 
-@_query()
+@_query("SELECT '' AS folder, t || '.parquet' AS name, true AS has_bytes, NULL::VARCHAR AS text FROM (VALUES ('benchmark'), ('conversations'), ('customer'), ('documents'), ('embeddings'), ('events'), ('labels'), ('lineitem'), ('nation'), ('orders'), ('pages'), ('part'), ('region'), ('supplier')) v(t)")
 def file_inventory(spark, sf_dir):
-    """The files of the data folder."""
-    return inventory(spark, sf_dir)
+    """The files of the data folder; its tables being single files, as they are at the smaller scales."""
+    return inventory(spark, sf_dir).select("folder", "name", (F.col("bytes") > 0).alias("has_bytes"), "text")

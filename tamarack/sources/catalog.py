@@ -37,12 +37,12 @@ class Catalog:
             raise ValueError(f"unknown index {name!r}; known: {', '.join(self.indexes)}")
         return self.indexes[name]
 
-    def search(self, name: str, queries: DataFrame, k: int = nn.DEFAULT_K) -> DataFrame:
+    def search(self, name: str, queries: DataFrame | nn.Asked, k: int = nn.DEFAULT_K) -> DataFrame:
         """(query_id, rank, ordinal, score, key, rec) of the k nearest in one index; queries: query_id, query."""
         own = self.index(name)
         return nn.lookup(nn.knn(queries, own.vectors, k, self.metric), own.records)
 
-    def search_all(self, queries: DataFrame, k: int = nn.DEFAULT_K) -> DataFrame:
+    def search_all(self, queries: DataFrame | nn.Asked, k: int = nn.DEFAULT_K) -> DataFrame:
         """search in every index, with the column kb."""
         tagged = lambda part: reduce(DataFrame.unionByName, [getattr(i, part).withColumn("kb", F.lit(n)) for n, i in self.indexes.items()])
         return nn.lookup(nn.knn(queries, tagged("vectors"), k, self.metric, ["kb"]), tagged("records"))

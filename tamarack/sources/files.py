@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,11 +69,11 @@ def inventory(spark: SparkSession, path: str, folders: set[str] | None = None, c
     """(folder, name, bytes, text): the files below path, with the text of those that end in ``code``.
 
     folders keeps those all of whose parent folders below path are in it. Files without text are
-    listed without reading them.
+    listed without reading them. A file that isn't UTF-8 has a text that says so.
     """
     base = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     listed = base.select("path", F.col("length").alias("bytes"))
-    text = base.filter(F.endswith("path", F.lit(code))).select("path", F.col("content").cast("string").alias("text"))
+    text = base.filter(F.endswith("path", F.lit(code))).select("path", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.lit("[Error reading file: not UTF-8]")).alias("text"))
     inner = F.substring_index("path", path.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
     out = listed.join(text, "path", "left").withColumn("folder", F.regexp_replace(inner, r"/?[^/]*$", ""))
     if folders is not None:
@@ -79,6 +81,33 @@ def inventory(spark: SparkSession, path: str, folders: set[str] | None = None, c
     return out.select("folder", basename(F.col("path")).alias("name"), "bytes", "text")
 
 
+def code_dump(files: DataFrame, main: str) -> DataFrame:
+    """(text): one row, the inventory as text: folders in order, then their files, code between marks."""
+    each = F.when(F.col("text").isNull(), F.concat(F.lit("\nFile: "), "name")).otherwise(F.concat(F.lit("\nFile: "), F.col("name"), F.lit("\n------ CODE START ------\n"), F.col("text"), F.lit("\n------ CODE END ------")))
+    lines = lambda col: F.array_join(F.transform(F.array_sort(F.collect_list(col)), lambda x: x["t"]), "\n")
+    folders = files.groupBy("folder").agg(lines(F.struct("name", each.alias("t"))).alias("body"))
+    head = F.when(F.col("folder") == "", F.col("body")).otherwise(F.concat(F.lit("\nSubfolder: "), "folder", F.lit("\n"), "body"))
+    return folders.agg(lines(F.struct("folder", head.alias("t"))).alias("b")).select(F.concat_ws("\n", F.lit(f"Main Folder: {main}"), F.nullif("b", F.lit(""))).alias("text"))
+
+
+def write_files(df: DataFrame, folder: str, name: str = "name", content: str = "content") -> int:
+    """Writes the bytes of each row to a file of its name in folder, a path or URI that all executors reach; returns how many.
+
+    For preview images and the like. A task that runs again writes the same files again.
+    """
+
+    def kernel(batches):
+        fs, at = pa.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        fs.create_dir(at, recursive=True)
+        for b in batches:
+            for n, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                with fs.open_output_stream(f"{at}/{n.replace('/', '_')}") as out:
+                    out.write(data or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    return df.select(name, content).filter(F.col(name).isNotNull()).mapInArrow(kernel, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def write_report(df: DataFrame, col: str, path: str) -> None:
     """Writes a text column, a report a row."""
     df.select(col).write.text(path)

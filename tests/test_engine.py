@@ -90,7 +90,7 @@ def test_knn_is_the_same_however_it_is_split(spark, sf_dir):
     assert rows(knn.knn(q, c.repartition(9), 4)) == want
     assert rows(knn.knn(q, c, 4, broadcast_bytes=2000)) == want
     plan = knn.knn(q, c, 4)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "BroadcastNestedLoopJoin" in plan
+    assert "WindowGroupLimit" in plan and "MapInArrow" in plan and "Join" not in plan
 
 
 def test_records(spark, tmp_path):
