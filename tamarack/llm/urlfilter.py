@@ -48,20 +48,26 @@ def host_edges(pages: DataFrame, html_col: str) -> DataFrame:
     return linked.union(both).filter("src <> dst and src <> '' and dst <> ''").distinct()
 
 
+#: Host edges for each task of an iteration; fewer are gathered in fewer tasks, which write fewer files.
+_EDGES = 250_000
+
+
 def host_ranks(seeds: DataFrame, edges: DataFrame, tolerance: float = 1e-3, damping: float = 0.85, every: int = 6) -> DataFrame:
     """(host, trust, distrust) by power iterations; seeds: (host, allow, block) weights, edges: (src, dst).
 
     Iterations end when one moves less than ``tolerance`` of the mass, which is looked at every
     ``every`` of them; as one moves at most ``damping`` times what the one before did, they do end.
     """
+    edges = c.cut(edges)
+    tasks = max(1, -(-edges.count() // _EDGES))
     out = edges.groupBy("src").agg((1 / F.count(F.lit(1))).alias("w"))
     into = edges.groupBy("dst").agg((1 / F.count(F.lit(1))).alias("w"))
     ahead = edges.join(out, "src").select("src", "dst", F.col("w").alias("wt"), F.lit(0.0).alias("wd"))
     back = edges.join(into, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0.0).alias("wt"), F.col("w").alias("wd"))
-    ways = c.cut(ahead.union(back))
+    ways = c.cut(ahead.union(back).coalesce(tasks))
     allow, block = seeds.agg(F.sum("allow"), F.sum("block")).first()
     start = c.cut(seeds.select("host", (F.col("allow") / F.lit(float(allow or 1))).alias("trust"), (F.col("block") / F.lit(float(block or 1))).alias("distrust")))
-    base = start.select("host", *[(F.col(x) * (1 - damping)).alias(x) for x in ("trust", "distrust")])
+    base = start.select("host", *[(F.col(x) * (1 - damping)).alias(x) for x in ("trust", "distrust")]).coalesce(tasks)
     ranks = lambda df: df.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
     sign = lambda df, s: df.select("host", *[(s * F.col(x)).alias(x) for x in ("trust", "distrust")])
     now = start
@@ -69,9 +75,9 @@ def host_ranks(seeds: DataFrame, edges: DataFrame, tolerance: float = 1e-3, damp
         for i in range(every):
             before = now = c.cut(now) if i == every - 1 else now
             moved = ways.join(now, ways.src == now.host).select(F.col("dst").alias("host"), (F.col("wt") * F.col("trust") * damping).alias("trust"), (F.col("wd") * F.col("distrust") * damping).alias("distrust"))
-            now = ranks(base.union(moved))
+            now = ranks(base.union(moved).coalesce(tasks)).coalesce(tasks)
         now = c.cut(now)
-        change = ranks(sign(now, 1).union(sign(before, -1))).agg(F.sum(F.abs("trust") + F.abs("distrust"))).first()[0] or 0.0
+        change = ranks(sign(now, 1).union(sign(before, -1)).coalesce(tasks)).coalesce(tasks).agg(F.sum(F.abs("trust") + F.abs("distrust"))).first()[0] or 0.0
         if change < tolerance:
             return now
 
