@@ -29,19 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a cut is made: shuffles leave the disks when it is done, and workers get at most so many rows of texts at once.
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2048"}
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the shared folder; the shuffles that made it leave the disks."""
     shared_dir(df.sparkSession)
     conf = df.sparkSession.conf
-    before = conf.get(_CLEANUP, "false")
-    conf.set(_CLEANUP, "true")
+    before = {k: conf.get(k, None) for k in _SETTINGS}
+    for k, v in _SETTINGS.items():
+        conf.set(k, v)
     try:
         return df.checkpoint(eager=True)
     finally:
-        conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
 
 
 def emptied(spark: SparkSession, path: str) -> None:

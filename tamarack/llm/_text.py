@@ -16,6 +16,13 @@ def pieces(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
         at = end
 
 
+def sliced(batches, rows: int = 512) -> Iterator:
+    """The batches in slices of up to ``rows`` rows, so no more texts than that are Python objects at a time."""
+    for b in batches:
+        for at in range(0, max(1, b.num_rows), rows):
+            yield b.slice(at, rows)
+
+
 def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace")
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamarack.llm import _common as c
-from tamarack.llm._text import pieces, utf8
+from tamarack.llm._text import pieces, sliced, utf8
 
 #: Words that count as units.
 UNITS = frozenset("mm cm m km in inch inches ft feet yd mile miles mg g kg t lb lbs oz ml l litre litres liter liters s sec second seconds min minute minutes h hour hours day days week weeks month months year years percent usd eur dollar dollars euro euros cent cents km/h mph kmh w kw kwh v a hz".split())
@@ -32,7 +32,7 @@ _EDGES = re.compile(r"^\W+|\W+$")
 WORD, NUMBER, UNIT, NAME = range(4)
 #: Bits of the bitmap that windows are looked up in before the join: 8 MB, whatever the benchmark.
 BITMAP = 26
-_VOCABULARY = 1 << 18
+_VOCABULARY = 1 << 17
 
 
 class Tokens(dict):
@@ -127,7 +127,7 @@ def windows(rows: DataFrame, widths, least: int, bitmap=None, item: bool = False
 
     def kernel(batches):
         canonical = Canonical()
-        for b in batches:
+        for b in sliced(batches):
             keys, cols = [], ([], [], [], [])
             bits = bitmap.value if bitmap is not None else None
 

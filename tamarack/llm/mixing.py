@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tamarack.llm import _common as c
-from tamarack.llm._text import word_count
+from tamarack.llm._text import sliced, word_count
 
 #: Documents of a block at the leaves of the tree, and residuals that meet at each level above.
 LEAF, FAN = 4096, 1024
@@ -35,7 +35,7 @@ def sizes(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     kept = docs.select(*keep)
 
     def kernel(batches):
-        for b in batches:
+        for b in sliced(batches):
             n = pa.array([word_count(t) for t in b.column(b.num_columns - 1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], n], names=[*b.schema.names[:-1], "size"])
 

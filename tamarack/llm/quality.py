@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamarack.llm import _common as c
-from tamarack.llm._text import pieces, utf8
+from tamarack.llm._text import pieces, sliced, utf8
 
 _CLASS = np.zeros(256, np.int64)  # of bytes: 0 letters and others, 1 upper case, 2 digits, 3 sentence marks, 4 symbols, 5 white space
 _CLASS[65:91], _CLASS[48:58] = 1, 2
@@ -50,7 +50,7 @@ def with_statistics(docs: DataFrame, text_col: str, keep: list[str]) -> DataFram
     """(keep, x) of each row."""
 
     def kernel(batches):
-        for b in batches:
+        for b in sliced(batches):
             x = np.array([statistics(t) for t in b.column(b.num_columns - 1).to_pylist()]).reshape(-1, FEATURES)
             lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, FEATURES, dtype=np.int32), x.ravel())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists], names=[*b.schema.names[:-1], "x"])

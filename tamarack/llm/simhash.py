@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamarack.llm import _common as c
-from tamarack.llm._text import pieces, utf8
+from tamarack.llm._text import pieces, sliced, utf8
 from tamarack.llm.components import components
 from tamarack.llm.decontam import window_hashes
 
@@ -97,7 +97,7 @@ def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_c
     kept = docs.select(id_col, *(keep or []))
 
     def kernel(batches):
-        for b in batches:
+        for b in sliced(batches):
             fp = pa.array(fingerprint_texts(b.column(b.num_columns - 1).to_pylist(), width).view(np.int64))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], fp], names=[*b.schema.names[:-1], "fp"])
 
@@ -241,7 +241,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4, id_col:
 TABLES = 2
 #: Bits of 64 that candidates may differ in, and the bits for which a table's masks miss nothing.
 _REACH, _SURE = 12, 4
-_VOCABULARY = 1 << 18
+_VOCABULARY = 1 << 16
 
 
 class Words(dict):
@@ -283,7 +283,7 @@ def _common_shingles(rows: DataFrame, text_col: str, width: int) -> tuple[np.nda
 
     def kernel(batches):
         known = Words()
-        for b in batches:
+        for b in sliced(batches):
             sets = [shingle_set(known.hashes(t), width) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], names=["key"])
 
@@ -334,7 +334,7 @@ def sketches(rows: DataFrame, text_col: str, width: int, similarity: float) -> D
                     fps[some, t] = majority(_mixed(h, t), n).view(np.int64)
             return pa.RecordBatch.from_arrays([rows, *[pa.array(x, t) for x, t in zip((same, list(fps), sizes, keys, parities), types, strict=True)]], names=["_tmk_row", "same", "fps", "size", "keys", "parity"])
 
-        for b in batches:
+        for b in sliced(batches):
             at, held, cols = 0, 0, ([], [], [], [], [])
             for i, text in enumerate(b.column(1).to_pylist()):
                 words = known.hashes(text)
@@ -355,7 +355,7 @@ def _shingle_sets(rows: DataFrame, nodes: DataFrame, text_col: str, width: int)
 
     def kernel(batches):
         known = Words()
-        for b in batches:
+        for b in sliced(batches):
             sets = [shingle_set(known.hashes(t), width) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
