@@ -206,7 +206,9 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, date: str = "1970-01
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
-    """The records of pages, written to a new folder in the shared store and read back."""
+    """The records of pages, written to a new folder in the shared store, read back, and removed from there."""
     path = f"{c.shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     write_warc(pages, path, **options)
-    return read_warc(pages.sparkSession, path, payloads=False)
+    out = read_warc(pages.sparkSession, path, payloads=False)
+    c.emptied(pages.sparkSession, path)  # what was read is in a checkpoint
+    return out
