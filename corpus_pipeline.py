@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tamarack.llm import decontam, exact_dedup, mixing, quality, simhash
-from tamarack.llm._common import read, shared_dir
+from tamarack.llm._common import emptied, read, shared_dir
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written to a table in the shared folder and read again."""
+    """The stages over documents, each written to a table in the shared folder and read again; only the last table stays."""
     docs, at = read(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
         path = f"{at}/{i}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if i:
+            emptied(spark, f"{at}/{i - 1}")
     return docs
