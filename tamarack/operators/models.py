@@ -35,7 +35,7 @@ REPLY = T.StructType([T.StructField("text", T.StringType()), T.StructField("erro
 def model_of(pickled: bytes) -> Model:
     """The model that a pickled factory makes; one of this process if it has made it before.
 
-    Kernels reach this by its module, so its cache is the worker's and not a task's.
+    Kernels import this module where they run; what travels with them would be a task's own copy.
     """
     key = hashlib.sha256(pickled).digest()
     if key not in _MADE:
@@ -51,7 +51,9 @@ def apply_model(df: DataFrame, factory: Callable[[], Model], col: str, out: str,
     arrow, at, pickled = to_arrow_type(kind), df.columns.index(col), CloudPickleSerializer().dumps(factory)
 
     def kernel(batches):
-        model = model_of(pickled)
+        from tamarack.operators import models  # the worker's module, whose cache outlives the task
+
+        model = models.model_of(pickled)
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model(b.column(at).to_pylist()), arrow)], names=schema.names)
 

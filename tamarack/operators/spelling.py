@@ -45,7 +45,7 @@ def osa_within_2(a: Column, b: Column) -> Column:
     of b, at most a place apart, and one more edit is on one side of them.
     """
     lev, n = F.levenshtein(a, b), F.length(a)
-    one = lambda x, y: F.when(_swapped(x, y), 1).otherwise(F.levenshtein(x, y))
+    one = lambda x, y: F.least(F.levenshtein(x, y), F.when(_swapped(x, y), 1).otherwise(3))
 
     def at(i: Column, shift: int) -> Column:
         j = i + shift

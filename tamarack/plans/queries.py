@@ -155,7 +155,7 @@ _BYTES = "translate({0}, 'àáâäçèéêëìíîïñòóôöùúûüßœæ', '
 def _one_sql(x: str, y: str, i: str) -> str:
     """The edits from x to y, a swap of neighbours that gives y counting as one."""
     swaps = f"list_filter(range(1, length({x})), lambda {i}: left({x}, {i} - 1) || substr({x}, {i} + 1, 1) || substr({x}, {i}, 1) || substr({x}, {i} + 2) = {y})"
-    return f"(CASE WHEN length({x}) = length({y}) AND len({swaps}) > 0 THEN 1 ELSE levenshtein({x}, {y}) END)"
+    return f"least(levenshtein({x}, {y}), CASE WHEN length({x}) = length({y}) AND len({swaps}) > 0 THEN 1 ELSE 3 END)"
 
 
 def _osa_sql(a: str, b: str) -> str:

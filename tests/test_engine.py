@@ -257,6 +257,130 @@ def test_pipelines(spark):
     assert checked[1].answer.error and "mismatch_analysis" in checked[1].prompt
 
 
+def test_models_are_made_once_in_a_worker(spark, tmp_path):
+    def factory():
+        (tmp_path / __import__("uuid").uuid4().hex).touch()
+        return models.stub_embedder()
+
+    df = spark.range(400).repartition(60).select(F.col("id").cast("string").alias("t"))
+    for _ in range(2):
+        assert models.embed_texts(df, "t", factory=factory).select("embedding").distinct().count() > 50
+    assert 1 <= len(list(tmp_path.iterdir())) <= 16  # workers, not the 120 tasks
+    other = models.embed_texts(df.limit(1), "t", factory=lambda: models.stub_embedder(8)).first()
+    assert len(other.embedding) == 8
+
+
+def test_generation_has_prompts_under_way_together():
+    import time
+
+    def slow(prompt, model, options=None):
+        time.sleep(0.3)
+        return prompt.upper()
+
+    began = time.time()
+    assert [r["text"] for r in models.generator(rest=slow, concurrency=4)()(list("abcdefgh"))] == list("ABCDEFGH")
+    assert time.time() - began < 1.8
+
+
+def test_contains_over_several_automata(spark, monkeypatch):
+    t = spark.createDataFrame([(1, "Coughing badly"), (2, "fine \U0001f600 cough"), (3, None), (3, None), (4, "")], "id long, text string")
+    p = spark.createDataFrame([("COUGH", 1), ("", 2), (None, 3), ("bad", 4), ("cough", 5), ("\U0001f600", 6), ("ing", 7)], "phrase string, n int")
+    for most in (1 << 20, 4):
+        monkeypatch.setattr(matching, "PHRASE_CHARS", most)
+        assert sorted(r.id for r in matching.containing(t, p).collect()) == [1, 2]
+        assert sorted((r.id, r.n) for r in matching.containing(t, p, "inner").collect()) == [(1, 1), (1, 4), (1, 5), (1, 7), (2, 1), (2, 5), (2, 6)]
+    assert matching.containing(t, p.limit(0)).collect() == []
+
+
+def test_native_swaps_equal_the_plain_measure(spark):
+    import random
+
+    rng = random.Random(1)
+    pairs = [(w, "".join(x)) for w, x in ((w, rng.sample(w, len(w)) if rng.random() < 0.3 else w[::1]) for w in ("".join(rng.choices("abé", k=rng.randint(0, 7))) for _ in range(800)))]
+    pairs += [(a, b) for a, b in (("".join(rng.choices("abc", k=rng.randint(0, 6))), "".join(rng.choices("abc", k=rng.randint(0, 6)))) for _ in range(800))] + [("ca", "abc"), ("abcd", "badc"), ("ab", "ba")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for r in df.withColumn("d", spelling.osa_within_2(F.col("a"), F.col("b"))).collect():
+        assert r.d == min(3, spelling.osa(r.a, r.b)), r
+
+
+def test_knn_of_vectors_that_cannot_be_measured(spark):
+    q = spark.createDataFrame([(1, [0.0, 0.0]), (2, None), (3, [1.0, 0.0])], "query_id long, query array<float>")
+    c = spark.createDataFrame([(5, [0.0, 1.0]), (6, None), (7, [1.0]), (4, [2.0, 0.0])], "ordinal long, embedding array<float>")
+    got = {(r.query_id, r["rank"]): (r.ordinal, r.score) for r in knn.knn(q, c, 3).collect()}
+    assert got == {(1, 1): (5, 1.0), (1, 2): (4, 4.0), (1, 3): (6, None), (2, 1): (4, None), (2, 2): (5, None), (2, 3): (6, None), (3, 1): (4, 1.0), (3, 2): (5, 2.0), (3, 3): (6, None)}
+    assert {r.ordinal: r.score for r in knn.knn(q, c, 2, "cosine").filter("query_id = 3").collect()} == {4: 1.0, 5: 0.0}
+    assert knn.knn(q.limit(0), c, 2).collect() == [] and knn.knn(q, c.limit(0), 2).collect() == []
+
+
+def test_approximate_neighbours(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    q, c = e.filter("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS query"), e.selectExpr("vec_id AS ordinal", "embedding")
+    exact = {(r.query_id, r.ordinal) for r in knn.knn(q, c, 3).collect()}
+    assert len(exact & {(r.query_id, r.ordinal) for r in knn.approximate(q, c, 3).collect()}) >= 0.9 * len(exact)
+
+
+def test_boxes_ids_dumps_and_files(spark, tmp_path):
+    import numpy as np
+
+    image = models.boxed(np.full((5, 6, 3), 255, np.uint8), [[[1, 1], [4, 1], [4, 3], [1, 3]], [[9, 9], [20, 9]]])
+    assert models.ppm(image).startswith(b"P6 6 5 255\n") and (image[1, 1:5] == (255, 0, 0)).all() and (image[2, 2:4] == 255).all()
+    shots = models.read_images(spark.createDataFrame([("a/b.ppm", b"one\ntwo"), ("c.ppm", b"x")], "name string, content binary")).select("name", F.col("ocr.preview").alias("content"))
+    assert files.write_files(shots, str(tmp_path / "out")) == 2
+    assert (tmp_path / "out" / "a_b.ppm").read_bytes().startswith(b"P6 25 20 255\n")
+    ids = [r.id for r in sessions.with_ids(spark.createDataFrame([(None,), ("k",)], "id string")).collect()]
+    assert ids[1] == "k" and len(ids[0]) == 36
+    (tmp_path / "src" / "backend").mkdir(parents=True)
+    (tmp_path / "src" / "backend" / "a.py").write_text("x = 1")
+    (tmp_path / "src" / "backend" / "b.py").write_bytes(b"\xff\xfe")
+    (tmp_path / "src" / "z.txt").write_text("t")
+    dump = files.code_dump(files.inventory(spark, str(tmp_path / "src"), {"backend"}), "src").first().text
+    assert dump == "Main Folder: src\n\nFile: z.txt\n\nSubfolder: backend\n\nFile: a.py\n------ CODE START ------\nx = 1\n------ CODE END ------\n\nFile: b.py\n------ CODE START ------\n[Error reading file: not UTF-8]\n------ CODE END ------"
+    card = spark.createDataFrame([("o", "a"), ("", "b")], "ocr_text string, llm_output string").select(cards.page(F.struct("*")).alias("p"))
+    assert [r.p for r in card.collect()] == ["**OCR:** o\n\na", "b"]
+
+
+def test_registered_pipelines_equal_plain_loops(spark, sf_dir):
+    """Spelling, embedding, search, context and prompt of every request, one after the other."""
+    import duckdb
+    import numpy as np
+
+    from tamarack.plans import queries
+
+    con = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    plain = dict(con.execute(queries.ORACLE_SQL["normalize_spelled"]).fetchall())
+    catalog, requests = queries._catalog(spark, sf_dir)
+    index = {}
+    for n, i in catalog.indexes.items():
+        rows = i.vectors.orderBy("ordinal").collect()
+        index[n] = (np.array([r.embedding for r in rows], np.float64), [r.ordinal for r in rows], {r.ordinal: (r.key, r.rec) for r in i.records.collect()})
+    embed = lambda t: np.array(models.stub_embedder()([t])[0], np.float32).astype(np.float64)
+
+    def search(name, text, k):
+        m, ordinals, recs = index[name]
+        d = ((m - embed(text)) ** 2).sum(1)
+        return [(*recs[ordinals[i]], d[i]) for i in np.lexsort((ordinals, d))[:k]]
+
+    def context(found):
+        return "".join(f"\n-- Retrieved from {n.upper()} --\n" + "".join(f"* Result: {rec} (Score: {d:.4f})\n" for _, rec, d in hits) for n, hits in found.items())
+
+    live = {r.query_id: r for r in queries.rag_pipeline(spark, sf_dir).collect()}
+    checked = {r.query_id: r for r in queries.rag_checked_pipeline(spark, sf_dir).collect()}
+    asked = requests.collect()
+    assert len(live) == len(checked) == len(asked)
+    for r in asked:
+        t = plain[r.query_id]
+        by_user = {n: search(n, t, 5) for n in ("diseases", "drugs")}
+        by_ocr = {"drug_dict": search("drug_dict", t, 5), "drugs_from_ocr": search("drugs", t, 5)} if r.ocr_text else {}
+        slots = {"user_text": r.user_text, "ocr_text": r.ocr_text or cards.NO_IMAGE, "user_context": context(by_user), "ocr_context": context(by_ocr)}
+        assert live[r.query_id].prompt == cards.ANALYSIS_PROMPT.format(**slots)
+        got = json.loads(live[r.query_id].result)["card"]["retrieved"]
+        want = by_user | by_ocr
+        assert list(got) == list(want) and {n: [i["key"] for i in v] for n, v in got.items()} == {n: [h[0] for h in v] for n, v in want.items()}
+        assert checked[r.query_id].prompt.count("-- Retrieved from") == 3
+
+
 def test_consecutive_clips_in_a_stream(spark, tmp_path):
     from tamarack.streaming.clips import consecutive_stream
 
