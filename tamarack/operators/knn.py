@@ -1,29 +1,28 @@
 """Exact top-k nearest neighbours over several vector indexes.
 
-The queries go to the corpus, in blocks of a bounded size. A task scores a batch of vectors
-against a block by a matrix product, keeps what can be among the k best, and measures only that
-pair by pair, so scores don't depend on how the corpus is split. What tasks keep meets in a group
-limit, which drops all but k rows for each query and task before they move.
+Queries and corpus become tiles, which meet in a grid (see grid). A cell scores its vectors by a
+matrix product, keeps what can be among the k best, and measures only that pair by pair, so scores
+don't depend on how the corpus is split. What tasks keep meets in a group limit, which drops all
+but k rows for each query and task before they move. The approximate search is in index.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Bytes of queries that are broadcast at once, and scores that a task holds at once.
-BROADCAST_BYTES, _SCORES = 64 << 20, 1 << 22
-#: Queries that are asked for at once before their size is known.
-_ROWS = 1 << 14
+from tamarack.lineage import cut
+from tamarack.operators import grid
+
+#: Scores that a task holds at once.
+_SCORES = 1 << 22
 DEFAULT_K = 3
 #: Whether smaller is nearer.
 METRICS = {"l2": True, "ip": False, "cosine": False}
@@ -31,49 +30,19 @@ METRICS = {"l2": True, "ip": False, "cosine": False}
 
 @dataclass
 class Asked:
-    """Queries by blocks: identifiers and a matrix (None for queries without a vector)."""
+    """Queries as a table of tiles, made once for any number of searches."""
 
     kind: T.DataType
-    blocks: list[tuple[pa.Array, np.ndarray | None]]
-
-    def only(self, field: str, *values) -> Asked:
-        """The queries whose identifier, a struct, has one of the values in field."""
-        out = []
-        for ids, m in self.blocks:
-            rows = np.flatnonzero(pc.is_in(pc.struct_field(ids, field), value_set=pa.array(values)).to_numpy(zero_copy_only=False))
-            if len(rows):
-                out.append((ids.take(pa.array(rows)), None if m is None else m[rows]))
-        return Asked(self.kind, out)
-
-
-def _matrix(vectors: pa.Array, rows: np.ndarray) -> np.ndarray:
-    return np.array(vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(rows), -1)
-
-
-def _lengths(vectors: pa.Array) -> np.ndarray:
-    return pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
-
-
-def asked(queries: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> Asked:
-    """queries (query_id, query), run once, for any number of searches. Up to _ROWS come at once, more in blocks by hash."""
-    own = queries.select("query_id", "query")
-    first = own.limit(_ROWS + 1).toArrow()
-    tables = [first]
-    if first.num_rows > _ROWS:
-        width = max(1, first.nbytes // first.num_rows)
-        n = -(-own.count() * width // broadcast_bytes)
-        tables = [own.filter(F.expr(f"pmod(xxhash64(query_id), {n}) = {i}")).toArrow() for i in range(n)]
-    blocks = []
-    for t in tables:
-        ids, vectors = (x.combine_chunks() for x in t.columns)
-        size = _lengths(vectors)
-        for d in np.unique(size).tolist():
-            rows = np.flatnonzero(size == d)
-            step = max(1, broadcast_bytes // (8 * max(d, 1) + 16))
-            for at in range(0, len(rows), step):
-                part = rows[at : at + step]
-                blocks.append((ids.take(pa.array(part)), _matrix(vectors, part) if d > 0 else None))
-    return Asked(own.schema["query_id"].dataType, blocks)
+    tiles: DataFrame
+
+    def only(self, column: str, *values) -> Asked:
+        """The queries that have one of the values in column, one of those that asked() was told of."""
+        return Asked(self.kind, self.tiles.filter(F.col(column).isin(*values)))
+
+
+def asked(queries: DataFrame, by: list[str] | None = None) -> Asked:
+    """queries (query_id, query, and the columns in by), whose plan runs once, here."""
+    return Asked(queries.schema["query_id"].dataType, cut(grid.tiles(queries, "query_id", "query", by)))
 
 
 def _measured(m: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
@@ -98,62 +67,63 @@ def _likely(m: np.ndarray, q: np.ndarray, metric: str, k: int) -> tuple[np.ndarr
     return np.nonzero(s <= last + 1e-9 * (1 + np.abs(np.nan_to_num(last, posinf=0.0))))
 
 
-def _groups(b: pa.RecordBatch, by: list[str]) -> list[np.ndarray]:
-    if not by:
-        return [np.arange(b.num_rows)]
-    of: dict = {}
-    code = [of.setdefault(v, len(of)) for v in zip(*[b.column(x).to_pylist() for x in by], strict=True)]
-    return [np.flatnonzero(np.array(code) == g) for g in range(len(of))]
+def order_of(metric: str) -> list:
+    """From the nearest on; what can't be measured comes last, ties go to the lower ordinal."""
+    return [F.col("score").asc_nulls_last() if METRICS[metric] else F.col("score").desc_nulls_last(), F.col("ordinal")]
+
+
+def ranked(scored: DataFrame, k: int, metric: str, by: list[str]) -> DataFrame:
+    """(query_id, by, rank, ordinal, score): the k best of each query and value of by."""
+    best = Window.partitionBy("query_id", *by).orderBy(*order_of(metric))
+    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", *by, "rank", "ordinal", "score")
 
 
-def _scored(block, metric: str, k: int, by: list[str], names: list[str]):
+def score_cells(found: DataFrame, kind: T.DataType, k: int, metric: str, by: list[str]) -> DataFrame:
+    """(query_id, by, ordinal, score) of what can be among the k nearest within each cell; found has cells c, q."""
+    c = found.schema["c"].dataType
+    schema = T.StructType([T.StructField("query_id", kind), *[c[x] for x in by], T.StructField("ordinal", c["ids"].dataType.elementType), T.StructField("score", T.DoubleType())])
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = block.value
         for b in batches:
-            vectors = b.column(b.num_columns - 1)
-            size = _lengths(vectors)
-
-            def out(row, query, score, b=b):
-                score = pa.array(score, pa.float64(), mask=~np.isfinite(score))
-                return pa.RecordBatch.from_arrays([ids.take(pa.array(query)), *[b.column(x).take(pa.array(row)) for x in [*by, "ordinal"]], score], names=names)
-
-            for rows in _groups(b, by):
-                fit = rows[size[rows] == q.shape[1]] if q is not None else rows[:0]
-                if len(fit):
-                    m = _matrix(vectors, fit)
-                    step = max(1, _SCORES // len(fit))
-                    for at in range(0, len(q), step):
+            c, q = b.column(0), b.column(1)
+            for i in range(b.num_rows):
+                cd, qd = (x.field("dim")[i].as_py() for x in (c, q))
+                ordinals, ids = (x.field("ids")[i].values for x in (c, q))
+
+                def out(row, query, score, i=i, c=c, ordinals=ordinals, ids=ids):
+                    score = pa.array(score, pa.float64(), mask=~np.isfinite(score))
+                    same = pa.array(np.full(len(score), i))
+                    return pa.RecordBatch.from_arrays([ids.take(pa.array(query)), *[c.field(x).take(same) for x in by], ordinals.take(pa.array(row)), score], names=schema.names)
+
+                if cd == qd and cd > 0:
+                    m, w = (grid.matrix(x.field("data")[i].as_buffer(), cd, len(n)) for x, n in ((c, ordinals), (q, ids)))
+                    step = max(1, _SCORES // len(m))
+                    for at in range(0, len(w), step):
                         with np.errstate(divide="ignore", invalid="ignore"):
-                            r, c = _likely(m, q[at : at + step], metric, k)
-                            yield out(fit[r], c + at, _measured(m[r], q[at + c], metric))
-                if len(fit) < min(k, len(rows)):  # what can't be measured comes last
-                    odd = np.setdiff1d(rows, fit)
-                    odd = odd[np.argsort(b.column("ordinal").take(pa.array(odd)).to_numpy(zero_copy_only=False), kind="stable")[:k]]
+                            r, s = _likely(m, w[at : at + step], metric, k)
+                            yield out(r, s + at, _measured(m[r], w[at + s], metric))
+                else:  # what can't be measured comes last
+                    odd = np.argsort(ordinals.to_numpy(zero_copy_only=False), kind="stable")[:k]
                     yield out(np.tile(odd, len(ids)), np.repeat(np.arange(len(ids)), len(odd)), np.full(len(odd) * len(ids), np.nan))
 
-    return kernel
+    return found.select("c", "q").mapInArrow(kernel, schema)
 
 
-def knn(queries: DataFrame | Asked, corpus: DataFrame, k: int = DEFAULT_K, metric: str = "l2", by: list[str] | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def knn(queries: DataFrame | Asked, corpus: DataFrame, k: int = DEFAULT_K, metric: str = "l2", by: list[str] | None = None, broadcast_bytes: int = grid.BROADCAST_BYTES) -> DataFrame:
     """(query_id, by, rank, ordinal, score) of the k nearest rows of corpus to each query, per value of ``by``.
 
     queries: query_id, query, or what asked() made of them; corpus: ordinal, embedding, and the
     columns in by. Ties go to the lower ordinal. An index with fewer than k rows gives as many as it
     has. score is the metric's value: squared distance for l2, similarity otherwise; null, and last,
-    where a vector is missing or of another length.
+    where a vector is missing or of another length. Query tiles of up to broadcast_bytes go to the
+    corpus, more of them meet it in a join.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {', '.join(METRICS)}")
     by = by or []
-    q = queries if isinstance(queries, Asked) else asked(queries, broadcast_bytes)
-    own = corpus.select(*by, "ordinal", "embedding")
-    schema = T.StructType([T.StructField("query_id", q.kind), *own.schema.fields[:-1], T.StructField("score", T.DoubleType())])
-    send = corpus.sparkSession.sparkContext.broadcast
-    parts = [own.mapInArrow(_scored(send(block), metric, k, by, schema.names), schema) for block in q.blocks]
-    scored = reduce(DataFrame.union, parts) if parts else corpus.sparkSession.createDataFrame([], schema)
-    order = F.col("score").asc_nulls_last() if METRICS[metric] else F.col("score").desc_nulls_last()
-    best = Window.partitionBy("query_id", *by).orderBy(order, "ordinal")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", *by, "rank", "ordinal", "score")
+    q = queries if isinstance(queries, Asked) else asked(queries)
+    found = grid.cells(grid.tiles(corpus, "ordinal", "embedding", by), q.tiles, broadcast_bytes)
+    return ranked(score_cells(found, q.kind, k, metric, by), k, metric, by)
 
 
 def search_index(queries: DataFrame | Asked, corpus: DataFrame, index: str, known: list[str], k: int = DEFAULT_K, metric: str = "l2", by: str = "kb") -> DataFrame:
@@ -175,20 +145,3 @@ def lookup(hits: DataFrame, records: DataFrame) -> DataFrame:
 def nearest(queries: DataFrame | Asked, corpus: DataFrame, metric: str = "l2") -> DataFrame:
     """The single nearest row of each query; queries without any have no row."""
     return knn(queries, corpus, 1, metric)
-
-
-def approximate(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, width: float = 1.0, tables: int = 8, radius: float = 2.0, seed: int = 42) -> DataFrame:
-    """(query_id, rank, ordinal, score) of nearly the k nearest by squared distance, among rows within ``radius``.
-
-    Random projections cut into buckets of ``width`` propose what is measured, so pairs meet by an
-    equi-join; more tables find more. For corpora and query sets whose product is too large for knn.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    vectors = lambda df, key, v: df.filter(F.col(v).isNotNull()).select(F.col(key), array_to_vector(F.col(v).cast("array<double>")).alias("v"))
-    own = vectors(corpus, "ordinal", "embedding")
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=seed).fit(own)
-    near = lsh.approxSimilarityJoin(vectors(queries, "query_id", "query"), own, radius, "d").select("datasetA.query_id", "datasetB.ordinal", (F.col("d") * F.col("d")).alias("score"))
-    best = Window.partitionBy("query_id").orderBy("score", "ordinal")
-    return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "ordinal", "score")

@@ -19,11 +19,11 @@ USER_K, CHECKED_K, CANDIDATES = 5, 3, 3
 
 
 def _asked(texts: DataFrame, dictionary: DataFrame | None, embedder) -> Asked:
-    """The queries of texts (query_id, side, text), run once: each distinct text is normalised and embedded once."""
+    """The queries of texts (query_id, side, text), by side, run once: each distinct text is normalised and embedded once."""
     known = texts.withColumn("text", F.coalesce("text", F.lit("")))
     plain = normalize(known.select("text").distinct().withColumn("id", F.col("text")), dictionary).withColumnRenamed("id", "text")
     embedded = known.join(models.embed_texts(plain, "normalized", "query", embedder), "text")
-    return asked(embedded.select(F.struct("side", F.col("query_id").alias("id")).alias("query_id"), "query"))
+    return asked(embedded.select(F.struct("side", F.col("query_id").alias("id")).alias("query_id"), "query", "side"), ["side"])
 
 
 def _sides(requests: DataFrame, **columns: Column) -> DataFrame:

@@ -7,11 +7,16 @@ events and conversations.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.functions import jsonx, text
+from tamarack.functions.vectors import squared_l2
+from tamarack.lineage import cut, removed, shared_dir
 from tamarack.operators import cards, knn, matching, models, records, sessions, spelling
+from tamarack.operators.index import VectorIndex
 from tamarack.plans import pipeline
 from tamarack.sources.catalog import Catalog, Index
 from tamarack.sources.files import inventory
@@ -108,6 +113,40 @@ def knn_k_exceeds_index(spark, sf_dir):
     return _rounded(knn.knn(asked, corpus.filter("ordinal < 8"), 10))
 
 
+def _indexed(spark, sf_dir, use):
+    """What use, from an index of all embeddings, gives; the index goes after that."""
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    try:
+        return cut(use(VectorIndex.build(_vectors(spark, sf_dir)[1], path)))
+    finally:
+        removed(spark, path)
+
+
+@_query(_knn_sql(k=5))
+def knn_index_exact(spark, sf_dir):
+    """Nearest neighbours from an index, the cells that can't have any being skipped."""
+    return _rounded(_indexed(spark, sf_dir, lambda i: i.search_exact(_vectors(spark, sf_dir)[0], 5)))
+
+
+@_query("SELECT count(*) AS queries, 5 * count(*) AS hits, true AS recall_reached, true AS scores_exact FROM embeddings WHERE vec_id % 10 = 0")
+def knn_ivf(spark, sf_dir):
+    """Whether the nearest cells of an index have 0.9 of the five nearest neighbours, and all scores are exact."""
+    e, corpus = _read(spark, sf_dir, "embeddings"), _vectors(spark, sf_dir)[1]
+    asked = e.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    found = _indexed(spark, sf_dir, lambda i: i.search(asked, 5, recall=0.97))
+    # the true score of what was found, from the vectors themselves
+    pairs = found.join(corpus.select("ordinal", "embedding"), "ordinal").join(asked, "query_id").withColumn("off", F.abs(F.col("score") - squared_l2(F.col("embedding"), F.col("query"))) > 1e-9)
+    true = knn.knn(asked, corpus, 5).select("query_id", "ordinal", F.lit(1).alias("is_true"))
+    of = pairs.join(true, ["query_id", "ordinal"], "left")
+    return of.agg(F.count_distinct("query_id").alias("queries"), F.count(F.lit(1)).alias("hits"), (F.count("is_true") >= 0.9 * F.count(F.lit(1))).alias("recall_reached"), (~F.bool_or("off")).alias("scores_exact"))
+
+
+@_query("SELECT max(len(embedding))::INT AS dim, count(*) AS count, 'l2' AS metric, round(sqrt(count(*)))::INT AS cells FROM embeddings")
+def index_descriptor(spark, sf_dir):
+    """What an index says of itself when it is opened."""
+    return _indexed(spark, sf_dir, lambda i: i.descriptor())
+
+
 @_query("SELECT min(len(embedding))::INT AS dim, min(len(embedding)) = max(len(embedding)) AS all_equal, count(*) AS n FROM embeddings")
 def vector_dims(spark, sf_dir):
     """Whether all vectors have as many dimensions."""

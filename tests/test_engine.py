@@ -1,11 +1,12 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tamarack.functions import jsonx, text
 from tamarack.functions.vectors import cosine, inner_product, squared_l2
-from tamarack.operators import cards, knn, matching, models, records, sessions, spelling
+from tamarack.operators import cards, index, knn, matching, models, records, sessions, spelling
 from tamarack.plans import pipeline
 from tamarack.sources import files
 from tamarack.sources.catalog import Catalog, Index
@@ -88,9 +89,76 @@ def test_knn_is_the_same_however_it_is_split(spark, sf_dir):
     rows = lambda df: sorted(map(tuple, df.collect()))
     want = rows(knn.knn(q, c.coalesce(1), 4))
     assert rows(knn.knn(q, c.repartition(9), 4)) == want
-    assert rows(knn.knn(q, c, 4, broadcast_bytes=2000)) == want
-    plan = knn.knn(q, c, 4)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "MapInArrow" in plan and "Join" not in plan
+    joined = knn.knn(q.repartition(5), c.repartition(3), 4, broadcast_bytes=500)
+    assert rows(joined) == want
+    text = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in text(joined) and "NestedLoop" not in text(joined)
+    plan = text(knn.knn(q, c, 4))
+    assert "WindowGroupLimit" in plan and "MapInArrow" in plan and "BroadcastHashJoin" in plan and "NestedLoop" not in plan
+
+
+def test_many_queries_run_once_and_not_through_the_driver(spark):
+    ran, n = spark.sparkContext.accumulator(0), 17_000
+
+    def seen(batches):
+        for b in batches:
+            ran.add(b.num_rows)
+            yield b
+
+    q = spark.range(n).select(F.col("id").alias("query_id"), F.array((F.col("id") % 97).cast("float"), F.lit(0.0).cast("float")).alias("query"))
+    q = q.mapInArrow(seen, q.schema)
+    corpus = spark.range(200).select(F.col("id").alias("ordinal"), F.array(F.col("id").cast("float"), F.lit(0.0).cast("float")).alias("embedding"))
+    for size in (1 << 20, 50_000):  # broadcast, joined
+        asked = knn.asked(q)
+        before = ran.value
+        got = knn.knn(asked, corpus, 1, broadcast_bytes=size).agg(F.count(F.lit(1)), F.count_if(F.col("query_id") % 97 == F.col("ordinal")), F.max("score")).first()
+        assert tuple(got) == (n, n, 0.0) and knn.knn(asked, corpus, 2).count() == 2 * n and ran.value == before
+    assert ran.value == 2 * n
+
+
+def test_knn_of_odd_vectors(spark):
+    c = spark.createDataFrame([(1, [0.0, 0.0]), (2, None), (3, [1.0]), (4, [1.0, None]), (5, [2.0, 0.0]), (0, None)], "ordinal long, embedding array<double>")
+    q = spark.createDataFrame([("a", [0.0, 0.0]), ("b", None)], "query_id string, query array<double>")
+    got = {(r.query_id, r["rank"]): (r.ordinal, r.score) for r in knn.knn(q, c, 4).collect()}
+    assert [got["a", i] for i in (1, 2, 3, 4)] == [(1, 0.0), (5, 4.0), (0, None), (2, None)]
+    assert [got["b", i] for i in (1, 2, 3, 4)] == [(0, None), (1, None), (2, None), (3, None)]
+    assert knn.knn(q.limit(0), c, 4).collect() == [] and knn.knn(q, c.limit(0), 4).collect() == []
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_index(spark, sf_dir, tmp_path, metric):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    c = e.select(F.col("vec_id").alias("ordinal"), "embedding")
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    built = index.VectorIndex.build(c, str(tmp_path / "i"), metric)
+    opened = index.VectorIndex.open(spark, str(tmp_path / "i"), 64)
+    assert (opened.dim, opened.count, opened.metric, sorted(opened.recall.items())) == (64, c.count(), metric, sorted(built.recall.items()))
+    exact = rows(knn.knn(q, c, 5, metric))
+    assert rows(opened.search_exact(q, 5)) == exact
+    found = rows(opened.search(q, 5))
+    pairs = lambda hits: {(h[0], h[2]) for h in hits}
+    assert len(pairs(found) & pairs(exact)) >= 0.9 * len(exact) and {(h[0], h[2], h[3]) for h in exact} >= {(h[0], h[2], h[3]) for h in found if (h[0], h[2]) in pairs(exact)}
+    assert rows(opened.search(q, 5, probe=10**6)) == exact
+    with pytest.raises(ValueError, match="64 dimensions"):
+        index.VectorIndex.open(spark, str(tmp_path / "i"), 32)
+    with pytest.raises(Exception, match="2 dimensions, not 64"):
+        opened.search(q.withColumn("query", F.array(F.lit(1.0), F.lit(2.0)))).collect()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        index.VectorIndex.open(spark, str(tmp_path / "none"))
+    with pytest.raises(Exception, match="dimensions, not 64"):
+        index.VectorIndex.build(c.union(spark.createDataFrame([(-1, [1.0])], "ordinal long, embedding array<float>")), str(tmp_path / "bad"), metric)
+
+
+def test_an_index_skips_cells_far_away(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=4) + 100 * (i % 8)).tolist()) for i in range(800)]
+    c = spark.createDataFrame(rows, "ordinal long, embedding array<float>")
+    opened = index.VectorIndex.build(c, str(tmp_path / "i"), cells=8)
+    q = c.filter("ordinal < 40").select(F.col("ordinal").alias("query_id"), F.col("embedding").alias("query"))
+    centres, radius, n = opened.centres, opened.radius, opened.n
+    sent = opened.visits(q, lambda m: index.needed(m, centres, radius, n, 5)).count()
+    assert sent <= 2 * 40 and sorted(map(tuple, opened.search_exact(q, 5).collect())) == sorted(map(tuple, knn.knn(q, c, 5).collect()))
 
 
 def test_records(spark, tmp_path):
@@ -312,12 +380,6 @@ def test_knn_of_vectors_that_cannot_be_measured(spark):
     assert knn.knn(q.limit(0), c, 2).collect() == [] and knn.knn(q, c.limit(0), 2).collect() == []
 
 
-def test_approximate_neighbours(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    q, c = e.filter("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS query"), e.selectExpr("vec_id AS ordinal", "embedding")
-    exact = {(r.query_id, r.ordinal) for r in knn.knn(q, c, 3).collect()}
-    assert len(exact & {(r.query_id, r.ordinal) for r in knn.approximate(q, c, 3).collect()}) >= 0.9 * len(exact)
-
 
 def test_boxes_ids_dumps_and_files(spark, tmp_path):
     import numpy as np
