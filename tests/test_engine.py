@@ -1,4 +1,5 @@
 import json
+from functools import partial
 
 import numpy as np
 import pytest
@@ -156,8 +157,7 @@ def test_an_index_skips_cells_far_away(spark, tmp_path):
     c = spark.createDataFrame(rows, "ordinal long, embedding array<float>")
     opened = index.VectorIndex.build(c, str(tmp_path / "i"), cells=8)
     q = c.filter("ordinal < 40").select(F.col("ordinal").alias("query_id"), F.col("embedding").alias("query"))
-    centres, radius, n = opened.centres, opened.radius, opened.n
-    sent = opened.visits(q, lambda m: index.needed(m, centres, radius, n, 5)).count()
+    sent = opened.visits(q, partial(index.needed, centres=opened.centres, radius=opened.radius, n=opened.n, k=5)).count()
     assert sent <= 2 * 40 and sorted(map(tuple, opened.search_exact(q, 5).collect())) == sorted(map(tuple, knn.knn(q, c, 5).collect()))
 
 
@@ -380,7 +380,6 @@ def test_knn_of_vectors_that_cannot_be_measured(spark):
     assert knn.knn(q.limit(0), c, 2).collect() == [] and knn.knn(q, c.limit(0), 2).collect() == []
 
 
-
 def test_boxes_ids_dumps_and_files(spark, tmp_path):
     import numpy as np
 
