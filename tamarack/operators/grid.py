@@ -101,7 +101,7 @@ def cells(corpus: DataFrame, queries: DataFrame, broadcast_bytes: int = BROADCAS
     size, n = measured[0] or 0, measured[1]
     if size <= broadcast_bytes:
         one = lambda n: F.pmod(F.col(n), F.lit(1))  # noqa: E731  the one slot that all are in
-        return c.withColumn("_slot", one("c.n")).join(F.broadcast(q.withColumn("_slot", one("q.n"))), "_slot").drop("_slot")
+        return c.withColumn("_slot", one("c.dim")).join(F.broadcast(q.withColumn("_slot", one("q.dim"))), "_slot").drop("_slot")
     slots = min(n, -(-size // broadcast_bytes))
     groups = max(1, int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")) // slots)
     mine = F.pmod(F.xxhash64("q.ids", "q.data"), F.lit(slots)).cast("int")
