@@ -19,8 +19,7 @@ def centres_of(sample: np.ndarray, k: int, rounds: int = 12, seed: int = 42) ->
     for _ in range(rounds):
         of = nearest_centres(sample, centres)
         n = np.bincount(of, minlength=k)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, of, sample)
+        sums = np.stack([np.bincount(of, weights=column, minlength=k) for column in sample.T], axis=1)
         moved = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
         if np.allclose(moved, centres):
             break
