@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamarack.lineage import cut, removed, shared_dir  # noqa: F401  for the operators
+
 #: ASCII white space, the characters of ``[\x20\x09-\x0D]``.
 WHITE = " \t\n\x0b\x0c\r"
 #: Bytes up to which a side of a join may be broadcast after its size was measured.
@@ -18,35 +19,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one where that is unset, in local mode only."""
-    at = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tamarack-"))
-        at = spark.sparkContext.getCheckpointDir()
-    return at
-
-
-#: While a cut is made: shuffles leave the disks when it is done, and workers get at most so many rows of texts at once.
-_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2048"}
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the shared folder; the shuffles that made it leave the disks."""
-    shared_dir(df.sparkSession)
-    conf = df.sparkSession.conf
-    before = {k: conf.get(k, None) for k in _SETTINGS}
-    for k, v in _SETTINGS.items():
-        conf.set(k, v)
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        for k, v in before.items():
-            conf.unset(k) if v is None else conf.set(k, v)
-
-
 def emptied(spark: SparkSession, path: str) -> None:
     """Frees the space of an intermediate folder in the shared store by an empty table in its place."""
     spark.createDataFrame([], "gone string").write.mode("overwrite").parquet(path)

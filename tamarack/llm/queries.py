@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tamarack.llm import chat, decontam, exact_dedup, langid, mixing, quality, secrets_scan, simhash, urlfilter, warc
+from tamarack.llm import capfilter, chat, decontam, exact_dedup, hardneg, langid, mixing, quality, secrets_scan, simhash, urlfilter, warc
 from tamarack.llm._common import read, with_row
 
 
@@ -60,6 +61,18 @@ def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_template_decontamination, op2_source_mix, op3_simhash, op4_secret_ownership, op5_language_id, op6_warc_round_trip, op7_exact_dedup, op8_chat_windows, op9_quality_qda, op10_url_trust)}
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of each positive of each anchor, in integer scores."""
+    e = read(spark, sf_dir, "embeddings").filter("label is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
+    own = e.select("vec_id", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)").alias("label"), F.expr("transform(embedding, x -> floor(256 * double(x)))").alias("z"), F.expr("vec_id % 50 = 0").alias("anchor"))
+    return hardneg.hard_negatives(own)
 
-ORACLE_SQL: dict[str, str] = {"op7_exact_dedup": exact_dedup.ORACLE_SQL, "op8_chat_windows": chat.ORACLE_SQL}
+
+def op13_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and classes of the vectors whose cosine is 0.9 or more."""
+    return capfilter.links(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_template_decontamination, op2_source_mix, op3_simhash, op4_secret_ownership, op5_language_id, op6_warc_round_trip, op7_exact_dedup, op8_chat_windows, op9_quality_qda, op10_url_trust, op12_hard_negatives, op13_cap_filters)}
+
+ORACLE_SQL: dict[str, str] = {"op7_exact_dedup": exact_dedup.ORACLE_SQL, "op8_chat_windows": chat.ORACLE_SQL, "op12_hard_negatives": hardneg.ORACLE_SQL, "op13_cap_filters": capfilter.ORACLE_SQL}
