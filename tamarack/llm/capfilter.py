@@ -1,11 +1,13 @@
 """Embedding near-duplicates by spherical-cap filters.
 
-Filter directions form a random product code: a random rotation, blocks of its coordinates, and in
+Filter directions form random product codes: a random rotation, blocks of its coordinates, and in
 each block a codebook of random directions; a filter is a choice of one of each block. A vector
 belongs to every filter whose direction it is near (the cap's height), and the code's structure
 lists these without looking at all filters: partial sums that can't reach the height are left.
+As a structured code leaves some directions with few filters, several independent ones are used.
 Vectors join on filters; within a filter, products in doubles verify each pair, which counts only
-in the first filter both have, so links are counted once and no pairs are emitted.
+in the first filter both have, so links are counted once and no pairs are emitted. Rows travel
+without their lists of filters; those that link are decoded again where they do.
 
 The number of filters grows with the count so that a filter's share of vectors shrinks; the
 height is set so that random pairs at the threshold have PAIRS filters in common on average. Equal
@@ -17,7 +19,6 @@ link costs a product for each pair, as the links of each have to be counted, spr
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,38 +30,33 @@ from tamarack.llm import _common as c
 from tamarack.llm.components import components
 
 SEED = 42
-#: Filters that a pair at the threshold has in common on average.
-PAIRS = 12
+#: Independent codes, and filters that a pair at the threshold has in common on average, over all of them.
+CODES, PAIRS = 8, 20
 #: Vectors of a filter that its height aims at, on average; vectors of a block, about; codewords of a block of coordinates at most.
-AIM, BLOCK, WORDS = 256, 4096, 512
+AIM, BLOCK, WORDS = 512, 4096, 4096
 #: Filters that share a group if they have one block, about.
 _PACK = 8
 
 
-@dataclass
-class Code:
-    """rotation: (dim, dim); books: for each block of coordinates its codewords; height of the caps."""
-
-    rotation: np.ndarray
-    books: list[np.ndarray]
-    height: float
-
-    def decode(self, unit: np.ndarray, height: float | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(row, filter) of all filters whose caps hold a row of unit (vectors of length one)."""
-        height = self.height if height is None else height
-        turned = unit @ self.rotation
-        scores, at = [], 0
-        for book in self.books:
-            scores.append(turned[:, at : at + book.shape[1]] @ book.T / np.sqrt(len(self.books)))
-            at += book.shape[1]
-        best = [s.max(axis=1) for s in scores]
-        row, name, total = np.arange(len(unit)), np.zeros(len(unit), np.int64), np.zeros(len(unit))
-        for i, s in enumerate(scores):
-            rest = sum((b[row] for b in best[i + 1 :]), np.zeros(len(row)))
-            sums = total[:, None] + s[row]
-            x, word = np.nonzero(sums + rest[:, None] >= height)
-            row, name, total = row[x], name[x] * s.shape[1] + word, sums[x, word]
-        return row, name
+#: A code: its rotation (dim, dim), for each block of coordinates its codewords, and the height of the caps.
+Code = tuple[np.ndarray, list[np.ndarray], float]
+
+
+def caps(code: Code, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, filter) of all filters whose caps hold a row of unit (vectors of length one)."""
+    rotation, books, height = code
+    turned, scores, at = unit @ rotation, [], 0
+    for book in books:
+        scores.append(turned[:, at : at + book.shape[1]] @ book.T / np.sqrt(len(books)))
+        at += book.shape[1]
+    best = [s.max(axis=1) for s in scores]
+    row, name, total = np.arange(len(unit)), np.zeros(len(unit), np.int64), np.zeros(len(unit))
+    for i, s in enumerate(scores):
+        rest = sum((b[row] for b in best[i + 1 :]), np.zeros(len(row)))
+        sums = total[:, None] + s[row]
+        x, word = np.nonzero(sums + rest[:, None] >= height)
+        row, name, total = row[x], name[x] * s.shape[1] + word, sums[x, word]
+    return row, name
 
 
 def _units(rng, n: int, d: int) -> np.ndarray:
@@ -68,29 +64,38 @@ def _units(rng, n: int, d: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def code_for(count: int, dim: int, threshold: float, seed: int = SEED) -> Code:
-    """The code for count vectors; the same for the same arguments."""
-    rng = np.random.default_rng([seed, dim])
+def _code(rng, filters: int, dim: int, threshold: float, pairs: float) -> Code:
+    """A code of about so many filters whose caps are as low as pairs at the threshold need to share ``pairs`` on average."""
     rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
-    filters = max(16, 2 * PAIRS * count // AIM)
-    blocks = max(1, min(dim // 8, int(np.ceil(np.log(filters) / np.log(WORDS)))))
+    blocks = max(1, min(dim // 8, max(2, int(np.ceil(np.log(filters) / np.log(WORDS))))))
     words = int(np.ceil(filters ** (1 / blocks))) if dim > 1 else 2
     books = [_units(rng, words, len(part)) for part in np.array_split(np.arange(dim), blocks)]
-    code = Code(rotation, books, 1.0)
-    # pairs at the threshold tell how low the caps must be for PAIRS common filters
-    a = _units(rng, 256, dim)
-    b = _units(rng, 256, dim)
+    a, b = _units(rng, 256, dim), _units(rng, 256, dim)
     if dim > 1:
         b -= (a * b).sum(axis=1)[:, None] * a
-        b /= np.sqrt((b * b).sum(axis=1))[:, None]
-    b = threshold * a + np.sqrt(max(0.0, 1 - threshold**2)) * b if dim > 1 else a
+        b = threshold * a + np.sqrt(max(0.0, 1 - threshold**2)) * b / np.sqrt((b * b).sum(axis=1))[:, None]
+    else:
+        b = a
     for height in np.arange(0.95, -1.01, -0.01):
-        found = [np.unique(np.stack(code.decode(x, height), axis=1), axis=0) for x in (a, b)]
-        both = np.concatenate(found)
-        _, n = np.unique(both, axis=0, return_counts=True)
-        if (n == 2).sum() >= PAIRS * len(a):
+        found = np.concatenate([np.unique(np.stack(caps((rotation, books, height), x), axis=1), axis=0) for x in (a, b)])
+        if (np.unique(found, axis=0, return_counts=True)[1] == 2).sum() >= pairs * len(a):
             break
-    return Code(rotation, books, float(height))
+    return rotation, books, float(height)
+
+
+def codes_for(count: int, dim: int, threshold: float, seed: int = SEED) -> list[Code]:
+    """The codes for count vectors; the same for the same arguments."""
+    filters = max(16, 2 * PAIRS * count // (AIM * CODES))
+    return [_code(np.random.default_rng([seed, dim, i]), filters, dim, threshold, PAIRS / CODES) for i in range(CODES)]
+
+
+def decode(codes: list[Code], unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, filter) of all filters of the codes, by row and filter."""
+    found = [caps(code, unit) for code in codes]
+    row = np.concatenate([r for r, _ in found])
+    name = np.concatenate([f * len(codes) + i for i, (_, f) in enumerate(found)])
+    order = np.lexsort((name, row))
+    return row[order], name[order]
 
 
 def directions(vectors: pa.Array, dim: int) -> np.ndarray:
@@ -100,7 +105,7 @@ def directions(vectors: pa.Array, dim: int) -> np.ndarray:
 
 
 def _filtered(reps: DataFrame, codes) -> DataFrame:
-    """reps (rep, copies, dim, v) once for each filter: (dim, filter, rep, copies, v, filters), filters being all of the row's."""
+    """reps (rep, copies, dim, v) once for each filter of theirs: (dim, filter, rep, copies, v)."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,30 +114,24 @@ def _filtered(reps: DataFrame, codes) -> DataFrame:
                 dims = s.column(2).to_numpy()
                 for dim in np.unique(dims).tolist():
                     b = s.take(pa.array(np.flatnonzero(dims == dim)))
-                    unit = directions(b.column(3), dim)
-                    row, name = codes.value[dim].decode(unit)
-                    own = np.bincount(row, minlength=len(unit))
-                    order = np.argsort(row, kind="stable")
-                    row, name = row[order], name[order]
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(own))), pa.int32()), pa.array(name))
+                    row, name = decode(codes.value[dim], directions(b.column(3), dim))
                     at_row = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([b.column(2).take(at_row), pa.array(name), *[b.column(i).take(at_row) for i in (0, 1, 3)], lists.take(at_row)], names=["dim", "filter", "rep", "copies", "v", "filters"])
+                    yield pa.RecordBatch.from_arrays([b.column(2).take(at_row), pa.array(name), *[b.column(i).take(at_row) for i in (0, 1, 3)]], names=["dim", "filter", "rep", "copies", "v"])
 
-    return reps.select("rep", "copies", "dim", "v").mapInArrow(kernel, T.StructType([T.StructField("dim", T.IntegerType()), T.StructField("filter", T.LongType()), reps.schema["rep"], reps.schema["copies"], reps.schema["v"], T.StructField("filters", T.ArrayType(T.LongType()))]))
+    return reps.select("rep", "copies", "dim", "v").mapInArrow(kernel, T.StructType([T.StructField("dim", T.IntegerType()), T.StructField("filter", T.LongType()), reps.schema["rep"], reps.schema["copies"], reps.schema["v"]]))
 
 
-def earlier(filters: pa.Array, name: int) -> np.ndarray:
-    """Bits of the filters before ``name`` that each row has, by the filters that rows have in common: (rows, words of 64 bits)."""
-    row = np.repeat(np.arange(len(filters)), np.diff(filters.offsets.to_numpy()))
-    value = filters.flatten().to_numpy()
-    ok = value < name
-    row, value = row[ok], value[ok]
-    known, code, n = np.unique(value, return_inverse=True, return_counts=True)
+def earlier(codes: list[Code], unit: np.ndarray, name: int) -> np.ndarray:
+    """Bits of the filters before ``name`` that each row has, of those that several rows have: (rows, words of 64 bits)."""
+    found = [decode(codes, unit[at : at + 256]) for at in range(0, len(unit), 256)]
+    row = np.concatenate([r + 256 * i for i, (r, _) in enumerate(found)])
+    value = np.concatenate([f for _, f in found])
+    row, value = row[value < name], value[value < name]
+    _, code, n = np.unique(value, return_inverse=True, return_counts=True)
     shared = n > 1
     place = np.cumsum(shared) - 1
-    ok = shared[code]
-    row, at = row[ok], place[code[ok]]
-    bits = np.zeros((len(filters), int(shared.sum()) // 64 + 1), np.uint64)
+    row, at = row[shared[code]], place[code[shared[code]]]
+    bits = np.zeros((len(unit), int(shared.sum()) // 64 + 1), np.uint64)
     np.bitwise_or.at(bits, (row, at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
     return bits
 
@@ -150,36 +149,36 @@ def local_classes(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = low
 
 
-def _linked(group: pa.Table, threshold: float) -> tuple[np.ndarray, ...]:
+def _linked(group: pa.Table, codes: dict[int, list[Code]], threshold: float) -> tuple[np.ndarray, ...]:
     """(rep, links, root) of the rows of one filter that link: links first found here, and the least linked row here."""
     dim, name = group.column("dim")[0].as_py(), group.column("filter")[0].as_py()
-    reps, copies = (group.column(x).to_numpy() for x in ("rep", "copies"))
+    reps, copies, block = (group.column(x).to_numpy() for x in ("rep", "copies", "block"))
     unit = directions(group.column("v").combine_chunks(), dim)
-    block = group.column("block").to_numpy()
-    filters = group.column("filters").combine_chunks()
-    bits = earlier(filters, name)
-    links, heads = np.zeros(len(reps), np.int64), [[], []]
     cross = group.column("left")[0].as_py() != group.column("right")[0].as_py()
+    pairs = []
     for at in range(0, len(reps), 256):
         close = unit[at : at + 256] @ unit.T >= threshold
-        close &= (np.arange(len(reps))[None, :] > np.arange(at, at + len(close))[:, None])
+        close &= np.arange(len(reps))[None, :] > np.arange(at, at + len(close))[:, None]
         if cross:
             close &= block[at : at + 256, None] != block[None, :]
         i, j = np.nonzero(close)
-        i += at
-        heads[0].append(i)
-        heads[1].append(j)
-        for lo in range(0, len(i), 1 << 18):
-            x, y = i[lo : lo + (1 << 18)], j[lo : lo + (1 << 18)]
-            new = ~(bits[x] & bits[y]).any(axis=1)
-            np.add.at(links, x[new], copies[y[new]])
-            np.add.at(links, y[new], copies[x[new]])
-    root = local_classes(len(reps), *map(np.concatenate, heads))
-    some = (root != np.arange(len(reps))) | (links > 0)
-    return reps[some], links[some], reps[root[some]]
-
-
-def found_links(filtered: DataFrame, threshold: float) -> DataFrame:
+        pairs.append(((i + at).astype(np.int32), j.astype(np.int32)))
+    i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    some = np.unique(np.concatenate((i, j)))
+    if not len(some):
+        return reps[:0], copies[:0], reps[:0]
+    i, j = np.searchsorted(some, i), np.searchsorted(some, j)
+    reps, copies = reps[some], copies[some]
+    bits, links = earlier(codes[dim], unit[some], name), np.zeros(len(some), np.int64)
+    for at in range(0, len(i), 1 << 18):
+        x, y = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
+        new = ~(bits[x] & bits[y]).any(axis=1)
+        np.add.at(links, x[new], copies[y[new]])
+        np.add.at(links, y[new], copies[x[new]])
+    return reps, links, reps[local_classes(len(reps), i, j)]
+
+
+def found_links(filtered: DataFrame, codes, threshold: float) -> DataFrame:
     """(rep, links, root) from filtered; a rep has a row for each group in which it links."""
     sizes = c.cut(filtered.groupBy("dim", "filter").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     packs = sizes.count() // _PACK + 1
@@ -188,12 +187,12 @@ def found_links(filtered: DataFrame, threshold: float) -> DataFrame:
     # a block meets itself and each other block of its filter once
     each = F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda x: F.struct(F.least(x, F.col("block")).alias("left"), F.greatest(x, F.col("block")).alias("right")))
     group = F.when(F.col("last") == 0, F.pmod(F.xxhash64("filter"), F.lit(packs))).otherwise(-1 - F.col("filter"))
-    dealt = placed.select("dim", "filter", "rep", "copies", "v", "filters", "block", group.alias("group"), F.explode(each).alias("p")).select("*", "p.left", "p.right").drop("p")
+    dealt = placed.select("dim", "filter", "rep", "copies", "v", "block", group.alias("group"), F.explode(each).alias("p")).select("*", "p.left", "p.right").drop("p")
 
     def kernel(table: pa.Table) -> pa.Table:
         names = table.column("filter").to_numpy()
         order = np.argsort(names, kind="stable")
-        parts = [_linked(table.take(pa.array(at)), threshold) for at in np.split(order, np.flatnonzero(np.diff(names[order])) + 1) if len(at) > 1]
+        parts = [_linked(table.take(pa.array(at)), codes.value, threshold) for at in np.split(order, np.flatnonzero(np.diff(names[order])) + 1) if len(at) > 1]
         cols = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3)]
         return pa.table(dict(zip(("rep", "links", "root"), cols, strict=True)))
 
@@ -225,8 +224,8 @@ def links(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     first = copies.filter("row = rep").select("row", "copies")
     reps = c.cut(good.join(later, "row", "left_anti").join(c.maybe_broadcast(first, 48), "row", "left").select(F.col("row").alias("rep"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), F.size("v").alias("dim"), "v"))
     counts = {r.dim: r.n for r in reps.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}  # one for each length of vectors
-    codes = df.sparkSession.sparkContext.broadcast({dim: code_for(n, dim, threshold) for dim, n in counts.items()})
-    found = c.cut(found_links(_filtered(reps, codes), threshold))
+    codes = df.sparkSession.sparkContext.broadcast({dim: codes_for(n, dim, threshold) for dim, n in counts.items()})
+    found = c.cut(found_links(_filtered(reps, codes), codes, threshold))
     roots = components(found, "rep", "root")
     linked = found.groupBy("rep").agg(F.sum("links").alias("links")).join(roots.withColumnRenamed("id", "rep"), "rep", "left")
     named = rows.select("_tmk_row", "id").join(c.maybe_broadcast(copies, 64), F.col("_tmk_row") == F.col("row"), "left").select("_tmk_row", "id", F.coalesce("rep", "_tmk_row").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"))
