@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import capfilter, chat, decontam, exact_dedup, hardneg, langid, mixing, quality, secrets_scan, simhash, urlfilter, warc
+from tamarack.llm import capfilter, chat, collocations, decontam, exact_dedup, hardneg, langid, mixing, quality, secrets_scan, simhash, urlfilter, warc
 from tamarack.llm._common import read, with_row
 
 
@@ -61,6 +61,11 @@ def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(read(spark, sf_dir, "pages"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first phrases of each language by how much more often they occur than their parts would."""
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of each positive of each anchor, in integer scores."""
     e = read(spark, sf_dir, "embeddings").filter("label is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
@@ -73,6 +78,6 @@ def op13_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capfilter.links(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_template_decontamination, op2_source_mix, op3_simhash, op4_secret_ownership, op5_language_id, op6_warc_round_trip, op7_exact_dedup, op8_chat_windows, op9_quality_qda, op10_url_trust, op12_hard_negatives, op13_cap_filters)}
+QUERIES = {f.__name__: f for f in (op1_template_decontamination, op2_source_mix, op3_simhash, op4_secret_ownership, op5_language_id, op6_warc_round_trip, op7_exact_dedup, op8_chat_windows, op9_quality_qda, op10_url_trust, op11_collocations, op12_hard_negatives, op13_cap_filters)}
 
-ORACLE_SQL: dict[str, str] = {"op7_exact_dedup": exact_dedup.ORACLE_SQL, "op8_chat_windows": chat.ORACLE_SQL, "op12_hard_negatives": hardneg.ORACLE_SQL, "op13_cap_filters": capfilter.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_exact_dedup": exact_dedup.ORACLE_SQL, "op8_chat_windows": chat.ORACLE_SQL, "op11_collocations": collocations.ORACLE_SQL, "op12_hard_negatives": hardneg.ORACLE_SQL, "op13_cap_filters": capfilter.ORACLE_SQL}
