@@ -1,62 +1,12 @@
-"""Substring containment joins and the three-valued consistency verdict."""
+"""Witnesses of containment and the three-valued consistency verdict."""
 
 from __future__ import annotations
 
-import ahocorasick
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.functions.text import title_case
-
-#: Characters of phrases that one automaton takes, a task's memory being some 100 bytes for each.
-PHRASE_CHARS = 1 << 20
-
-
-def containing(texts: DataFrame, phrases: DataFrame, how: str = "left_semi", text: str = "text", phrase: str = "phrase") -> DataFrame:
-    """texts joined (``left_semi`` or ``inner``) with the phrases they contain, both in lower case; empty phrases match nothing.
-
-    Any substring counts, so there is no key to join on. The distinct phrases, a set that fits the
-    driver, make automata of up to PHRASE_CHARS characters; each reads every text once, in time
-    that doesn't depend on the number of phrases. What it finds is then joined by phrase.
-    """
-    low = phrases.filter(F.coalesce(F.col(phrase), F.lit("")) != "").withColumn("_phrase", F.lower(phrase))
-    own = texts.withColumns({"_text": F.lower(text), "_found": F.array().cast("array<string>")})
-    held, size = [], 0
-    blocks = [held]
-    for (p,) in low.select("_phrase").distinct().toLocalIterator():
-        if size + len(p) > PHRASE_CHARS and held:
-            held, size = [], 0
-            blocks.append(held)
-        held.append(p)
-        size += len(p)
-    for block in blocks:
-        if block:
-            own = own.mapInArrow(_finder(block, own.columns.index("_text"), how == "left_semi"), own.schema)
-    if how == "left_semi":
-        return own.filter(F.size("_found") > 0).drop("_text", "_found")
-    return own.withColumn("_phrase", F.explode("_found")).drop("_text", "_found").join(low, "_phrase").drop("_phrase")
-
-
-def _finder(phrases: list[str], at: int, first: bool):
-    """A kernel that adds to the last column the phrases in column ``at``, or any one of them."""
-
-    def kernel(batches):
-        automaton = ahocorasick.Automaton()
-        for p in phrases:
-            automaton.add_word(p, p)
-        automaton.make_automaton()
-        for b in batches:
-            found = []
-            for text, known in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
-                if text and not (first and known):
-                    hits = (p for _, p in automaton.iter(text))
-                    known = [*known, *([p] if (p := next(hits, None)) else [])] if first else [*known, *sorted(set(hits))]
-                found.append(known)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.list_(pa.string()))], names=b.schema.names)
-
-    return kernel
-
+from tamarack.operators.containment import containing  # noqa: F401
 
 def first_witness(candidates: DataFrame, phrases: DataFrame) -> DataFrame:
     """(query_id, rank, phrase) of the first candidate, by rank, whose text has a phrase of the query, and the least such phrase.
