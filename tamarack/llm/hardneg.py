@@ -177,22 +177,38 @@ def _negative_search(n: int, least: int, most: int):
         # 100 * score within least and most times the positive's score, in Python's integers
         floor = np.array([-(-least * s // 100) for s in w_score.tolist()], np.int64)
         roof = np.array([most * s // 100 for s in w_score.tolist()], np.int64)
-        for rank in np.unique(w_rank).tolist():
-            k = np.flatnonzero((w_rank == rank) & (floor <= roof))
-            a, lo, hi = at[k], floor[k], roof[k]
-            may = other[:, a] & (high[:, a] >= lo) & (low[:, a] <= hi)
-            sure = may & (low[:, a] >= lo) & (high[:, a] <= hi)
-            if len(z) > n:  # rows surely inside leave out those surely behind the n-th of them
-                inside = np.where(sure, low[:, a], -np.inf)
-                may &= high[:, a] >= np.partition(inside, len(z) - n, axis=0)[len(z) - n]
-            r, x = np.nonzero(may)
-            score = exact(z, w, r, a[x])
-            ok = (score >= lo[x]) & (score <= hi[x])
-            r, x, score = r[ok], x[ok], score[ok]
-            best = first_of(x, score, ids[r], rows[r], n)
-            r, x, score = r[best], x[best], score[best]
-            p = k[x]
-            cols = (np.full(len(r), tile), w_row[p], a_ids[at[p]], w_rank[p], w_id[p], w_score[p], ids[r], rows[r], score)
+        ok = floor <= roof
+        lowest, highest = np.full(len(w), _LIMIT), np.full(len(w), -_LIMIT)
+        np.minimum.at(lowest, at[ok], floor[ok])
+        np.maximum.at(highest, at[ok], roof[ok])
+        r, a = np.nonzero(other & (high >= lowest[None, :]) & (low <= highest[None, :]))
+        lo, up = low[r, a], high[r, a]
+        # a window needs no row that is surely behind the n-th of those surely inside
+        wanted, inside = np.zeros(len(r), bool), []
+        for rank in np.unique(w_rank[ok]).tolist():
+            k = np.flatnonzero(ok & (w_rank == rank))
+            window = np.full(len(w), -1)
+            window[at[k]] = k
+            x = np.flatnonzero(window[a] >= 0)
+            of = window[a[x]]
+            may = (up[x] >= floor[of]) & (lo[x] <= roof[of])
+            x, of = x[may], of[may]
+            sure = (lo[x] >= floor[of]) & (up[x] <= roof[of])
+            bound, s = np.full(len(ok), -np.inf), np.flatnonzero(sure)
+            s = s[np.lexsort((-lo[x[s]], of[s]))]
+            nth = s[n - 1 :][of[s[n - 1 :]] == of[s[: max(0, len(s) - n + 1)]]]
+            np.maximum.at(bound, of[nth], lo[x[nth]])
+            near = up[x] >= bound[of]
+            wanted[x[near]] = True
+            inside.append((x[near], of[near]))
+        score = np.zeros(len(r), np.int64)
+        score[wanted] = exact(z, w, r[wanted], a[wanted])
+        for x, of in inside:
+            in_window = (score[x] >= floor[of]) & (score[x] <= roof[of])
+            x, of = x[in_window], of[in_window]
+            best = first_of(of, score[x], ids[r[x]], rows[r[x]], n)
+            x, of = x[best], of[best]
+            cols = (np.full(len(x), tile), w_row[of], a_ids[at[of]], w_rank[of], w_id[of], w_score[of], ids[r[x]], rows[r[x]], score[x])
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in cols], names=["tile", "anchor_row", "anchor_id", "positive", "positive_id", "positive_score", "id", "row", "score"])
 
     return search
