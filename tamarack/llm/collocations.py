@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from tamarack.llm import _common as c
 
 #: Words of a shard, about, and bytes of texts that are cut into words at once, about.
-SHARD, _PIECE = 1 << 22, 8 << 20
+SHARD, _PIECE = 1 << 20, 2 << 20
 #: Bits of a bitmap for each frequent hash, and the logarithms of its least and largest size; beyond that it only lets more pass.
 _BITS, _SMALL, _LARGE = 16, 16, 30
 _WORD, _BLANK, _BREAK = 0, 1, 2
