@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,10 +11,14 @@ from pyspark.sql.window import Window
 from tamarack.functions.text import strip
 
 
-def consecutive(clips: DataFrame, session: str, order: list[str], clip_id: str) -> DataFrame:
-    """clips whose id differs from that of the clip before it in the session."""
-    before = F.lag(clip_id).over(Window.partitionBy(session).orderBy(*order))
-    return clips.withColumn("_before", before).filter(~F.col("_before").eqNullSafe(F.col(clip_id)) | F.col("_before").isNull()).drop("_before")
+def consecutive(clips: DataFrame, session: str, order: list[str], clip_id: str, event_time: str | None = None, idle: timedelta = timedelta(hours=1)) -> DataFrame:
+    """clips whose id differs from that of the clip before it in the session; with event_time, also those that come more than ``idle`` after it."""
+    before = F.lag(F.struct(F.col(clip_id).alias("id"), *([F.col(event_time).alias("at")] if event_time else []))).over(Window.partitionBy(session).orderBy(*order))
+    marked = clips.withColumn("_before", before)
+    kept = ~F.col("_before.id").eqNullSafe(F.col(clip_id)) | F.col("_before.id").isNull()
+    if event_time:
+        kept |= F.col(event_time) > F.col("_before.at") + F.lit(idle)
+    return marked.filter(kept).drop("_before")
 
 
 def append(live: DataFrame, uploaded: DataFrame) -> DataFrame:
