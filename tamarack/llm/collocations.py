@@ -78,7 +78,7 @@ def _may_be(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 class Automaton:
-    """Of one shard: for level k (from 1), count, hash, parent, link and an occurrence of each phrase of k words."""
+    """Of one shard: for level k (from 1), count, hash, parent, link, an occurrence and whether it may be frequent of each phrase of k words."""
 
     def __init__(self, words: pa.Array, langs: np.ndarray, names: list[str], first: np.ndarray, bitmaps: list[np.ndarray], depth: int) -> None:
         """langs: the place in names of each word's language. bitmaps: of levels 1, 2 and so on; phrases that aren't in theirs aren't followed."""
@@ -98,12 +98,13 @@ class Automaton:
         plain = np.fromiter((digest(w) for w in text), np.uint64, len(text))
         self.lang, self.word = known // n_words, known % n_words
         one = _mixed(np.array(seeds or [0], np.uint64)[self.lang], plain[self.word]) if len(known) else np.zeros(0, np.uint64)
-        self.count, self.hash, self.parent, self.link, self.place = [dense[known]], [one], [None], [None], [None]
-        single, position, length = state, np.arange(len(state)), len(state)
+        may = lambda k, h: _may_be(bitmaps[k - 1], h) if k <= len(bitmaps) else np.ones(len(h), bool)
+        self.count, self.hash, self.parent, self.link, self.place, self.may = [dense[known]], [one], [None], [None], [None], [may(1, one)]
+        self.single = single = state
+        position, length = np.arange(len(state)), len(state)
         for k in range(2, depth + 1):
-            if k - 2 < len(bitmaps):
-                ok = _may_be(bitmaps[k - 2], self.hash[-1])[state]
-                position, state = position[ok], state[ok]
+            ok = self.may[-1][state]
+            position, state = position[ok], state[ok]
             # two phrases that start at neighbours in a piece, and overlap in all but a word
             pair = np.flatnonzero(np.diff(position) == 1) if len(position) > 1 else np.zeros(0, np.int64)
             pair = pair[~first[np.minimum(position[pair] + k - 1, length - 1)] & (position[pair] + k <= length)]
@@ -116,7 +117,7 @@ class Automaton:
             self.count.append(n)
             self.place.append(position[where])
             self.hash.append(_mixed(self.hash[-1][self.parent[-1]], one[single[position[where] + k - 1]]) if len(n) else np.zeros(0, np.uint64))
-            self.single = single
+            self.may.append(may(k, self.hash[-1]))
 
     def phrases(self, k: int, which: np.ndarray) -> tuple[pa.Array, pa.Array]:
         """(languages, phrases) of the phrases of k words at the places ``which``."""
@@ -126,14 +127,17 @@ class Automaton:
         return langs, pc.binary_join_element_wise(*parts, " ")
 
     def states(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(k, places, shortest): the longest phrases of the states, of k words, and the words of the shortest one of each, from two words on."""
+        """(k, places, shortest): the longest phrases of the states, of k words, and the words of the shortest one of each, from two words on.
+
+        Of phrases that may be frequent; a longer one that isn't is no reason to leave out what it ends with.
+        """
         shortest, kept = [np.ones(len(self.count[0]), np.int64)], [np.ones(len(self.count[0]), bool)]
         for k in range(2, len(self.count) + 1):
             link = self.link[k - 1]
             same = self.count[k - 1] == self.count[k - 2][link]
-            kept[-1][link[same]] = False  # one state with the longer phrase
+            kept[-1][link[same & self.may[k - 1]]] = False  # one state with the longer phrase
             shortest.append(np.where(same, shortest[-1][link], k))
-            kept.append(np.ones(len(link), bool))
+            kept.append(self.may[k - 1].copy())
         for k in range(2, len(self.count) + 1):
             which = np.flatnonzero(kept[k - 1])
             yield k, which, np.maximum(shortest[k - 1][which], 2)
