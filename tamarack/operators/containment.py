@@ -20,42 +20,45 @@ from pyspark.sql import functions as F
 from tamarack.lineage import cut, maybe_broadcast, with_row, without_row
 
 #: Bytes of a gram, bytes of texts searched at once, and the logarithms of the least and largest number of bits in the bitmap of wanted grams.
-Q, _PIECE, _SMALL, _LARGE = 8, 4 << 20, 16, 30
+Q, _PIECE, _SMALL, _LARGE = 8, 1 << 20, 16, 30
 _PRIMES = (np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def grams(texts: pa.Array, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, place, gram) of all runs of ``size`` bytes, up to Q, within the texts, in pieces; a gram is its bytes as a number."""
+def grams(texts: pa.Array, size: int, bits: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, place, gram) of all runs of ``size`` bytes, up to Q, within the texts, of those that bits may have; a gram is its bytes as a number."""
     texts = pc.fill_null(texts, "")
     kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
     offsets = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    if offsets[-1] == offsets[0]:
+    if offsets[-1] - offsets[0] < size:
         return
     data = np.frombuffer(texts.buffers()[2], np.uint8)
-    for at in range(int(offsets[0]), int(offsets[-1]), _PIECE):
+    for at in range(int(offsets[0]), int(offsets[-1]) - size + 1, _PIECE):
         n = min(_PIECE, int(offsets[-1]) - at - size + 1)
-        if n <= 0:
-            break
-        gram = np.zeros(n, np.uint64)
-        for i in range(size):
-            gram |= data[at + i : at + i + n].astype(np.uint64) << np.uint64(8 * i)
-        place = np.arange(at, at + n)
+        own = np.zeros(n + Q, np.uint8)  # as far as a run of Q bytes from the last place on reaches
+        own[: n + size - 1] = data[at : at + n + size - 1]
+        gram = np.ndarray(n, "<u8", own.data, strides=(1,)).copy()
+        if size < Q:
+            gram &= np.uint64((1 << 8 * size) - 1)
+        place = np.flatnonzero(_may_be(bits, gram)) if bits is not None else np.arange(n)
+        gram, place = gram[place], place + at
         row = np.searchsorted(offsets, place, "right") - 1
         inside = place + size <= offsets[row + 1]
         row = row[inside]
         yield row, place[inside] - offsets[row], gram[inside]
 
 
-def _probes(gram: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    for prime in _PRIMES:
-        mixed = (gram ^ (gram >> np.uint64(31))) * prime
-        yield ((mixed ^ (mixed >> np.uint64(29))) * _PRIMES[0] >> np.uint64(64 - bits)).astype(np.int64)
+def _probe(gram: np.ndarray, bits: int, which: int) -> np.ndarray:
+    return (gram * _PRIMES[which] >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _may_be(bits: np.ndarray, gram: np.ndarray) -> np.ndarray:
-    ok = np.ones(len(gram), bool)
-    for at in _probes(gram, int(np.log2(8 * len(bits)))):
-        ok &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+def _may_be(table: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """Whether the bits of both probes of each gram are set."""
+    bits = int(np.log2(8 * len(table)))
+    at = _probe(gram, bits, 0)
+    ok = table[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
+    some = np.flatnonzero(ok)
+    at = _probe(gram[some], bits, 1)
+    ok[some] = table[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
     return ok
 
 
@@ -69,9 +72,8 @@ def _searched(df: DataFrame, text: str, wanted: dict, schema: str, emit) -> Data
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for size, bits in wanted.items():
-                for row, place, gram in grams(b.column(1), size):
-                    ok = _may_be(bits.value, gram) if bits is not None else slice(None)
-                    yield emit(b.column(0), size, row[ok], place[ok], gram[ok])
+                for row, place, gram in grams(b.column(1), size, bits.value if bits is not None else None):
+                    yield emit(b.column(0), size, row, place, gram)
 
     return df.select(df.columns[0], text).mapInArrow(kernel, schema)
 
@@ -88,8 +90,8 @@ def _wanted(keys: DataFrame) -> dict:
         def parts(batches, bits=bits):
             for b in batches:
                 gram = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                for at in _probes(gram, bits):
-                    yield pa.RecordBatch.from_arrays([pa.array(at)], names=["at"])
+                for which in (0, 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(_probe(gram, bits, which))], names=["at"])
 
         at = keys.filter(F.col("size") == size).select("gram").mapInArrow(parts, "at long").distinct()
         own = np.zeros(1 << (bits - 3), np.uint8)
@@ -115,7 +117,14 @@ def keyed(phrases: DataFrame, texts: DataFrame) -> DataFrame:
     counts = _searched(texts, "text", _wanted(own.select("size", "gram").distinct()), "size int, gram long, n long", counted).groupBy("size", "gram").agg(F.sum("n").alias("n"))
     rated = own.join(counts, ["size", "gram"], "left")
     best = rated.groupBy("phrase", "size").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "place", "gram")).alias("b")).filter("b.n > 0")
-    short = phrases.filter(F.octet_length("phrase") < Q).select(F.octet_length("phrase").alias("size"), F.expr("cast(conv(hex(reverse(cast(phrase as binary))), 16, 10) as long)").alias("gram"), F.lit(0).alias("place"), "phrase")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [p.encode() for p in b.column(0).to_pylist()]
+            gram = np.array([int.from_bytes(p, "little") for p in own], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array([len(p) for p in own], pa.int32()), _signed(gram), pa.array(np.zeros(len(own), np.int32)), b.column(0)], names=["size", "gram", "place", "phrase"])
+
+    short = phrases.filter(F.octet_length("phrase") < Q).select("phrase").mapInArrow(whole, "size int, gram long, place int, phrase string")
     return best.select("size", "b.gram", "b.place", "phrase").union(short)
 
 

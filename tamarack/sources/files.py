@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +9,7 @@ from pyspark.sql.window import Window
 from tamarack.functions.jsonx import strict
 from tamarack.functions.text import basename
 from tamarack.operators.records import resolve_keys, upsert, with_ordinals
+from tamarack.sources.sink import write_files  # noqa: F401
 
 IMAGES = "*.{png,jpg,jpeg}"
 AUDIO = "*.{wav,mp3,m4a,ogg}"
@@ -90,24 +89,6 @@ def code_dump(files: DataFrame, main: str) -> DataFrame:
     return folders.agg(lines(F.struct("folder", head.alias("t"))).alias("b")).select(F.concat_ws("\n", F.lit(f"Main Folder: {main}"), F.nullif("b", F.lit(""))).alias("text"))
 
 
-def write_files(df: DataFrame, folder: str, name: str = "name", content: str = "content") -> int:
-    """Writes the bytes of each row to a file of its name in folder, a path or URI that all executors reach; returns how many.
-
-    For preview images and the like. A task that runs again writes the same files again.
-    """
-
-    def kernel(batches):
-        fs, at = pa.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
-        fs.create_dir(at, recursive=True)
-        for b in batches:
-            for n, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                with fs.open_output_stream(f"{at}/{n.replace('/', '_')}") as out:
-                    out.write(data or b"")
-            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
-
-    return df.select(name, content).filter(F.col(name).isNotNull()).mapInArrow(kernel, "n long").agg(F.sum("n")).first()[0] or 0
-
-
 def write_report(df: DataFrame, col: str, path: str) -> None:
     """Writes a text column, a report a row."""
     df.select(col).write.text(path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tamarack.functions import jsonx, text
 from tamarack.functions.vectors import cosine, inner_product, squared_l2
-from tamarack.operators import cards, index, knn, matching, models, records, sessions, spelling
+from tamarack.operators import cards, containment, index, knn, matching, models, records, sessions, spelling
 from tamarack.plans import pipeline
 from tamarack.sources import files
 from tamarack.sources.catalog import Catalog, Index
@@ -350,11 +350,11 @@ def test_generation_has_prompts_under_way_together():
     assert time.time() - began < 1.8
 
 
-def test_contains_over_several_automata(spark, monkeypatch):
+def test_contains_over_several_pieces(spark, monkeypatch):
     t = spark.createDataFrame([(1, "Coughing badly"), (2, "fine \U0001f600 cough"), (3, None), (3, None), (4, "")], "id long, text string")
     p = spark.createDataFrame([("COUGH", 1), ("", 2), (None, 3), ("bad", 4), ("cough", 5), ("\U0001f600", 6), ("ing", 7)], "phrase string, n int")
     for most in (1 << 20, 4):
-        monkeypatch.setattr(matching, "PHRASE_CHARS", most)
+        monkeypatch.setattr(containment, "_PIECE", most)
         assert sorted(r.id for r in matching.containing(t, p).collect()) == [1, 2]
         assert sorted((r.id, r.n) for r in matching.containing(t, p, "inner").collect()) == [(1, 1), (1, 4), (1, 5), (1, 7), (2, 1), (2, 5), (2, 6)]
     assert matching.containing(t, p.limit(0)).collect() == []
