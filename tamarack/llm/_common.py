@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.lineage import cut, removed, shared_dir  # noqa: F401  for the operators
+from tamarack.lineage import BROADCAST_BYTES, cut, maybe_broadcast, shared_dir, with_row, without_row  # noqa: F401  for the operators
 
 #: ASCII white space, the characters of ``[\x20\x09-\x0D]``.
 WHITE = " \t\n\x0b\x0c\r"
-#: Bytes up to which a side of a join may be broadcast after its size was measured.
-BROADCAST_BYTES = 16 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,61 +20,11 @@ def emptied(spark: SparkSession, path: str) -> None:
     spark.createDataFrame([], "gone string").write.mode("overwrite").parquet(path)
 
 
-#: Bits of an identity for the place in a file; files whose numbers are broadcast at most.
-_ROWS, _LISTED = 40, 200_000
-
-
-def _scans_files(df: DataFrame) -> bool:
-    """Whether df is columns and filters over one table of Parquet files, so each row has a place of its own."""
-    plan = df._jdf.queryExecution().analyzed()
-    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
-        plan = plan.children().apply(0)
-    return plan.nodeName() == "LogicalRelation" and plan.toString().rstrip().endswith(" parquet")
-
-
-def with_row(df: DataFrame, name: str = "_tmk_row") -> DataFrame:
-    """df with an identity for each row, equal whenever and wherever the result is planned again.
-
-    Rows of Parquet files are identified by the number of their file, by path, and their place in it,
-    however the files are split into tasks. Any other df is written once to the shared folder, with
-    an identity given there. Columns of df that are named like the identity get one more underscore
-    until without_row takes it away.
-    """
-    for x in sorted(df.columns, key=len, reverse=True):
-        if re.fullmatch(f"{name}_*", x, re.IGNORECASE):
-            df = df.withColumnRenamed(x, f"{x}_")
-    if _scans_files(df):
-        at = df.metadataColumn("_metadata")
-        paths = sorted(r[0] for r in df.select(at["file_path"]).distinct().limit(_LISTED + 1).collect())
-        if len(paths) <= _LISTED:
-            files = df.sparkSession.createDataFrame(list(enumerate(paths)), "_tmk_n long, _tmk_path string")
-            numbered = df.select("*", at["file_path"].alias("_tmk_file"), at["row_index"].alias("_tmk_at"))
-            joined = numbered.join(F.broadcast(files), F.col("_tmk_file") == F.col("_tmk_path"), "left")
-            number = F.coalesce("_tmk_n", F.raise_error(F.lit("a file came or went")).cast("long"))
-            return joined.select(*[numbered[x] for x in df.columns], F.shiftleft(number, _ROWS).bitwiseOR(F.col("_tmk_at")).alias(name))
-    return cut(df.withColumn(name, F.monotonically_increasing_id()))
-
-
-def without_row(df: DataFrame, name: str = "_tmk_row") -> DataFrame:
-    """df (made by with_row) without the identity; columns that had to make way have their names again."""
-    df = df.drop(name)
-    for x in sorted(df.columns, key=len):
-        if re.fullmatch(f"{name}_+", x, re.IGNORECASE):
-            df = df.withColumnRenamed(x, x[:-1])
-    return df
-
-
 def ascii_lower(c: Column) -> Column:
     """c with A-Z, and nothing else, in lower case."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df, marked for broadcast if its counted rows fit the limit. df should be cheap to count (cut before)."""
-    most = limit // row_bytes
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def without_rows(df: DataFrame, gone: DataFrame, row: str = "_tmk_row") -> DataFrame:
     """The rows of df (made by with_row) whose identity isn't in gone, without that column."""
     return without_row(df.join(maybe_broadcast(cut(gone.select(row)), 48), row, "left_anti"), row)

@@ -209,23 +209,24 @@ def held_out(id_col: Column) -> Column:
 
 
 def fit(docs: DataFrame, per_lang: int = 384, per_doc: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> Network | None:
-    """The network, from ``per_doc`` windows each of at most ``per_lang`` documents of a language; None without any.
+    """The network, from ``per_doc`` windows each of at most ``per_lang`` rows of a language; None without any.
 
-    The documents with the least hashes of their ids are taken among those that aren't held out. In a
-    language of many documents, only hashes below a threshold that lets 8 times as many pass are
-    ranked, so no task ranks a language's all; ids that repeat a lot can make the sample smaller.
+    The rows with the least hashes are taken among those that aren't held out, whatever their ids,
+    which may repeat. In a language of many rows, only hashes below a threshold that lets 8 times as
+    many pass are ranked, so no task ranks a language's all.
     """
-    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    first = Window.partitionBy("lang").orderBy("h", "id")
-    hashed = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"))
+    rows = c.with_row(docs)
+    known = rows.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
+    first = Window.partitionBy("lang").orderBy("h", "_tmk_row")
+    hashed = known.select("_tmk_row", F.col(lang_col).alias("lang"), F.xxhash64("_tmk_row").alias("h"))
     counts = c.maybe_broadcast(c.cut(hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))), 64)
     low = hashed.join(counts, "lang").filter((F.col("h") / 2.0**64 + 0.5) * F.col("n") <= 8 * per_lang)
-    chosen = low.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= per_lang).select(F.col("id").alias("_tmk_id")).distinct()
+    chosen = low.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= per_lang).select("_tmk_row")
     spread = [F.substring(F.col(text_col), (1 + F.floor(F.greatest(F.length(text_col) - WINDOW, F.lit(0)) * (i / max(1, per_doc - 1)))).cast("int"), F.lit(WINDOW)) for i in range(per_doc)]
-    own = known.select(F.col(id_col).alias("_tmk_of"), F.col(lang_col).alias("lang"), F.array(*spread).alias("parts"))
-    rows = own.join(F.broadcast(chosen), F.col("_tmk_of") == F.col("_tmk_id")).select(F.col("_tmk_id").alias("id"), "lang", "parts").collect()  # bounded by per_lang
+    own = known.select("_tmk_row", F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.array(*spread).alias("parts"))
+    taken = own.join(F.broadcast(chosen), "_tmk_row").select("id", "lang", "parts").collect()  # at most per_lang rows of each language
     windows, labels = [], []
-    for r in sorted(rows, key=lambda r: (r.id, r.lang, r.parts)):
+    for r in sorted(taken, key=lambda r: (r.id, r.lang, r.parts)):
         for p in dict.fromkeys(r.parts):
             if any(ch.isalpha() for ch in p):
                 data = np.frombuffer(p.encode("utf-8", "replace"), np.uint8)
