@@ -75,3 +75,13 @@ def snippet(s: Column, n: int) -> Column:
 
 def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
+
+
+def folder(path: Column) -> Column:
+    """What stands before the last slash of path; empty without one."""
+    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+
+
+def extension(path: Column) -> Column:
+    """The last dot of path's base name, if it isn't its first character, and what follows; else empty."""
+    return F.regexp_extract(basename(path), r"^.+(\.[^.]*)$", 1)

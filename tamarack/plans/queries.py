@@ -18,6 +18,7 @@ from tamarack.lineage import cut, removed, shared_dir
 from tamarack.operators import cards, knn, matching, models, records, sessions, spelling
 from tamarack.operators.index import VectorIndex
 from tamarack.plans import pipeline
+from tamarack.sources import files
 from tamarack.sources.catalog import Catalog, Index
 from tamarack.sources.files import inventory
 
@@ -557,3 +558,61 @@ def rag_checked_pipeline(spark, sf_dir):
 def file_inventory(spark, sf_dir):
     """The files of the data folder; its tables being single files, as they are at the smaller scales."""
     return inventory(spark, sf_dir).select("folder", "name", (F.col("bytes") > 0).alias("has_bytes"), "text")
+
+
+def _pages(spark, sf_dir):
+    """The pages as files of a host: those whose path ends in .html have their address as text."""
+    url = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), r"[?#].*$", ""), r"^[^:]*://", "")
+    path = F.regexp_extract(url, r"^[^/]*/?(.*)$", 1)
+    named = _read(spark, sf_dir, "pages").select("page_id", F.substring_index(url, "/", 1).alias("host"), path.alias("path"), F.length("html").alias("bytes"))
+    return named.select("page_id", "host", text.folder(F.col("path")).alias("folder"), text.basename(F.col("path")).alias("name"), text.extension(F.col("path")).alias("extension"), F.when(F.endswith("path", F.lit(".html")), F.col("path")).alias("text"), "bytes")
+
+
+_PAGES = r"""
+WITH u AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(url, ''), '[?#].*$', ''), '^[^:]*://', '') AS u, length(html)::INT AS bytes FROM pages),
+s AS (SELECT page_id, split_part(u, '/', 1) AS host, CASE WHEN contains(u, '/') THEN substr(u, instr(u, '/') + 1) ELSE '' END AS path, bytes FROM u),
+f AS (SELECT *, CASE WHEN contains(path, '/') THEN left(path, length(path) - length(string_split(path, '/')[-1]) - 1) ELSE '' END AS folder, string_split(path, '/')[-1] AS name FROM s),
+p AS (SELECT page_id, host, folder, name, CASE WHEN contains(substr(name, 2), '.') THEN '.' || string_split(name, '.')[-1] ELSE '' END AS extension, CASE WHEN suffix(path, '.html') THEN path END AS text, bytes FROM f)
+"""
+
+
+@_query(_PAGES + "SELECT page_id, host, folder, name, extension, text IS NOT NULL AS is_code, bytes FROM p")
+def path_parts(spark, sf_dir):
+    """Host, folder, name and extension of each page's address."""
+    return _pages(spark, sf_dir).select("page_id", "host", "folder", "name", "extension", F.col("text").isNotNull().alias("is_code"), "bytes")
+
+
+@_query(_PAGES + """, e AS (SELECT host, folder, name, chr(10) || 'File: ' || name || CASE WHEN text IS NULL THEN '' ELSE chr(10) || '------ CODE START ------' || chr(10) || text || chr(10) || '------ CODE END ------' END AS t FROM p),
+d AS (SELECT host, folder, CASE WHEN folder = '' THEN '' ELSE chr(10) || 'Subfolder: ' || folder || chr(10) END || string_agg(t, chr(10) ORDER BY name, t) AS t FROM e GROUP BY host, folder)
+SELECT host, 'Main Folder: ' || host || chr(10) || string_agg(t, chr(10) ORDER BY folder) AS text FROM d GROUP BY host
+""")
+def code_dump(spark, sf_dir):
+    """The pages of each host as a listing, those with code between marks."""
+    return files.code_dump(_pages(spark, sf_dir), by="host")
+
+
+_LINES = "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '' ELSE props END AS line FROM events WHERE event_id % 3 <> 0"
+
+
+@_query(f"""
+WITH l AS ({_LINES}), n AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS line_no, line FROM l WHERE line IS NOT NULL)
+SELECT line_no, coalesce(json_extract_string(line, '$.k'), json_extract_string(line, '$.id'), 'line_' || line_no) AS key FROM n WHERE line <> ''
+""")
+def jsonl_scan(spark, sf_dir):
+    """Physical line numbers and keys of the events' properties, written as lines, every fifth of them blank, and read back."""
+    own = _read(spark, sf_dir, "events").filter("event_id % 3 <> 0").select("event_id", F.when(F.col("event_id") % 5 == 0, F.lit("")).otherwise(F.col("props")).alias("line"))
+    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    try:
+        own.filter("line is not null").coalesce(1).sortWithinPartitions("event_id").select("line").write.text(path)
+        return cut(records.resolve_keys(files.numbered_lines(spark, path), "k").select("line_no", "key"))
+    finally:
+        removed(spark, path)
+
+
+@_query("SELECT vec_id, list_transform([1, 3, 5, 7], lambda i: [trunc(100 * embedding[i]::DOUBLE)::INT, trunc(100 * embedding[i + 1]::DOUBLE)::INT]) AS polygon, sum_float FROM (SELECT vec_id, embedding, round(list_sum(list_transform(embedding, lambda x: (x::DOUBLE / 3)::FLOAT::DOUBLE)), 6) AS sum_float FROM embeddings)")
+def polygons(spark, sf_dir):
+    """Vectors as integer polygons, and their sums as 32-bit numbers."""
+    e = _read(spark, sf_dir, "embeddings")
+    points = F.transform(F.array(*[F.lit(i) for i in (1, 3, 5, 7)]), lambda i: F.array(100 * F.element_at("embedding", i).cast("double"), 100 * F.element_at("embedding", i + 1).cast("double")))
+    floats = F.aggregate(F.transform("embedding", lambda x: (x.cast("double") / 3).cast("float").cast("double")), F.lit(0.0), lambda a, x: a + x)
+    return e.select("vec_id", sessions.int_polygon(points).alias("polygon"), F.round(floats, 6).alias("sum_float"))

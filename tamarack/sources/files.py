@@ -80,13 +80,18 @@ def inventory(spark: SparkSession, path: str, folders: set[str] | None = None, c
     return out.select("folder", basename(F.col("path")).alias("name"), "bytes", "text")
 
 
-def code_dump(files: DataFrame, main: str) -> DataFrame:
-    """(text): one row, the inventory as text: folders in order, then their files, code between marks."""
+def code_dump(files: DataFrame, main: str | None = None, by: str | None = None) -> DataFrame:
+    """(text): one row, the inventory as text: folders in order, then their files, code between marks.
+
+    With ``by``, (by, text): a row for each value of that column, which is then its main folder.
+    """
+    keys = [by] if by else []
     each = F.when(F.col("text").isNull(), F.concat(F.lit("\nFile: "), "name")).otherwise(F.concat(F.lit("\nFile: "), F.col("name"), F.lit("\n------ CODE START ------\n"), F.col("text"), F.lit("\n------ CODE END ------")))
     lines = lambda col: F.array_join(F.transform(F.array_sort(F.collect_list(col)), lambda x: x["t"]), "\n")
-    folders = files.groupBy("folder").agg(lines(F.struct("name", each.alias("t"))).alias("body"))
+    folders = files.groupBy(*keys, "folder").agg(lines(F.struct("name", each.alias("t"))).alias("body"))
     head = F.when(F.col("folder") == "", F.col("body")).otherwise(F.concat(F.lit("\nSubfolder: "), "folder", F.lit("\n"), "body"))
-    return folders.agg(lines(F.struct("folder", head.alias("t"))).alias("b")).select(F.concat_ws("\n", F.lit(f"Main Folder: {main}"), F.nullif("b", F.lit(""))).alias("text"))
+    whole = folders.groupBy(*keys).agg(lines(F.struct("folder", head.alias("t"))).alias("b"))
+    return whole.select(*keys, F.concat_ws("\n", F.concat(F.lit("Main Folder: "), F.col(by) if by else F.lit(main)), F.nullif("b", F.lit(""))).alias("text"))
 
 
 def write_report(df: DataFrame, col: str, path: str) -> None:
