@@ -62,18 +62,17 @@ def test_scores_beyond_64_bits(spark):
     assert spark.sql("SELECT cast(1000 as decimal(38,0)) * cast(90000000000 as decimal(38,0)) * cast(90000000000001 as decimal(38,0)) div (cast(90000000000 as decimal(38,0)) * cast(90000000007 as decimal(38,0))) AS s").first().s == 1000 * 90000000000 * 90000000000001 // (90000000000 * 90000000007)
 
 
-def test_automaton_states():
+def test_automaton():
     words = pa.array("a b c a b c b c a b".split())
-    a = collocations.Automaton(words, np.zeros(10, np.int64), ["en"], np.array([True, *[False] * 9]), [], 3)
-    got = {}
-    for k, which, shortest in a.states():
-        _, phrases = a.phrases(k, which)
-        for p, s, n in zip(phrases.to_pylist(), shortest.tolist(), a.count[k - 1][which].tolist(), strict=True):
-            for j in range(s, k + 1):
-                got[" ".join(p.split()[-j:])] = n
     text = words.to_pylist()
-    assert got == Counter(" ".join(text[i : i + k]) for k in (2, 3) for i in range(11 - k))
-    assert sum(len(which) for _, which, _ in a.states()) < len(got)
+    a = collocations.Automaton(words, np.zeros(10, np.int64), ["en"], np.array([True, *[False] * 9]), [], 4)
+    named = [[text[i] for i in a.word.tolist()]]
+    for k in (2, 3, 4):
+        langs, phrases = a.phrases(k, np.arange(len(a.count[k - 1])))
+        named.append(phrases.to_pylist())
+        assert dict(zip(named[-1], a.count[k - 1].tolist(), strict=True)) == Counter(" ".join(text[i : i + k]) for i in range(11 - k)) and set(langs.to_pylist()) == {"en"}
+        words_of = [p.split() for p in named[-1]]
+        assert [named[-2][i] for i in a.parent[k - 1]] == [" ".join(w[:-1]) for w in words_of] and [named[-2][i] for i in a.link[k - 1]] == [" ".join(w[1:]) for w in words_of]
 
 
 def brute_negatives(rows, every=50):
