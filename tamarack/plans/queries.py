@@ -554,6 +554,59 @@ def rag_checked_pipeline(spark, sf_dir):
     return pipeline.run_checked(requests, catalog, _dictionary(spark, sf_dir)).select("query_id", "prompt", "answer.error", F.to_json("result").alias("result"))
 
 
+def _embedded_sql(name: str, source: str) -> str:
+    """Tables of which name has (id, v), the stand-in embedder's vectors of source (id, text), whose words stand between blanks."""
+    return rf"""
+{name}_w AS (SELECT id, unnest(string_split(text, ' ')) AS w FROM {source}),
+{name}_c AS (SELECT id, ({_HEX.format(31)} * 16 + {_HEX.format(32)}) % 64 AS k, sum(CASE WHEN {_HEX.format(1)} >= 8 THEN 1 ELSE -1 END)::DOUBLE AS v FROM {name}_w WHERE w <> '' GROUP BY ALL),
+{name}_n AS (SELECT id, sqrt(sum(v * v)) AS n FROM {name}_c GROUP BY 1),
+{name} AS (SELECT s.id, list(CASE WHEN n.n > 0 THEN (coalesce(c.v, 0) / n.n)::FLOAT::DOUBLE ELSE 0 END ORDER BY k.k) AS v FROM {source} s CROSS JOIN (SELECT unnest(range(64)) AS k) k LEFT JOIN {name}_c c ON c.id = s.id AND c.k = k.k LEFT JOIN {name}_n n ON n.id = s.id GROUP BY s.id)"""
+
+
+_FIXED = f"fixed AS ({_closest_sql(_osa_sql('a.t', 'b.t'))})"
+
+
+def _spelled_sql(source: str) -> str:
+    """(id, text) of source, cleaned and corrected by fixed."""
+    return rf"SELECT id, coalesce(string_agg(coalesce(term, token), ' ' ORDER BY pos), '') AS text FROM (SELECT id, unnest(string_split({_CLEAN.format('text')}, ' ')) AS token, generate_subscripts(string_split({_CLEAN.format('text')}, ' '), 1) AS pos FROM {source}) LEFT JOIN fixed USING (token) GROUP BY id"
+
+
+#: The catalog of _catalog: kinds of records by doc_id modulo 3, each with the JSON of its record and its vector.
+_CATALOG_SQL = rf"""
+kinds AS (SELECT doc_id AS id, ['diseases', 'drugs', 'drug_dict'][doc_id % 3 + 1] AS kb, {_CLEAN.format('text')} AS text,
+  CASE doc_id % 3 WHEN 0 THEN json_object('chunk', json_object('disease', source, 'symptoms', list_slice(regexp_split_to_array(lower(text), '\W+'), 1, 3))) WHEN 1 THEN json_object('brand_name', source, 'indications_and_usage', text) ELSE json_object('drug_name', source) END::VARCHAR AS rec,
+  source, list_slice(regexp_split_to_array(lower(text), '\W+'), 1, 3) AS symptoms, text AS indications FROM documents),
+{_embedded_sql('e', 'kinds')},
+{_FIXED}"""
+_APART = "list_sum(list_transform(list_zip(q.v, e.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+
+
+def _searched_sql(name: str, asked: str, k: int) -> str:
+    """name (query, kb, rank, id, score): the k nearest of asked (id, v) in each kind of the catalog."""
+    return f"{name} AS (SELECT q.id AS query, kb, row_number() OVER (PARTITION BY q.id, kb ORDER BY {_APART}, kinds.id) AS rank, kinds.id, {_APART} AS score FROM {asked} q, kinds JOIN e USING (id) QUALIFY rank <= {k})"
+
+
+def _context_sql(hits: str, source: str, header: str) -> str:
+    """The part of a context of one source; hits has query, kb, rank, rec, score."""
+    return f"chr(10) || '-- Retrieved from {header} --' || chr(10) || coalesce((SELECT string_agg('* Result: ' || rec || ' (Score: ' || printf('%.4f', round(score, 4)) || ')' || chr(10), '' ORDER BY rank) FROM {hits} h WHERE h.query = a.id AND h.kb = '{source}'), 'No results found.' || chr(10))"
+
+
+_REPLY = "'prompt of ' || length(prompt) || ' characters, sha256 ' || left(sha256(prompt), 16)"
+
+
+@_query(f"""
+WITH {_CATALOG_SQL}, b AS (SELECT item_id AS id, text FROM benchmark), s AS ({_spelled_sql('b')}), {_embedded_sql('q', 's')},
+{_searched_sql('near', 'q', 5)}, hits AS (SELECT near.*, rec FROM near JOIN kinds USING (id, kb)),
+p AS (SELECT id, """ + _prompt_sql(cards.ANALYSIS_PROMPT, user_text="text", ocr_text=f"CASE WHEN id % 3 = 0 THEN '{cards.NO_IMAGE}' ELSE text END", user_context="(" + _context_sql("hits", "diseases", "DISEASES") + " || " + _context_sql("hits", "drugs", "DRUGS") + ")", ocr_context="CASE WHEN id % 3 = 0 THEN '' ELSE " + _context_sql("hits", "drug_dict", "DRUG_DICT") + " || " + _context_sql("hits", "drugs", "DRUGS_FROM_OCR") + " END") + f""" AS prompt FROM b a)
+SELECT id AS query_id, prompt, {_REPLY} AS answer FROM p
+""")
+def rag_prompts(spark, sf_dir):
+    """The live pipeline over all requests: what it asked and what it was answered."""
+    catalog, requests = _catalog(spark, sf_dir)
+    done = pipeline.run(requests, catalog, _dictionary(spark, sf_dir))
+    return done.select("query_id", "prompt", F.col("result.card.llm_output").alias("answer"))
+
+
 @_query("SELECT '' AS folder, t || '.parquet' AS name, true AS has_bytes, NULL::VARCHAR AS text FROM (VALUES ('benchmark'), ('conversations'), ('customer'), ('documents'), ('embeddings'), ('events'), ('labels'), ('lineitem'), ('nation'), ('orders'), ('pages'), ('part'), ('region'), ('supplier')) v(t)")
 def file_inventory(spark, sf_dir):
     """The files of the data folder; its tables being single files, as they are at the smaller scales."""
