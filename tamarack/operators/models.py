@@ -51,9 +51,12 @@ def apply_model(df: DataFrame, factory: Callable[[], Model], col: str, out: str,
     arrow, at, pickled = to_arrow_type(kind), df.columns.index(col), CloudPickleSerializer().dumps(factory)
 
     def kernel(batches):
-        from tamarack.operators import models  # the worker's module, whose cache outlives the task
+        try:
+            from tamarack.operators import models  # the worker's module, whose cache outlives the task
 
-        model = models.model_of(pickled)
+            model = models.model_of(pickled)
+        except ModuleNotFoundError:  # a worker without this package has what came with the task
+            model = model_of(pickled)
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model(b.column(at).to_pylist()), arrow)], names=schema.names)
 

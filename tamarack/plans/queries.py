@@ -212,10 +212,12 @@ def _osa_sql(a: str, b: str) -> str:
     return f"(CASE WHEN {lev} <= 1 THEN {lev} WHEN {lev} > 4 THEN 3 ELSE least({lev}, {swapped}) END)::INT"
 
 
-def _closest_sql(dist: str) -> str:
+def _closest_sql(dist: str, words: str = "SELECT term FROM v WHERE count = 1") -> str:
+    """(token, term, dist): the closest term that benchmark texts have twice or more to each of words (term) that isn't one."""
     return rf"""
 WITH v AS (SELECT *, {_BYTES.format('term')} AS t FROM ({_VOCAB}) WHERE NOT regexp_full_match(term, '\d+\.?\d*')),
-p AS (SELECT a.term AS token, b.term, b.count, {dist} AS dist FROM v a JOIN v b ON a.count = 1 AND b.count >= 2 AND abs(length(a.term) - length(b.term)) <= 2 AND levenshtein(a.t, b.t) <= 4)
+a AS (SELECT term, {_BYTES.format('term')} AS t FROM ({words}) WHERE NOT regexp_full_match(term, '\d+\.?\d*') AND term NOT IN (SELECT term FROM v WHERE count >= 2)),
+p AS (SELECT a.term AS token, b.term, b.count, {dist} AS dist FROM a JOIN v b ON b.count >= 2 AND abs(length(a.term) - length(b.term)) <= 2 AND levenshtein(a.t, b.t) <= 4)
 SELECT token, term, dist FROM p WHERE dist <= 2 QUALIFY row_number() OVER (PARTITION BY token ORDER BY dist, count DESC, term) = 1
 """
 
@@ -566,9 +568,9 @@ def _embedded_sql(name: str, source: str) -> str:
 _FIXED = f"fixed AS ({_closest_sql(_osa_sql('a.t', 'b.t'))})"
 
 
-def _spelled_sql(source: str) -> str:
-    """(id, text) of source, cleaned and corrected by fixed."""
-    return rf"SELECT id, coalesce(string_agg(coalesce(term, token), ' ' ORDER BY pos), '') AS text FROM (SELECT id, unnest(string_split({_CLEAN.format('text')}, ' ')) AS token, generate_subscripts(string_split({_CLEAN.format('text')}, ' '), 1) AS pos FROM {source}) LEFT JOIN fixed USING (token) GROUP BY id"
+def _spelled_sql(source: str, fixed: str = "fixed") -> str:
+    """(id, text) of source, cleaned and corrected by fixed (token, term)."""
+    return rf"SELECT id, coalesce(string_agg(coalesce(term, token), ' ' ORDER BY pos), '') AS text FROM (SELECT id, unnest(string_split({_CLEAN.format('text')}, ' ')) AS token, generate_subscripts(string_split({_CLEAN.format('text')}, ' '), 1) AS pos FROM {source}) LEFT JOIN {fixed} USING (token) GROUP BY id"
 
 
 #: The catalog of _catalog: kinds of records by doc_id modulo 3, each with the JSON of its record and its vector.
@@ -607,6 +609,34 @@ def rag_prompts(spark, sf_dir):
     return done.select("query_id", "prompt", F.col("result.card.llm_output").alias("answer"))
 
 
+_TITLE = "upper(left({0}, 1)) || substr({0}, 2)"
+
+
+@_query(f"""
+WITH {_CATALOG_SQL}, b AS (SELECT item_id AS id, text FROM benchmark), s AS ({_spelled_sql('b')}), {_embedded_sql('q', 's')},
+both_texts AS (SELECT id, trim(CASE WHEN id % 3 = 0 THEN text ELSE text || ' ' || text END) AS text FROM b), sb AS ({_spelled_sql('both_texts')}), {_embedded_sql('qb', 'sb')},
+names AS (SELECT DISTINCT source AS id, source AS text FROM kinds WHERE kb = 'drug_dict'), name_words AS (SELECT DISTINCT unnest(string_split({_CLEAN.format('text')}, ' ')) AS term FROM names), named AS ({_closest_sql(_osa_sql('a.t', 'b.t'), 'SELECT term FROM name_words')}), sn AS ({_spelled_sql('names', 'named')}), {_embedded_sql('qn', 'sn')},
+{_searched_sql('near', 'q', 3)}, {_searched_sql('near_both', 'qb', 3)}, {_searched_sql('near_name', 'qn', 1)},
+uses AS (SELECT n.query AS name, k.indications FROM near_name n JOIN kinds k USING (id) WHERE n.kb = 'drugs'),
+conditions AS (SELECT query, rank, k.source AS disease, k.symptoms FROM near JOIN kinds k USING (id) WHERE near.kb = 'diseases'),
+candidates AS (SELECT query, rank, k.source AS name FROM near JOIN kinds k USING (id) WHERE near.kb = 'drug_dict' AND query % 3 <> 0),
+said AS (SELECT DISTINCT query, lower(unnest(symptoms)) AS s FROM conditions),
+found AS (SELECT c.query, min((c.rank, said.s)) AS w FROM candidates c JOIN uses USING (name) JOIN said ON said.query = c.query AND said.s <> '' AND contains(lower(uses.indications), said.s) GROUP BY c.query),
+v AS (SELECT b.id, b.text, found.w, (SELECT name FROM candidates c WHERE c.query = b.id AND c.rank = found.w[1]) AS hit, (SELECT string_agg(name, ', ' ORDER BY rank) FROM candidates c WHERE c.query = b.id) AS listed, (SELECT min_by(disease, rank) FROM conditions c WHERE c.query = b.id) AS disease FROM b LEFT JOIN found ON found.query = b.id),
+a AS (SELECT id, text, CASE WHEN id % 3 = 0 THEN NULL ELSE w IS NULL END AS is_mismatch,
+  CASE WHEN id % 3 = 0 THEN 'No image provided; mismatch check is not applicable.'
+    WHEN w IS NOT NULL THEN 'The medicine appears appropriate. It contains ''' || {_TITLE.format('hit')} || ''', which is used for symptoms like ''' || w[2] || ''', consistent with the user''s likely condition.'
+    ELSE 'Mismatch Detected: The active ingredients from the image (e.g., ''' || listed || ''') do not appear to treat the symptoms of the user''s likely condition (''' || {_TITLE.format('disease')} || ''').' END AS explanation FROM v),
+hits AS (SELECT near.*, rec FROM near JOIN kinds USING (id, kb) WHERE kb = 'diseases' UNION ALL SELECT n.*, rec FROM near_both n JOIN kinds USING (id, kb) WHERE kb <> 'diseases')
+SELECT id AS query_id, is_mismatch, explanation, """ + _prompt_sql(cards.STRUCTURED_PROMPT, explanation="explanation", verdict="coalesce(is_mismatch::VARCHAR, 'null')", context="'=== USER INPUT ===' || chr(10) || 'User text: ' || text || chr(10) || CASE WHEN id % 3 = 0 THEN '' ELSE 'OCR: ' || text || chr(10) END || '=== RETRIEVED DATA ===' || chr(10) || " + " || ".join(_context_sql("hits", k, k.upper()) for k in ("diseases", "drugs", "drug_dict"))) + """ AS prompt FROM a
+""")
+def rag_verdicts(spark, sf_dir):
+    """The pipeline with the mismatch check: its verdicts and what it asked."""
+    catalog, requests = _catalog(spark, sf_dir)
+    done = pipeline.run_checked(requests, catalog, _dictionary(spark, sf_dir))
+    return done.select("query_id", F.col("result.meta.mismatch").alias("is_mismatch"), F.col("result.meta.mismatch_details").alias("explanation"), "prompt")
+
+
 @_query("SELECT '' AS folder, t || '.parquet' AS name, true AS has_bytes, NULL::VARCHAR AS text FROM (VALUES ('benchmark'), ('conversations'), ('customer'), ('documents'), ('embeddings'), ('events'), ('labels'), ('lineitem'), ('nation'), ('orders'), ('pages'), ('part'), ('region'), ('supplier')) v(t)")
 def file_inventory(spark, sf_dir):
     """The files of the data folder; its tables being single files, as they are at the smaller scales."""
