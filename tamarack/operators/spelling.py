@@ -8,8 +8,10 @@ part in that.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.functions.text import clean, is_number, tokens
@@ -77,22 +79,60 @@ def deletions(word: Column, distance: int = DISTANCE, prefix: int = PREFIX) -> C
     return out
 
 
-def closest(words: DataFrame, dictionary: DataFrame, distance: int = DISTANCE, measure: str = "osa") -> DataFrame:
+@dataclass(frozen=True)
+class SpellIndex:
+    """A dictionary with the deletions of its terms, as a table that is bucketed by them, so lookups don't move it."""
+
+    table: DataFrame
+    distance: int
+
+    @staticmethod
+    def save(dictionary: DataFrame, name: str, distance: int = DISTANCE, buckets: int = 64) -> SpellIndex:
+        """Writes the index of dictionary (term, count) as the catalog's table ``name``, in place of one that is there."""
+        own = dictionary.select("term", "count", F.explode(deletions(F.col("term"), distance)).alias("_part"))
+        own.repartition(buckets, "_part").write.mode("overwrite").bucketBy(buckets, "_part").sortBy("_part").saveAsTable(name)
+        dictionary.sparkSession.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('distance' = '{distance}')")
+        return SpellIndex.open(dictionary.sparkSession, name, distance)
+
+    @staticmethod
+    def open(spark: SparkSession, name: str, distance: int = DISTANCE) -> SpellIndex:
+        """The saved index; one for fewer edits than ``distance`` is an error."""
+        held = int({r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}["distance"])
+        if held < distance:
+            raise ValueError(f"the index {name} is for {held} edits, not {distance}")
+        return SpellIndex(spark.table(name), distance)
+
+
+def closest(words: DataFrame, dictionary: DataFrame | SpellIndex, distance: int = DISTANCE, measure: str = "osa") -> DataFrame:
     """(token, term, dist) of each token in words that has a dictionary term within ``distance`` edits.
 
-    Of the closest terms, the most frequent, then the least. dictionary: term, count. measure:
-    osa, or levenshtein, which knows no swaps. Only osa beyond 2 edits needs Python.
+    Of the closest terms, the most frequent, then the least. dictionary: term, count, or a saved
+    index of them. measure: osa, or levenshtein, which knows no swaps. Only osa beyond 2 edits needs
+    Python.
     """
     each = words.select("token").distinct()
+    if isinstance(dictionary, SpellIndex):
+        return _nearest(each, dictionary.table, distance, measure)
     known = each.join(dictionary.select(F.col("term").alias("token")).distinct(), "token", "left_semi")
     return known.select("token", F.col("token").alias("term"), F.lit(0).alias("dist")).union(corrected(each, dictionary, distance, measure))
 
 
-def corrected(words: DataFrame, dictionary: DataFrame, distance: int = DISTANCE, measure: str = "osa") -> DataFrame:
-    """closest of the distinct words that aren't in the dictionary."""
+def corrected(words: DataFrame, dictionary: DataFrame | SpellIndex, distance: int = DISTANCE, measure: str = "osa") -> DataFrame:
+    """closest of the distinct words that aren't in the dictionary.
+
+    With a saved index they aren't told apart before: a term meets itself, as its prefix is among its deletions.
+    """
+    if isinstance(dictionary, SpellIndex):
+        if dictionary.distance < distance:
+            raise ValueError(f"the index is for {dictionary.distance} edits, not {distance}")
+        return _nearest(words.select("token").distinct(), dictionary.table, distance, measure).filter("dist > 0")
     strange = words.select("token").distinct().join(dictionary.select(F.col("term").alias("token")), "token", "left_anti")
-    own = strange.select("token", F.explode(deletions(F.col("token"), distance)).alias("_part"))
-    terms = dictionary.select("term", "count", F.explode(deletions(F.col("term"), distance)).alias("_part"))
+    return _nearest(strange, dictionary.select("term", "count", F.explode(deletions(F.col("term"), distance)).alias("_part")), distance, measure)
+
+
+def _nearest(words: DataFrame, terms: DataFrame, distance: int, measure: str) -> DataFrame:
+    """(token, term, dist): for distinct words the closest of terms (term, count, _part)."""
+    own = words.select("token", F.explode(deletions(F.col("token"), distance)).alias("_part"))
     pairs = own.join(terms, "_part").select("token", "term", "count").distinct()
     near = F.abs(F.length("token") - F.length("term")) <= distance
     osa_of = osa_within_2 if distance <= 2 else osa_distance
@@ -101,7 +141,7 @@ def corrected(words: DataFrame, dictionary: DataFrame, distance: int = DISTANCE,
     return found.groupBy("token").agg(F.min(F.struct("dist", (-F.col("count")).alias("c"), "term")).alias("m")).select("token", "m.term", "m.dist")
 
 
-def normalize(texts: DataFrame, dictionary: DataFrame | None = None, id_col: str = "id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+def normalize(texts: DataFrame, dictionary: DataFrame | SpellIndex | None = None, id_col: str = "id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """(id, normalized): texts cleaned and, with a dictionary, each word but numbers corrected.
 
     Only corrections meet the words of the texts, so frequent words, which dictionaries have, match none.

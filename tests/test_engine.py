@@ -475,3 +475,50 @@ def test_consecutive_clips_in_a_stream(spark, tmp_path):
     spark.createDataFrame([(1, 3, "a"), (1, 4, "b"), (2, 2, "x")], schema).coalesce(1).write.mode("append").parquet(src)
     go()
     assert sorted((r.s, r.seq) for r in spark.read.parquet(out).collect()) == [(1, 1), (1, 4), (2, 1)]
+
+
+def test_a_saved_dictionary_is_not_moved(spark, tmp_path):
+    d = spark.createDataFrame([("cough", 50), ("tough", 90), ("vitamin", 10), ("the", 100), ("a", 9)], "term string, count bigint")
+    w = spark.createDataFrame([(x,) for x in ("cuogh", "cough", "vitamni", "xyzzy", "teh", "rough", "vitaminnn", "a", "cough")], "token string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        saved = spelling.SpellIndex.save(d, "test_spelling", buckets=8)
+        for measure in ("osa", "levenshtein"):
+            assert rows(spelling.closest(w, saved, measure=measure)) == rows(spelling.closest(w, d, measure=measure))
+        plan = spelling.corrected(w, spelling.SpellIndex.open(spark, "test_spelling"))._jdf.queryExecution().executedPlan().toString().splitlines()
+        scans = [i for i, x in enumerate(plan) if "test_spelling" in x and "Scan" in x]
+        assert len(scans) == 1
+        for i in scans:
+            depth, above = len(plan[i]) - len(plan[i].lstrip(" :+-*()0123456789")), []
+            for x in reversed(plan[:i]):
+                own = len(x) - len(x.lstrip(" :+-*()0123456789"))
+                if own < depth:
+                    above.append(x)
+                    depth = own
+            join = next(k for k, x in enumerate(above) if "Join" in x)
+            assert not any("Exchange" in x for x in above[:join])
+        t = spark.createDataFrame([(1, "Teh 12.5 vitamni cuogh!"), (2, None)], "id long, text string")
+        assert rows(spelling.normalize(t, saved)) == rows(spelling.normalize(t, d))
+        with pytest.raises(ValueError, match="2 edits, not 3"):
+            spelling.SpellIndex.open(spark, "test_spelling", 3)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.sql("DROP TABLE IF EXISTS test_spelling")
+
+
+def test_a_stream_of_requests_is_answered_as_the_table_is(spark, sf_dir, tmp_path):
+    from tamarack.plans import queries
+    from tamarack.streaming.requests import answer_stream
+
+    catalog, requests = queries._catalog(spark, sf_dir)
+    requests = requests.filter("query_id < 12")
+    for i in range(2):
+        requests.filter(F.col("query_id") % 2 == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    rows = lambda df: sorted((r.query_id, r.prompt, str(r.result)) for r in df.collect())
+    want = rows(pipeline.run(requests, catalog))
+    for cp in ("a", "b"):  # the second time all batches come again
+        stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        answer_stream(stream, catalog, str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / cp)).trigger(availableNow=True).start().awaitTermination()
+        assert rows(spark.read.parquet(str(tmp_path / "out"))) == want
