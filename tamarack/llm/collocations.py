@@ -1,21 +1,21 @@
 """Phrase collocations by suffix automata of bounded depth.
 
 A task builds, for each shard of its texts, a generalised suffix automaton over words that is cut
-at a depth, in arrays: the phrases of k words are the pairs of two overlapping phrases of k - 1
-words, the one a phrase extends (its parent) and the one it ends with (its suffix link), and it has
-as many end positions as it has occurrences. The phrases of the last level and their counts are
-emitted and added up over all shards.
-
-As most phrases are rare everywhere, levels are counted one after the other: a phrase of more words
-is only followed where both shorter ones may be frequent in the whole corpus. A bitmap of the
-frequent ones' hashes tells that without ever missing one, so what is left out can't reach the
-least count; what is returned is counted by the phrases themselves.
+at ``depth`` words, in arrays: the phrases of k words are the pairs of two overlapping phrases of
+k - 1 words, the one a phrase extends (its parent) and the one it ends with (its suffix link), and
+as many end positions as it has occurrences. A phrase with as many as its suffix link has the same
+end positions, so both are one state. States are emitted, enumerated as phrases, and their counts
+added up over all shards.
+
+Most phrases are rare everywhere, so two shorter passes come first: words are counted, then hashes
+of pairs of words that are frequent enough. A bitmap of the hashes that reach the least count never
+misses one, and a phrase is only followed where its pairs may be frequent; so what is left out
+can't reach the least count, and what is returned is counted by the phrases themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -78,7 +78,7 @@ def _may_be(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 class Automaton:
-    """Of one shard: for level k (from 1), count, hash, parent, suffix link and an occurrence of each phrase of k words."""
+    """Of one shard: for level k (from 1), count, hash, parent, link, an occurrence and whether it may be frequent of each phrase of k words."""
 
     def __init__(self, words: pa.Array, langs: np.ndarray, names: list[str], first: np.ndarray, bitmaps: list[np.ndarray], depth: int) -> None:
         """langs: the place in names of each word's language. bitmaps: of levels 1, 2 and so on; phrases that aren't in theirs aren't followed."""
@@ -98,13 +98,13 @@ class Automaton:
         plain = np.fromiter((digest(w) for w in text), np.uint64, len(text))
         self.lang, self.word = known // n_words, known % n_words
         one = _mixed(np.array(seeds or [0], np.uint64)[self.lang], plain[self.word]) if len(known) else np.zeros(0, np.uint64)
-        self.count, self.hash, self.parent, self.link, self.place = [dense[known]], [one], [None], [None], [None]
+        may = lambda k, h: _may_be(bitmaps[k - 1], h) if k <= len(bitmaps) else np.ones(len(h), bool)
+        self.count, self.hash, self.parent, self.link, self.place, self.may = [dense[known]], [one], [None], [None], [None], [may(1, one)]
         self.single = single = state
         position, length = np.arange(len(state)), len(state)
         for k in range(2, depth + 1):
-            if k - 2 < len(bitmaps):
-                ok = _may_be(bitmaps[k - 2], self.hash[-1])[state]
-                position, state = position[ok], state[ok]
+            ok = self.may[-1][state]
+            position, state = position[ok], state[ok]
             # two phrases that start at neighbours in a piece, and overlap in all but a word
             pair = np.flatnonzero(np.diff(position) == 1) if len(position) > 1 else np.zeros(0, np.int64)
             pair = pair[~first[np.minimum(position[pair] + k - 1, length - 1)] & (position[pair] + k <= length)]
@@ -117,6 +117,7 @@ class Automaton:
             self.count.append(n)
             self.place.append(position[where])
             self.hash.append(_mixed(self.hash[-1][self.parent[-1]], one[single[position[where] + k - 1]]) if len(n) else np.zeros(0, np.uint64))
+            self.may.append(may(k, self.hash[-1]))
 
     def phrases(self, k: int, which: np.ndarray) -> tuple[pa.Array, pa.Array]:
         """(languages, phrases) of the phrases of k words at the places ``which``."""
@@ -125,6 +126,22 @@ class Automaton:
         langs = pa.array(self.names, pa.string()).take(pa.array(self.lang[self.single[at]] if len(at) else at))
         return langs, pc.binary_join_element_wise(*parts, " ")
 
+    def states(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(k, places, shortest): the longest phrases of the states, of k words, and the words of the shortest one of each, from two words on.
+
+        Of phrases that may be frequent; a longer one that isn't is no reason to leave out what it ends with.
+        """
+        shortest, kept = [np.ones(len(self.count[0]), np.int64)], [np.ones(len(self.count[0]), bool)]
+        for k in range(2, len(self.count) + 1):
+            link = self.link[k - 1]
+            same = self.count[k - 1] == self.count[k - 2][link]
+            kept[-1][link[same & self.may[k - 1]]] = False  # one state with the longer phrase
+            shortest.append(np.where(same, shortest[-1][link], k))
+            kept.append(self.may[k - 1].copy())
+        for k in range(2, len(self.count) + 1):
+            which = np.flatnonzero(kept[k - 1])
+            yield k, which, np.maximum(shortest[k - 1][which], 2)
+
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """(words, langs, names, first) of shards; batches have lang and text."""
@@ -164,18 +181,26 @@ def _kernel(emit, bitmaps, depth: int):
     return kernel
 
 
-_COUNTED = "lang string, phrase string, hash long, f long"
-
-
 def _emit_words(a: Automaton) -> Iterator[pa.RecordBatch]:
     langs = pa.array(a.names, pa.string()).take(pa.array(a.lang))
-    yield pa.RecordBatch.from_arrays([langs, a.words.take(pa.array(a.word)), pa.array(a.hash[0].view(np.int64)), pa.array(a.count[0])], names=["lang", "phrase", "hash", "f"])
+    yield pa.RecordBatch.from_arrays([langs, a.words.take(pa.array(a.word)), pa.array(a.count[0])], names=["lang", "phrase", "n"])
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashes that automata give words (lang, phrase)."""
+    for b in batches:
+        lang, word = (np.array([xxhash.xxh64_intdigest(x) for x in col.to_pylist()], np.uint64) for col in b.columns)
+        yield pa.RecordBatch.from_arrays([pa.array(_mixed(lang, word).view(np.int64))], names=["hash"])
+
+
+def _emit_hashes(a: Automaton) -> Iterator[pa.RecordBatch]:
+    yield pa.RecordBatch.from_arrays([pa.array(a.hash[-1].view(np.int64)), pa.array(a.count[-1])], names=["hash", "n"])
 
 
-def _emit_last(a: Automaton) -> Iterator[pa.RecordBatch]:
-    k = len(a.count)
-    langs, phrases = a.phrases(k, np.arange(len(a.count[-1])))
-    yield pa.RecordBatch.from_arrays([langs, phrases, pa.array(a.hash[-1].view(np.int64)), pa.array(a.count[-1])], names=["lang", "phrase", "hash", "f"])
+def _emit_states(a: Automaton) -> Iterator[pa.RecordBatch]:
+    for k, which, shortest in a.states():
+        langs, phrases = a.phrases(k, which)
+        yield pa.RecordBatch.from_arrays([langs, phrases, pa.array(np.full(len(which), k), pa.int32()), pa.array(shortest, pa.int32()), pa.array(a.count[k - 1][which])], names=["lang", "phrase", "longest", "shortest", "n"])
 
 
 def _bitmap(hashes: DataFrame, count: int) -> np.ndarray:
@@ -193,14 +218,20 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     """((lang, n), (lang, phrase, words, f)): the words of each language, and the phrases of up to depth words that occur least times or more."""
     spark = docs.sparkSession
     own = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    summed = lambda emit, bitmaps, k: own.mapInArrow(_kernel(emit, bitmaps, k), _COUNTED).groupBy("lang", "phrase").agg(F.sum("f").alias("f"), F.max("hash").alias("hash")).withColumn("words", F.lit(k))
-    words = c.cut(summed(_emit_words, [], 1))
+    words = own.mapInArrow(_kernel(_emit_words, [], 1), "lang string, phrase string, n long")
+    words = c.cut(words.groupBy("lang", "phrase").agg(F.sum("n").alias("f")))
     totals = c.cut(words.groupBy("lang").agg(F.sum("f").alias("n")))
-    levels, bitmaps = [words.filter(F.col("f") >= least)], []
-    for k in range(2, depth + 1):
-        bitmaps.append(spark.sparkContext.broadcast(_bitmap(levels[-1].select("hash"), levels[-1].count())))
-        levels.append(c.cut(summed(_emit_last, bitmaps, k).filter(F.col("f") >= least)))
-    return totals, c.cut(reduce(DataFrame.union, levels).select("lang", "phrase", "words", "f"))
+    often = c.cut(words.filter(F.col("f") >= least))
+    send = lambda hashes: spark.sparkContext.broadcast(_bitmap(hashes, hashes.count()))
+    bitmaps = [send(often.select("lang", "phrase").mapInArrow(_hashed, "hash long"))]
+    if depth > 2:
+        pairs = own.mapInArrow(_kernel(_emit_hashes, bitmaps, 2), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+        bitmaps.append(send(c.cut(pairs.filter(F.col("n") >= least).select("hash"))))
+    states = own.mapInArrow(_kernel(_emit_states, bitmaps, depth), "lang string, phrase string, longest int, shortest int, n long")
+    # the phrases of a state are the ends of its longest one
+    each = states.select("lang", "phrase", "n", F.explode(F.sequence("shortest", "longest")).alias("words")).select("lang", F.expr("substring_index(phrase, ' ', -words)").alias("phrase"), "words", "n")
+    phrases = each.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+    return totals, c.cut(often.select("lang", "phrase", F.lit(1).alias("words"), "f").union(phrases))
 
 
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = 100, depth: int = 5, first: int = 2000, subsumed: int = 100) -> DataFrame:

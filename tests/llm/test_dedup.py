@@ -240,3 +240,17 @@ def test_exact_duplicates_stay_apart_where_only_the_digest_agrees(spark, monkeyp
     df = with_row(spark.createDataFrame([(1, "a"), (2, "b b"), (3, "bb")], "doc_id long, text string"))
     got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(df).collect()}
     assert got == {1: (1, 1), 2: (2, 2), 3: (2, 2)}
+
+
+def test_a_file_that_is_read_twice_has_copies(spark, tmp_path):
+    path = str(tmp_path / "d")
+    rows = [(1, "one two three four five six", "en", "a"), (2, "another text that stands alone here", "en", "a")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(path)
+    docs = spark.read.parquet(path, path)
+    assert docs.count() == 4
+    assert sorted(r.doc_id for r in exact_dedup.drop_exact_duplicates(docs).collect()) == [1, 2]
+    assert sorted(r.doc_id for r in simhash.drop_similar(docs).collect()) == [1, 2]
+    bench = spark.createDataFrame([(1, rows[0][1])], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontam.drop_leaks(docs, bench).collect()) == [2, 2]
+    taken = Counter(r.doc_id for r in mixing.apply_mix(docs).collect())
+    assert abs(sum(taken.values()) - 6) <= 1

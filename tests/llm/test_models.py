@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tamarack.llm import langid, quality
 
@@ -96,3 +97,14 @@ def test_quality_edge_cases(spark, edge_docs, no_docs):
     assert quality.keep_quality(edge_docs, labels).columns == edge_docs.columns
     assert {r.score for r in quality.quality_scores(edge_docs, labels.limit(0)).collect()} == {0.5}
     assert quality.quality_scores(no_docs, labels).collect() == []
+
+
+@pytest.mark.parametrize("doc_id", [0, 3])
+def test_the_sample_of_languages_is_of_rows(spark, monkeypatch, doc_id):
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda windows, labels, langs, **_: seen.append((len(windows), langs)))
+    many = spark.range(20_000).select(F.lit(doc_id).cast("long").alias("doc_id"), F.lit("en").alias("lang"), F.concat(F.lit("words and "), F.col("id").cast("string")).alias("text"))
+    taken = next(i for i in range(5, 99) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rare = spark.createDataFrame([(taken, "fr", "un seul texte")], "doc_id long, lang string, text string")
+    langid.fit(many.union(rare), per_lang=100)
+    assert seen == [(101, ["en", "fr"])]
