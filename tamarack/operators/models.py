@@ -8,8 +8,10 @@ library; the stand-ins show the contracts and make plans testable.
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import pickle
+import re
 import shutil
 import subprocess
 import urllib.request
@@ -99,18 +101,60 @@ def boxed(image: np.ndarray, boxes: list, color: tuple[int, int, int] = (255, 0,
     return out
 
 
+#: The header of a binary portable pixmap, with comments.
+_HEADER = re.compile(rb"P6(?:\s+|#[^\n]*\n)+(\d+)(?:\s+|#[^\n]*\n)+(\d+)(?:\s+|#[^\n]*\n)+255\s")
+
+
+def pixels(data: bytes | None) -> np.ndarray | None:
+    """The image (height, width, RGB) in data: a portable pixmap, or what Pillow reads, where it is installed; else None."""
+    if not data:
+        return None
+    if (m := _HEADER.match(data)) and len(data) - m.end() >= 3 * int(m[1]) * int(m[2]):
+        return np.frombuffer(data, np.uint8, 3 * int(m[1]) * int(m[2]), m.end()).reshape(int(m[2]), int(m[1]), 3)
+    try:
+        from PIL import Image
+    except ImportError:
+        return None
+    try:
+        return np.asarray(Image.open(io.BytesIO(data)).convert("RGB"))
+    except OSError:
+        return None
+
+
+def preview(data: bytes | None, boxes: list) -> bytes:
+    """An image file of the photo in data with the outlines of boxes, whatever its size; of a blank page if data isn't one."""
+    image = pixels(data)
+    return ppm(boxed(blank(boxes) if image is None else image, boxes))
+
+
+def draw_boxes(df: DataFrame, content: str = "content", boxes: str = "boxes", out: str = "preview") -> DataFrame:
+    """df with out, the image in content with the polygons in boxes (arrays of points) drawn on it; null boxes are none."""
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())])
+    at = [df.columns.index(content), df.columns.index(boxes)]
+
+    def kernel(batches):
+        for b in batches:
+            for i in range(b.num_rows):  # an image at a time
+                row = b.slice(i, 1)
+                data, own = (row.column(k)[0].as_py() for k in at)
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([preview(data, own or [])], pa.binary())], names=schema.names)
+
+    return df.mapInArrow(kernel, schema)
+
+
 def ppm(image: np.ndarray) -> bytes:
     """An image file (binary portable pixmap) of image."""
     return b"P6 %d %d 255\n" % (image.shape[1], image.shape[0]) + image.tobytes()
 
 
 def stub_ocr() -> Model:
-    """The lines of bytes that are UTF-8 text, each with a box; the preview is a page with these boxes."""
+    """The lines of bytes that are UTF-8 text, or of the comments of a portable pixmap, each with a box; the preview shows these boxes."""
 
     def one(data: bytes | None) -> dict:
-        lines = (data or b"").decode("utf-8", "replace").splitlines()
+        header = _HEADER.match(data or b"")
+        lines = [x.strip() for x in re.findall(r"#([^\n]*)", header[0].decode("utf-8", "replace"))] if header else (data or b"").decode("utf-8", "replace").splitlines()
         boxes = [[[0, 10 * i], [8 * len(x), 10 * i], [8 * len(x), 10 * i + 9], [0, 10 * i + 9]] for i, x in enumerate(lines)]
-        return {"texts": lines, "boxes": boxes, "preview": ppm(boxed(blank(boxes), boxes))}
+        return {"texts": lines, "boxes": boxes, "preview": preview(data, boxes)}
 
     return lambda items: [one(x) for x in items]
 

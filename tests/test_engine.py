@@ -522,3 +522,18 @@ def test_a_stream_of_requests_is_answered_as_the_table_is(spark, sf_dir, tmp_pat
         stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
         answer_stream(stream, catalog, str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / cp)).trigger(availableNow=True).start().awaitTermination()
         assert rows(spark.read.parquet(str(tmp_path / "out"))) == want
+
+
+def test_boxes_are_drawn_on_the_photo(spark):
+    rng = np.random.default_rng(1)
+    photo = rng.integers(0, 200, (400, 700, 3), dtype=np.uint8)
+    data = b"P6\n# Take two\n# daily\n700 400 255\n" + photo.tobytes()
+    assert (models.pixels(data) == photo).all() and models.pixels(b"text") is None and models.pixels(data[:-1]) is None and models.pixels(None) is None
+    box = [[300, 280], [650, 280], [650, 390], [300, 390]]
+    df = spark.createDataFrame([(1, data, [box]), (2, b"no image", [[[1, 1], [3, 1], [3, 3]]]), (3, None, None)], "id int, content binary, boxes array<array<array<int>>>")
+    got = {r.id: models.pixels(bytes(r.preview)) for r in models.draw_boxes(df).collect()}
+    want = models.boxed(photo, [box])
+    assert (got[1] == want).all() and (got[1][280, 300:651] == (255, 0, 0)).all() and (got[1] != photo).any(axis=2).sum() < 1000
+    assert got[2].shape == (4, 4, 3) and got[3].shape == (1, 1, 3)
+    read = models.read_images(df).filter("id = 1").first().ocr
+    assert read.texts == ["Take two", "daily"] and models.pixels(bytes(read.preview)).shape == photo.shape
