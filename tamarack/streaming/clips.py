@@ -14,7 +14,7 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 class _LastClip(StatefulProcessor):
-    """State: the last clip's id and time. It ends by a timer in event time, or else by its time to live."""
+    """State: the last clip's id and time. With an event time, a timer ends it."""
 
     def __init__(self, session: str, order: list[str], clip_id: str, kind: T.DataType, event_time: str | None, idle: timedelta) -> None:
         self.session, self.order, self.clip_id, self.kind, self.event_time = session, order, clip_id, kind, event_time
@@ -23,7 +23,7 @@ class _LastClip(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         schema = T.StructType([T.StructField("id", self.kind), T.StructField("at", T.LongType())])
-        self.last = handle.getValueState("last", schema, None if self.event_time else self.span)
+        self.last = handle.getValueState("last", schema)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         last = self.last.get() if self.last.exists() else None
@@ -54,10 +54,10 @@ def consecutive_stream(clips: DataFrame, session: str, order: str | list[str], c
     that comes after the session was idle for longer than ``idle``, and a session's state ends when
     the watermark, ``delay`` behind the newest clip, has passed that; so what comes out is what
     sessions.consecutive gives with the same event_time and idle, whenever state was dropped. Without
-    it, state ends when its session had no clip for ``idle`` by the clock. The state store has to be
-    RocksDB, and the session is set to that here.
+    it, state stays: a time to live by the clock would keep a query that takes what is available from
+    ending. The state store has to be RocksDB, and the session is set to that here.
     """
     clips.sparkSession.conf.set(_STORE, ROCKS)
     processor = _LastClip(session, [order] if isinstance(order, str) else order, clip_id, clips.schema[clip_id].dataType, event_time, idle)
     timed = clips.withWatermark(event_time, delay) if event_time else clips
-    return timed.groupBy(session).transformWithState(processor, clips.schema, "append", "EventTime" if event_time else "ProcessingTime")
+    return timed.groupBy(session).transformWithState(processor, clips.schema, "append", "EventTime" if event_time else "None")
