@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -64,17 +66,23 @@ def read_audio(spark: SparkSession, path: str) -> DataFrame:
     return read_binary(spark, path, AUDIO)
 
 
-def inventory(spark: SparkSession, path: str, folders: set[str] | None = None, code: str = ".py") -> DataFrame:
+def inventory(spark: SparkSession, path: str, folders: set[str] | None = None, code: str = ".py", whole: str | None = None) -> DataFrame:
     """(folder, name, bytes, text): the files below path, with the text of those that end in ``code``.
 
     folders keeps those all of whose parent folders below path are in it. Files without text are
-    listed without reading them. A file that isn't UTF-8 has a text that says so.
+    listed without reading them. A file that isn't UTF-8 has a text that says so. A folder whose
+    name ends in ``whole``, as that of a table of several parts, is one entry with the bytes of all
+    files in it.
     """
     base = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     listed = base.select("path", F.col("length").alias("bytes"))
     text = base.filter(F.endswith("path", F.lit(code))).select("path", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.lit("[Error reading file: not UTF-8]")).alias("text"))
     inner = F.substring_index("path", path.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
-    out = listed.join(text, "path", "left").withColumn("folder", F.regexp_replace(inner, r"/?[^/]*$", ""))
+    out = listed.join(text, "path", "left").withColumn("path", inner)
+    if whole is not None:
+        at = F.regexp_extract("path", rf"^(?:[^/]+/)*?[^/]*{re.escape(whole)}(?=/)", 0)
+        out = out.groupBy(F.coalesce(F.nullif(at, F.lit("")), "path").alias("path")).agg(F.sum("bytes").alias("bytes"), F.min(F.when(at == "", F.col("text"))).alias("text"))
+    out = out.withColumn("folder", F.regexp_replace("path", r"/?[^/]*$", ""))
     if folders is not None:
         out = out.filter(F.forall(F.filter(F.split("folder", "/"), lambda f: f != ""), lambda f: f.isin(*folders)))
     return out.select("folder", basename(F.col("path")).alias("name"), "bytes", "text")

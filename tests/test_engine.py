@@ -294,6 +294,17 @@ def test_files(spark, tmp_path):
     assert files.read_dictionary(spark, str(tmp_path / "d.txt")).collect() == [("the", 100), ("cough", 5)]
 
 
+def test_inventory_of_tables_in_parts(spark, tmp_path):
+    from tamarack.plans import queries
+
+    for name, data in {"a.parquet/part-0.parquet": "xx", "a.parquet/k=1/part-1.parquet": "y", "b.parquet": "z", "d/e.parquet/part-0.parquet": "x", "d/n.py": "p"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(data)
+    got = files.inventory(spark, str(tmp_path), whole=".parquet").collect()
+    assert sorted((r.folder, r.name, r.bytes, r.text or "") for r in got) == [("", "a.parquet", 3, ""), ("", "b.parquet", 1, ""), ("d", "e.parquet", 1, ""), ("d", "n.py", 1, "p")]
+    assert {(r.folder, r.name, r.has_bytes) for r in queries.file_inventory(spark, str(tmp_path)).collect()} == {("", "a.parquet", True), ("", "b.parquet", True), ("d", "e.parquet", True), ("d", "n.py", True)}
+
+
 def test_catalog_from_files(spark, tmp_path):
     (tmp_path / "r.jsonl").write_text('{"id": "k0"}\n{"id": "k1"}\n')
     spark.createDataFrame([(0, [0.0]), (1, [1.0]), (2, [2.0])], "ordinal long, embedding array<double>").write.parquet(str(tmp_path / "v"))
