@@ -15,6 +15,7 @@ import re
 import shutil
 import subprocess
 import urllib.request
+from collections import Counter
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
@@ -65,14 +66,28 @@ def apply_model(df: DataFrame, factory: Callable[[], Model], col: str, out: str,
     return df.mapInArrow(kernel, schema)
 
 
+#: Words whose hashes the stand-in embedder keeps at most.
+_WORDS = 1 << 16
+
+
 def stub_embedder(dim: int = 64) -> Model:
     """Unit vectors from hashed words; equal texts have equal vectors, empty ones the zero vector."""
+    known: dict[str, tuple[int, int]] = {}
+
+    def place(word: str) -> tuple[int, int]:
+        if word not in known:
+            if len(known) >= _WORDS:
+                known.clear()
+            h = hashlib.md5(word.encode("utf-8", "replace")).digest()
+            known[word] = h[-1] % dim, 1 if h[0] >> 7 else -1
+        return known[word]
 
     def one(text: str | None) -> list[float]:
-        v = np.zeros(dim)
-        for w in (text or "").lower().split():
-            h = hashlib.md5(w.encode("utf-8", "replace")).digest()
-            v[h[-1] % dim] += 1 if h[0] >> 7 else -1
+        sums = [0] * dim
+        for w, times in Counter((text or "").lower().split()).items():
+            at, sign = place(w)
+            sums[at] += sign * times
+        v = np.array(sums, np.float64)
         n = float(np.linalg.norm(v))
         return (v / n if n else v).tolist()
 

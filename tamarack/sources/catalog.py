@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamarack.lineage import cut, maybe_broadcast
 from tamarack.operators import knn as nn
 from tamarack.sources.files import read_jsonl, read_vectors
 
@@ -38,9 +39,14 @@ class Catalog:
         return self.indexes[name]
 
     def search(self, name: str, queries: DataFrame | nn.Asked, k: int = nn.DEFAULT_K) -> DataFrame:
-        """(query_id, rank, ordinal, score, key, rec) of the k nearest in one index; queries: query_id, query."""
+        """(query_id, rank, ordinal, score, key, rec) of the k nearest in one index; queries: query_id, query.
+
+        The search runs once, here, however often its hits are used. Only records that were hit meet them.
+        """
         own = self.index(name)
-        return nn.lookup(nn.knn(queries, own.vectors, k, self.metric), own.records)
+        hits = cut(nn.knn(queries, own.vectors, k, self.metric))
+        hit = maybe_broadcast(hits.select("ordinal").distinct(), 32)
+        return cut(nn.lookup(hits, own.records.join(hit, "ordinal", "left_semi")))
 
     def search_all(self, queries: DataFrame | nn.Asked, k: int = nn.DEFAULT_K) -> DataFrame:
         """search in every index, with the column kb."""
