@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 
 #: Vectors of a tile at most, and vectors that a task holds in unfinished tiles.
 TILE_ROWS, _HELD = 4096, 1 << 16
+#: Arrays of an unfinished tile at most.
+_PARTS = 64
 #: Bytes of a side up to which it is broadcast; it is measured first.
 BROADCAST_BYTES = 32 << 20
 
@@ -43,6 +45,7 @@ def tiles(df: DataFrame, key: str, vector: str, by: list[str] | None = None, row
 
     Vectors of different length, or with other values in by, are in different tiles; null vectors
     have the dim -1 and no data. A null within a vector is NaN. No rows are moved between tasks.
+    Rows that wait for their tile are copies, so none of them keeps the batch it came in.
     """
     by = by or []
     own = df.select(*by, key, vector)
@@ -54,17 +57,17 @@ def tiles(df: DataFrame, key: str, vector: str, by: list[str] | None = None, row
     schema = T.StructType(fields)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list[tuple[pa.RecordBatch, np.ndarray]]] = {}
+        held: dict[tuple, list[tuple[pa.Array, pa.Array]]] = {}  # keys and vectors
+        shared: dict[tuple, list[pa.Array]] = {}  # what by has
         count: dict[tuple, int] = {}
 
         def made(group: tuple) -> pa.RecordBatch:
             parts, dim = held.pop(group), group[-1]
             n = count.pop(group)
-            ids = pa.concat_arrays([b.column(len(by)).take(pa.array(r)) for b, r in parts])
-            data = b"" if dim <= 0 else b"".join(b.column(len(by) + 1).take(pa.array(r)).flatten().to_numpy(zero_copy_only=False).astype(number).tobytes() for b, r in parts)
-            values = [parts[0][0].column(i).take(pa.array(parts[0][1][:1])) for i in range(len(by))]
+            ids = pa.concat_arrays([x for x, _ in parts])
+            data = b"" if dim <= 0 else b"".join(v.flatten().to_numpy(zero_copy_only=False).astype(number).tobytes() for _, v in parts)
             lists = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), ids)
-            return pa.RecordBatch.from_arrays([*values, pa.array([dim], pa.int32()), pa.array([n], pa.int32()), lists, pa.array([data], pa.binary())], names=schema.names)
+            return pa.RecordBatch.from_arrays([*shared.pop(group), pa.array([dim], pa.int32()), pa.array([n], pa.int32()), lists, pa.array([data], pa.binary())], names=schema.names)
 
         for b in batches:
             size = lengths(b.column(len(by) + 1))
@@ -78,8 +81,12 @@ def tiles(df: DataFrame, key: str, vector: str, by: list[str] | None = None, row
                     part = r[at : at + rows]
                     if count.get(group, 0) + len(part) > rows:
                         yield made(group)
-                    held.setdefault(group, []).append((b, part))
+                    if group not in held:
+                        held[group], shared[group] = [], [x.take(pa.array(part[:1])) for x in b.columns[: len(by)]]
+                    held[group].append(tuple(x.take(pa.array(part)) for x in b.columns[len(by) :]))
                     count[group] = count.get(group, 0) + len(part)
+                    if len(held[group]) > _PARTS:
+                        held[group] = [tuple(map(pa.concat_arrays, zip(*held[group], strict=True)))]
             while sum(count.values()) > _HELD:
                 yield made(max(count, key=count.__getitem__))
         for group in list(held):

@@ -24,6 +24,8 @@ from tamarack.operators import grid, knn
 
 #: Cells of an index at most, rows that the centres are fitted on at most, queries that recall is measured with.
 MOST_CELLS, SAMPLE, CALIBRATION = 16_384, 32_768, 256
+#: Distances to centres that a task holds at once, and visits that it sends on at once.
+_DISTANCES, _VISITS = 1 << 19, 1 << 13
 #: Neighbours that recall is measured for.
 RECALL_K = 10
 
@@ -102,10 +104,12 @@ class VectorIndex:
         fit = _space(_vectors(some.column("embedding").combine_chunks(), dim), metric)
         centres = centres_of(fit, min(MOST_CELLS, cells or max(1, round(count**0.5))))
 
+        step = max(1, min(1024, _DISTANCES // len(centres)))
+
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 m = _space(_vectors(b.column(1), dim), metric)
-                of = np.concatenate([nearest_centres(m[at : at + 1024], centres) for at in range(0, len(m), 1024)]) if len(m) else np.zeros(0, np.int64)
+                of = np.concatenate([nearest_centres(m[at : at + 1024], centres) for at in range(0, len(m), step)]) if len(m) else np.zeros(0, np.int64)
                 dist = np.sqrt(((m - centres[of]) ** 2).sum(axis=1))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(dist), pa.array(of.astype(np.int32))], names=[*b.schema.names, "dist", "cell"])
 
@@ -178,14 +182,18 @@ class VectorIndex:
         own = _checked(queries.select("query_id", F.col("query").cast("array<float>").alias("query")), "query", self.dim, "queries")
         dim, metric, holds = self.dim, self.metric, self.n > 0
 
+        step = max(1, min(512, _DISTANCES // max(1, len(self.n))))
+
         def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for at in range(0, b.num_rows, 512):
-                    s = b.slice(at, 512)
+                for at in range(0, b.num_rows, step):
+                    s = b.slice(at, step)
                     with np.errstate(invalid="ignore"):
                         m = _space(_vectors(s.column(1), dim), metric)
                     row, cell = np.nonzero((choose(np.nan_to_num(m)) | np.isnan(m).any(axis=1)[:, None]) & holds[None, :])
-                    yield pa.RecordBatch.from_arrays([*[x.take(pa.array(row)) for x in s.columns], pa.array(cell.astype(np.int32))], names=["query_id", "query", "cell"])
+                    for part in range(0, len(row), _VISITS):
+                        r, c = row[part : part + _VISITS], cell[part : part + _VISITS]
+                        yield pa.RecordBatch.from_arrays([*[x.take(pa.array(r)) for x in s.columns], pa.array(c.astype(np.int32))], names=["query_id", "query", "cell"])
 
         return own.mapInArrow(kernel, T.StructType([*own.schema.fields, T.StructField("cell", T.IntegerType())]))
 

@@ -21,8 +21,8 @@ from pyspark.sql.window import Window
 from tamarack.lineage import cut
 from tamarack.operators import grid
 
-#: Scores that a task holds at once.
-_SCORES = 1 << 22
+#: Scores that a task holds at once, and pairs that it measures at once.
+_SCORES, _PAIRS = 1 << 20, 1 << 14
 DEFAULT_K = 3
 #: Whether smaller is nearer.
 METRICS = {"l2": True, "ip": False, "cosine": False}
@@ -67,6 +67,14 @@ def _likely(m: np.ndarray, q: np.ndarray, metric: str, k: int) -> tuple[np.ndarr
     return np.nonzero(s <= last + 1e-9 * (1 + np.abs(np.nan_to_num(last, posinf=0.0))))
 
 
+def _best(row: np.ndarray, query: np.ndarray, score: np.ndarray, ordinals: np.ndarray, metric: str, k: int) -> np.ndarray:
+    """The places of the k best pairs of each query, as order_of has them."""
+    near = np.where(np.isfinite(score), score if METRICS[metric] else -score, np.inf)
+    order = np.lexsort((ordinals[row], near, query))
+    of = query[order]
+    return order[np.arange(len(of)) - np.searchsorted(of, of) < k]
+
+
 def order_of(metric: str) -> list:
     """From the nearest on; what can't be measured comes last, ties go to the lower ordinal."""
     return [F.col("score").asc_nulls_last() if METRICS[metric] else F.col("score").desc_nulls_last(), F.col("ordinal")]
@@ -101,7 +109,11 @@ def score_cells(found: DataFrame, kind: T.DataType, k: int, metric: str, by: lis
                     for at in range(0, len(w), step):
                         with np.errstate(divide="ignore", invalid="ignore"):
                             r, s = _likely(m, w[at : at + step], metric, k)
-                            yield out(r, s + at, _measured(m[r], w[at + s], metric))
+                            score = np.concatenate([np.zeros(0), *[_measured(m[r[x : x + _PAIRS]], w[at + s[x : x + _PAIRS]], metric) for x in range(0, len(r), _PAIRS)]])
+                        if len(r) > 4 * k * min(step, len(w) - at) and not ordinals.null_count:  # many are equally near
+                            best = _best(r, s, score, ordinals.to_numpy(zero_copy_only=False), metric, k)
+                            r, s, score = r[best], s[best], score[best]
+                        yield out(r, s + at, score)
                 else:  # what can't be measured comes last
                     odd = np.argsort(ordinals.to_numpy(zero_copy_only=False), kind="stable")[:k]
                     yield out(np.tile(odd, len(ids)), np.repeat(np.arange(len(ids)), len(odd)), np.full(len(odd) * len(ids), np.nan))

@@ -336,6 +336,64 @@ def test_pipelines(spark):
     assert checked[1].answer.error and "mismatch_analysis" in checked[1].prompt
 
 
+def test_pipelines_embed_and_answer_once(spark, tmp_path, sf_dir):
+    from tamarack.plans import queries
+
+    catalog, requests = queries._catalog(spark, sf_dir)
+    assert not any("MapInArrow" in i.records._jdf.queryExecution().toString() for i in catalog.indexes.values())
+
+    def counted():
+        stub = models.stub_generator()
+
+        def answer(prompts):
+            for _ in prompts:
+                (tmp_path / __import__("uuid").uuid4().hex).touch()
+            return stub(prompts)
+
+        return answer
+
+    some = requests.filter("query_id < 4")
+    n = some.count()
+    assert len(pipeline.run(some, catalog, generator=counted).collect()) == n == len(list(tmp_path.iterdir()))
+    assert len(pipeline.run_checked(some, catalog, generator=counted).collect()) == n and len(list(tmp_path.iterdir())) == 2 * n
+
+
+def test_kernels_of_searches_are_bounded(spark, monkeypatch):
+    """Rows that wait for their tile keep no batch, visits go on in parts, and of rows equally near k are left."""
+    import pyarrow as pa
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    from tamarack.operators import grid
+
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(3000)], "ordinal long, embedding array<float>").coalesce(1)
+    q = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.0, 0.0])], "query_id long, query array<float>").coalesce(1)
+    scored = knn.score_cells(grid.cells(grid.tiles(same, "ordinal", "embedding"), knn.asked(q).tiles), knn.asked(q).kind, 3, "l2", [])
+    assert sorted((r.query_id, r.ordinal, r.score) for r in scored.collect()) == [(1, i, 0.0) for i in range(3)] + [(2, i, 5.0) for i in range(3)]
+
+    kernels = []
+    df = spark.createDataFrame([], "cell int, id long, v array<float>")
+    with monkeypatch.context() as m:
+        m.setattr(Classic, "mapInArrow", lambda self, kernel, schema: kernels.append(kernel))
+        grid.tiles(df, "id", "v", ["cell"])
+        index.VectorIndex(None, 2, 9000, "l2", np.zeros((1000, 2)), np.zeros(1000), np.full(1000, 9), {}).visits(q, lambda x: np.ones((len(x), 1000), bool))
+    tiles, visits = kernels
+    seen = []
+
+    def batches():
+        for i in range(300):
+            v = pa.ListArray.from_arrays(pa.array(np.arange(1001, dtype=np.int32) * 64), pa.array(np.zeros(64_000, np.float32)))
+            b = pa.RecordBatch.from_arrays([pa.array(np.append(np.zeros(999), i + 1), pa.int32()), pa.array(np.arange(1000)), v], names=df.columns)
+            yield b.take(pa.array(np.arange(1000)))
+            seen.append(pa.total_allocated_bytes())
+
+    before = pa.total_allocated_bytes()
+    assert sum(t.column("n")[0].as_py() for t in tiles(batches())) == 300_000
+    assert max(seen) - before < 40_000_000  # the 300 batches have 80 MB
+    asked = pa.RecordBatch.from_arrays([pa.array(np.arange(100)), pa.array([[0.0, 0.0]] * 100, pa.list_(pa.float32()))], names=["query_id", "query"])
+    rows = [b.num_rows for b in visits(iter([asked]))]
+    assert sum(rows) == 100_000 and max(rows) < 10_000
+
+
 def test_models_are_made_once_in_a_worker(spark, tmp_path):
     def factory():
         (tmp_path / __import__("uuid").uuid4().hex).touch()
