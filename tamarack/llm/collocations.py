@@ -4,13 +4,18 @@ A task builds, for each shard of its texts, a generalised suffix automaton over
 at ``depth`` words, in arrays: the phrases of k words are the pairs of two overlapping phrases of
 k - 1 words, the one a phrase extends (its parent) and the one it ends with (its suffix link), and
 as many end positions as it has occurrences. A phrase with as many as its suffix link has the same
-end positions, so both are one state. States are emitted, enumerated as phrases, and their counts
-added up over all shards.
-
-Most phrases are rare everywhere, so two shorter passes come first: words are counted, then hashes
-of pairs of words that are frequent enough. A bitmap of the hashes that reach the least count never
-misses one, and a phrase is only followed where its pairs may be frequent; so what is left out
-can't reach the least count, and what is returned is counted by the phrases themselves.
+end positions, so both are one state. States are enumerated as phrases, and their counts added up
+over all shards.
+
+Most phrases are rare everywhere, so three shorter passes come first: words are counted, then hashes
+of pairs of words that are frequent enough, then those of longer phrases whose pairs are. A bitmap of
+the hashes that reach the least count never misses one, and a phrase is only followed where its
+parts may be frequent; so what is left out can't reach the least count, and what is returned is
+counted by the phrases themselves.
+
+What a shard has counted goes out in one row for each range of hashes, not one for each phrase: hashes
+are sorted, so their differences are small, and phrases are joined to one string. The ranges get
+narrower as the texts grow, so the rows of one range fit a task.
 """
 
 from __future__ import annotations
@@ -30,7 +35,9 @@ from tamarack.llm import _common as c
 #: Words of a shard, about, and bytes of texts that are cut into words at once, about.
 SHARD, _PIECE = 1 << 20, 2 << 20
 #: Bits of a bitmap for each frequent hash, and the logarithms of its least and largest size; beyond that it only lets more pass.
-_BITS, _SMALL, _LARGE = 16, 16, 30
+_BITS, _SMALL, _LARGE = 128, 16, 30
+#: Words of all texts for each range of hashes, about, and the logarithms of the least and largest number of ranges.
+_RANGE, _FEW, _MANY = 1 << 21, 9, 24
 _WORD, _BLANK, _BREAK = 0, 1, 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -142,6 +149,16 @@ class Automaton:
             which = np.flatnonzero(kept[k - 1])
             yield k, which, np.maximum(shortest[k - 1][which], 2)
 
+    def enumerated(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(k, places, counts): the phrases of the states, which are the ends of a state's longest one, along the links."""
+        for k, at, shortest in self.states():
+            n = self.count[k - 1][at]
+            yield k, at, n
+            for j in range(k - 1, 1, -1):
+                more = shortest <= j
+                at, n, shortest = self.link[j][at[more]], n[more], shortest[more]
+                yield j, at, n
+
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """(words, langs, names, first) of shards; batches have lang and text."""
@@ -193,14 +210,88 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(_mixed(lang, word).view(np.int64))], names=["hash"])
 
 
-def _emit_hashes(a: Automaton) -> Iterator[pa.RecordBatch]:
-    yield pa.RecordBatch.from_arrays([pa.array(a.hash[-1].view(np.int64)), pa.array(a.count[-1])], names=["hash", "n"])
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32, first the lowest byte of each, then the next ones: the upper ones compress to nothing if numbers are small."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where sorted rows have other keys than the row before."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in keys], axis=0)
+    return np.flatnonzero(new)
+
+
+def _emit_hashes(least: int, ranges: int):
+    """Hashes of phrases of least words or more, cut to ranges + 32 bits: (range, hashes, counts), where range is the first bits."""
+
+    def emit(a: Automaton) -> Iterator[pa.RecordBatch]:
+        hashes, counts = np.concatenate(a.hash[least - 1 :]), np.concatenate(a.count[least - 1 :])
+        order = np.argsort(hashes)
+        hashes, counts = hashes[order], counts[order]
+        part = (hashes >> np.uint64(64 - ranges)).astype(np.int32)
+        rest = (hashes >> np.uint64(32 - ranges)).astype(np.uint32)
+        starts = _starts(part)
+        step = np.diff(rest, prepend=np.uint32(0))
+        step[starts] = rest[starts]
+        ends = [*starts[1:].tolist(), len(hashes)]
+        each = [(_planes(step[i:j]), _planes(counts[i:j])) for i, j in zip(starts.tolist(), ends, strict=False)]
+        yield pa.RecordBatch.from_arrays([pa.array(part[starts]), *(pa.array([x[i] for x in each], pa.binary()) for i in (0, 1))], names=["range", "hashes", "counts"])
+
+    return emit
+
 
+def _often(least: int, ranges: int):
+    """Of the rows of one range: the hashes that are counted least times or more."""
 
-def _emit_states(a: Automaton) -> Iterator[pa.RecordBatch]:
-    for k, which, shortest in a.states():
-        langs, phrases = a.phrases(k, which)
-        yield pa.RecordBatch.from_arrays([langs, phrases, pa.array(np.full(len(which), k), pa.int32()), pa.array(shortest, pa.int32()), pa.array(a.count[k - 1][which])], names=["lang", "phrase", "longest", "shortest", "n"])
+    def kernel(key: tuple, rows: pa.Table) -> pa.Table:
+        rest = np.concatenate([np.cumsum(_numbers(x), dtype=np.uint32) for x in rows["hashes"].to_pylist()])
+        counts = np.concatenate([_numbers(x) for x in rows["counts"].to_pylist()])
+        order = np.argsort(rest)
+        rest = rest[order]
+        starts = _starts(rest)
+        found = rest[starts][np.add.reduceat(counts[order].astype(np.int64), starts) >= least].astype(np.uint64)
+        hashes = ((np.uint64(key[0].as_py()) << np.uint64(32)) | found) << np.uint64(32 - ranges)
+        return pa.table({"hash": hashes.view(np.int64)})
+
+    return kernel
+
+
+def _emit_phrases(ranges: int):
+    """(lang, range, phrases, counts): the phrases of a language and a range, joined by line ends, which no word has."""
+
+    def emit(a: Automaton) -> Iterator[pa.RecordBatch]:
+        levels = [(a.hash[k - 1][at], *a.phrases(k, at), n) for k, at, n in a.enumerated()]
+        if not sum(len(x[0]) for x in levels):
+            return
+        hashes, langs, phrases, counts = zip(*levels, strict=True)
+        langs = pa.concat_arrays(langs).dictionary_encode()
+        lang, part = langs.indices.to_numpy(), (np.concatenate(hashes) >> np.uint64(64 - ranges)).astype(np.int32)
+        order = np.lexsort((part, lang))
+        lang, part = lang[order], part[order]
+        starts = _starts(lang, part)
+        ends = pa.array(np.append(starts, len(order)), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, x.take(pa.array(order))) for x in (pa.concat_arrays(phrases), pa.array(np.concatenate(counts)))]
+        yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(lang[starts])), pa.array(part[starts]), pc.binary_join(lists[0], "\n"), lists[1]], names=["lang", "range", "phrases", "counts"])
+
+    return emit
+
+
+def _added(least: int):
+    """Of the rows of a language and one range: the phrases that are counted least times or more."""
+
+    def kernel(key: tuple, rows: pa.Table) -> pa.Table:
+        each = pa.table({"phrase": pc.list_flatten(pc.split_pattern(rows["phrases"], "\n")), "n": pc.list_flatten(rows["counts"])})
+        each = each.group_by("phrase").aggregate([("n", "sum")])
+        each = each.filter(pc.greater_equal(each["n_sum"], least))
+        words = pc.add(pc.count_substring(each["phrase"], " "), pa.scalar(1, pa.int32()))
+        return pa.table({"lang": pa.array([key[0].as_py()] * len(each), pa.string()), "phrase": each["phrase"], "words": words, "f": each["n_sum"]})
+
+    return kernel
 
 
 def _bitmap(hashes: DataFrame, count: int) -> np.ndarray:
@@ -224,13 +315,15 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     often = c.cut(words.filter(F.col("f") >= least))
     send = lambda hashes: spark.sparkContext.broadcast(_bitmap(hashes, hashes.count()))
     bitmaps = [send(often.select("lang", "phrase").mapInArrow(_hashed, "hash long"))]
-    if depth > 2:
-        pairs = own.mapInArrow(_kernel(_emit_hashes, bitmaps, 2), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-        bitmaps.append(send(c.cut(pairs.filter(F.col("n") >= least).select("hash"))))
-    states = own.mapInArrow(_kernel(_emit_states, bitmaps, depth), "lang string, phrase string, longest int, shortest int, n long")
-    # the phrases of a state are the ends of its longest one
-    each = states.select("lang", "phrase", "n", F.explode(F.sequence("shortest", "longest")).alias("words")).select("lang", F.expr("substring_index(phrase, ' ', -words)").alias("phrase"), "words", "n")
-    phrases = each.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+    size = totals.agg(F.sum("n")).first()[0] or 0
+    ranges = int(np.clip(np.ceil(np.log2(max(1, size / _RANGE))), _FEW, _MANY))
+    for shortest, longest in ((2, 2), (3, depth)):
+        if shortest <= longest <= depth:
+            hashes = own.mapInArrow(_kernel(_emit_hashes(shortest, ranges), bitmaps, longest), "range int, hashes binary, counts binary")
+            sent = send(c.cut(hashes.groupBy("range").applyInArrow(_often(least, ranges), "hash long")))
+            bitmaps += [sent] * (longest - shortest + 1)
+    listed = own.mapInArrow(_kernel(_emit_phrases(ranges), bitmaps, depth), "lang string, range int, phrases string, counts array<long>")
+    phrases = listed.groupBy("lang", "range").applyInArrow(_added(least), "lang string, phrase string, words int, f long")
     return totals, c.cut(often.select("lang", "phrase", F.lit(1).alias("words"), "f").union(phrases))
 
 

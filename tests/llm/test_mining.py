@@ -62,6 +62,50 @@ def test_scores_beyond_64_bits(spark):
     assert spark.sql("SELECT cast(1000 as decimal(38,0)) * cast(90000000000 as decimal(38,0)) * cast(90000000000001 as decimal(38,0)) div (cast(90000000000 as decimal(38,0)) * cast(90000000007 as decimal(38,0))) AS s").first().s == 1000 * 90000000000 * 90000000000001 // (90000000000 * 90000000007)
 
 
+def shuffled(spark):
+    """Rows written by shuffles so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_rows_of_phrases(spark, monkeypatch):
+    """A shard's phrases leave in as many rows as there are ranges of hashes, however many become frequent."""
+    monkeypatch.setattr(collocations, "_FEW", 2, raising=False)
+    rng = np.random.default_rng(3)
+    texts = [("en", " ".join(f"w{x}" for x in rng.integers(0, 40, 1000))) for _ in range(24)]
+    docs = spark.createDataFrame(texts, "lang string, text string").repartition(2)
+    before = shuffled(spark)
+    _, counts = collocations.phrase_counts(docs, least=4, depth=3)
+    rows = shuffled(spark) - before
+    pairs = Counter(p for _, t in texts for w in [t.split()] for k in (1, 2, 3) for p in zip(*(w[i:] for i in range(k)), strict=False))
+    assert {tuple(r.phrase.split()): r.f for r in counts.collect()} == {p: n for p, n in pairs.items() if n >= 4}
+    assert 1600 < sum(n >= 4 for n in pairs.values()) and rows < 2 * sum(n >= 4 for n in pairs.values())  # the bitmaps take each frequent hash once
+
+
+def test_packed_counts():
+    rng = np.random.default_rng(5)
+    words = pa.array([f"w{x}" for x in rng.integers(0, 60, 5000)])
+    half = [words[:2500], words[2500:]]
+    autos = [collocations.Automaton(w, np.zeros(len(w), np.int64), ["en"], np.arange(len(w)) == 0, [], 3) for w in half]
+    hashes, phrases = Counter(), Counter()
+    for a, w in zip(autos, (x.to_pylist() for x in half), strict=True):
+        for k in (2, 3):
+            for h, n in zip(a.hash[k - 1].tolist(), a.count[k - 1].tolist(), strict=True):
+                hashes[h >> 20 << 20] += n
+            phrases.update(" ".join(w[i : i + k]) for i in range(len(w) - k + 1))
+    sent = pa.Table.from_batches([b for a in autos for b in collocations._emit_hashes(2, 12)(a)])
+    listed = pa.Table.from_batches([b for a in autos for b in collocations._emit_phrases(3)(a)])
+    assert len(sent) <= 2 << 12 and len(listed) == 16
+    rows = lambda t, x: t.take(np.flatnonzero(np.array(t["range"]) == x))
+    often = [h % (1 << 64) for x in range(1 << 12) if len(t := rows(sent, x)) for h in collocations._often(3, 12)((pa.scalar(x, pa.int32()),), t)["hash"].to_pylist()]
+    assert len(often) == len(set(often)) and set(often) == {h for h, n in hashes.items() if n >= 3}
+    added = pa.concat_tables([collocations._added(3)((pa.scalar("en"), pa.scalar(x)), rows(listed, x)) for x in range(8)]).to_pylist()
+    assert {r["phrase"]: r["f"] for r in added} == {p: n for p, n in phrases.items() if n >= 3} and len(added) == len({r["phrase"] for r in added})
+    assert all(r["words"] == len(r["phrase"].split()) and r["lang"] == "en" for r in added)
+
+
 def test_automaton():
     words = pa.array("a b c a b c b c a b".split())
     text = words.to_pylist()
