@@ -74,9 +74,11 @@ def inventory(spark: SparkSession, path: str, folders: set[str] | None = None, c
     name ends in ``whole``, as that of a table of several parts, is one entry with the bytes of all
     files in it.
     """
-    base = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    listed = base.select("path", F.col("length").alias("bytes"))
-    text = base.filter(F.endswith("path", F.lit(code))).select("path", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.lit("[Error reading file: not UTF-8]")).alias("text"))
+    base = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    listed = base.load(path).select("path", F.col("length").alias("bytes"))
+    # by the names: a filter on path comes after the contents of all files were read
+    coded = base.option("pathGlobFilter", "*" + re.sub(r"([][*?{}\\])", r"\\\1", code)).load(path)
+    text = coded.filter(F.endswith("path", F.lit(code))).select("path", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.lit("[Error reading file: not UTF-8]")).alias("text"))
     inner = F.substring_index("path", path.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
     out = listed.join(text, "path", "left").withColumn("path", inner)
     if whole is not None:

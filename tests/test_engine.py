@@ -1,4 +1,5 @@
 import json
+import os
 from functools import partial
 
 import numpy as np
@@ -305,6 +306,17 @@ def test_inventory_of_tables_in_parts(spark, tmp_path):
     assert {(r.folder, r.name, r.has_bytes) for r in queries.file_inventory(spark, str(tmp_path)).collect()} == {("", "a.parquet", True), ("", "b.parquet", True), ("d", "e.parquet", True), ("d", "n.py", True)}
 
 
+def test_inventory_reads_no_file_without_text(spark, tmp_path):
+    (tmp_path / "big.parquet").touch()
+    os.truncate(tmp_path / "big.parquet", (1 << 31) + 1)  # a hole, longer than a value can be
+    (tmp_path / "a.py").write_text("x = 1")
+    (tmp_path / "a.p[y").write_text("z")
+    got = lambda code: {r.name: (r.bytes, r.text) for r in files.inventory(spark, str(tmp_path), code=code).collect()}
+    assert got(".py") == {"big.parquet": ((1 << 31) + 1, None), "a.py": (5, "x = 1"), "a.p[y": (1, None)}
+    assert got(".p[y") == {"big.parquet": ((1 << 31) + 1, None), "a.py": (5, None), "a.p[y": (1, "z")}
+    assert got(".none")["a.py"] == (5, None)
+
+
 def test_catalog_from_files(spark, tmp_path):
     (tmp_path / "r.jsonl").write_text('{"id": "k0"}\n{"id": "k1"}\n')
     spark.createDataFrame([(0, [0.0]), (1, [1.0]), (2, [2.0])], "ordinal long, embedding array<double>").write.parquet(str(tmp_path / "v"))
