@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Products of rows and centres held at once.
+_PRODUCTS = 1 << 20
+
 
 def nearest_centres(m: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """The place of the centre nearest to each row of m; the first of equals."""
-    return np.argmin((centres * centres).sum(axis=1)[None, :] - 2 * (m @ centres.T), axis=1)
+    norms, step = (centres * centres).sum(axis=1)[None, :], max(1, _PRODUCTS // len(centres))
+    parts = [np.argmin(norms - 2 * (m[at : at + step] @ centres.T), axis=1) for at in range(0, len(m), step)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 def centres_of(sample: np.ndarray, k: int, rounds: int = 12, seed: int = 42) -> np.ndarray:

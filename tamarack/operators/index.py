@@ -104,12 +104,10 @@ class VectorIndex:
         fit = _space(_vectors(some.column("embedding").combine_chunks(), dim), metric)
         centres = centres_of(fit, min(MOST_CELLS, cells or max(1, round(count**0.5))))
 
-        step = max(1, min(1024, _DISTANCES // len(centres)))
-
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 m = _space(_vectors(b.column(1), dim), metric)
-                of = np.concatenate([nearest_centres(m[at : at + 1024], centres) for at in range(0, len(m), step)]) if len(m) else np.zeros(0, np.int64)
+                of = nearest_centres(m, centres)
                 dist = np.sqrt(((m - centres[of]) ** 2).sum(axis=1))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(dist), pa.array(of.astype(np.int32))], names=[*b.schema.names, "dist", "cell"])
 

@@ -162,6 +162,22 @@ def test_an_index_skips_cells_far_away(spark, tmp_path):
     assert sent <= 2 * 40 and sorted(map(tuple, opened.search_exact(q, 5).collect())) == sorted(map(tuple, knn.knn(q, c, 5).collect()))
 
 
+def test_an_index_of_many_cells(spark, tmp_path):
+    from tamarack.functions import kmeans
+
+    rng = np.random.default_rng(4)
+    c = spark.createDataFrame([(i, x) for i, x in enumerate(rng.normal(size=(2000, 4)).tolist())], "ordinal long, embedding array<float>").coalesce(1)
+    opened = index.VectorIndex.build(c, str(tmp_path / "i"), cells=600)
+    assert len(opened.n) == 600 and opened.n.sum() == 2000 == opened.vectors.count()
+    q = c.filter("ordinal % 100 = 0").select(F.col("ordinal").alias("query_id"), F.col("embedding").alias("query"))
+    assert sorted(map(tuple, opened.search_exact(q, 5).collect())) == sorted(map(tuple, knn.knn(q, c, 5).collect()))
+    m = rng.normal(size=(1000, 4))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(kmeans, "_PRODUCTS", 7000)
+        assert (kmeans.nearest_centres(m, opened.centres) == np.argmin(((m[:, None] - opened.centres) ** 2).sum(axis=2), axis=1)).all()
+        assert kmeans.nearest_centres(m[:0], opened.centres).shape == (0,)
+
+
 def test_records(spark, tmp_path):
     (tmp_path / "r.jsonl").write_text('{"id": 1, "v": 1}\n\n{"name": "x"}\n{"id": 2}\n{"id": 1, "v": 3}\n', encoding="utf-8")
     got = {r.key: (r.ordinal, r.first_line, r.rec) for r in files.read_jsonl(spark, str(tmp_path / "r.jsonl")).collect()}
