@@ -21,6 +21,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.serializers import CloudPickleSerializer
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -46,8 +47,12 @@ def model_of(pickled: bytes) -> Model:
     return _MADE[key]
 
 
-def apply_model(df: DataFrame, factory: Callable[[], Model], col: str, out: str, kind: T.DataType) -> DataFrame:
-    """df with out, the model's output for col; a batch goes through the model at once."""
+def apply_model(df: DataFrame, factory: Callable[[], Model], col: str, out: str, kind: T.DataType, rows: int | None = None, size: int = 1 << 20) -> DataFrame:
+    """df with out, the model's output for col; a batch goes through the model at once.
+
+    With ``rows``, parts of a batch do, of as many rows and ``size`` bytes of col at most, or of one
+    row, and leave as batches of their own. That is for outputs much larger than what they are made of.
+    """
     from pyspark.sql.pandas.types import to_arrow_type
 
     schema = T.StructType([*df.schema.fields, T.StructField(out, kind)])
@@ -61,7 +66,15 @@ def apply_model(df: DataFrame, factory: Callable[[], Model], col: str, out: str,
         except ModuleNotFoundError:  # a worker without this package has what came with the task
             model = model_of(pickled)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model(b.column(at).to_pylist()), arrow)], names=schema.names)
+            starts, held = [0], 0
+            for i, n in enumerate(pc.fill_null(pc.binary_length(b.column(at)), 0).to_pylist() if rows else []):
+                if i > starts[-1] and (i - starts[-1] >= rows or held + n > size):
+                    starts.append(i)
+                    held = 0
+                held += n
+            for start, end in zip(starts, [*starts[1:], b.num_rows], strict=True):
+                p = b.slice(start, end - start)
+                yield pa.RecordBatch.from_arrays([*p.columns, pa.array(model(p.column(at).to_pylist()), arrow)], names=schema.names)
 
     return df.mapInArrow(kernel, schema)
 
@@ -96,6 +109,8 @@ def stub_embedder(dim: int = 64) -> Model:
 
 #: Pixels a side of a blank page at most.
 _PAGE = 256
+#: Images that go through a model at once, as each has a preview.
+_IMAGES = 16
 
 
 def blank(boxes: list) -> np.ndarray:
@@ -261,7 +276,7 @@ def embed_texts(df: DataFrame, col: str, out: str = "embedding", factory: Callab
 
 
 def read_images(df: DataFrame, col: str = "content", out: str = "ocr", factory: Callable[[], Model] = stub_ocr) -> DataFrame:
-    return apply_model(df, factory, col, out, OCR)
+    return apply_model(df, factory, col, out, OCR, _IMAGES)
 
 
 def transcribe(df: DataFrame, col: str = "content", out: str = "speech", factory: Callable[[], Model] = stub_speech) -> DataFrame:

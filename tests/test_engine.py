@@ -634,3 +634,21 @@ def test_boxes_are_drawn_on_the_photo(spark):
     assert got[2].shape == (4, 4, 3) and got[3].shape == (1, 1, 3)
     read = models.read_images(df).filter("id = 1").first().ocr
     assert read.texts == ["Take two", "daily"] and models.pixels(bytes(read.preview)).shape == photo.shape
+
+
+def test_images_go_through_the_model_in_parts(spark, monkeypatch):
+    import pyarrow as pa
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    kernels = []
+    df = spark.createDataFrame([], "content binary, id int")
+    with monkeypatch.context() as m:
+        m.setattr(Classic, "mapInArrow", lambda self, kernel, schema: kernels.append(kernel))
+        models.read_images(df)
+    page = "\n".join(["a line of forty characters, more or less"] * 40).encode()
+    items = [page] * 300 + [None, b"", page * 1000] + [page * 300] * 3
+    out = list(kernels[0]([pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((items, pa.binary()), (range(len(items)), pa.int32()))], names=df.columns), pa.RecordBatch.from_arrays([pa.array([], pa.binary()), pa.array([], pa.int32())], names=df.columns)]))
+    own = [b.column(2) for b in out]
+    assert max(b.num_rows for b in out) <= 16 and max(o.field("preview").nbytes for o in own) <= 16 * (3 * 256 * 256 + 100)
+    assert [i for b in out for i in b.column(1).to_pylist()] == list(range(len(items)))
+    assert [x for o in own for x in o.to_pylist()] == models.stub_ocr()(items)
